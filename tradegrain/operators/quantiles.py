@@ -20,7 +20,7 @@ def tall(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataF
 def summarize(values: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of ``value`` per group.
 
-    Values are counted first, so equal values cost one row each; quartiles interpolate linearly
+    Groups are described columns, so there are few of them. Values are counted first, so equal values cost one row each; quartiles interpolate linearly
     between the two neighbouring ranks, found by running counts in value order.
     """
     counted = values.groupBy(*by, "value").agg(
@@ -40,7 +40,7 @@ def summarize(values: DataFrame, by: list[str]) -> DataFrame:
         spot = (F.col("size") - 1) * p
         picks += [at(F.floor(spot)).alias(f"{name}_low"), at(F.ceil(spot)).alias(f"{name}_high")]
     stats = (
-        ranked.join(sizes, by)
+        ranked.join(F.broadcast(sizes), by)  # one row per described column
         .groupBy(*by, "size")
         .agg(
             F.sum("s").cast("double").alias("sum"),

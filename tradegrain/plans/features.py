@@ -11,6 +11,7 @@ from tradegrain.functions.numeric import as_double, clip, clip_or, mean, percent
 from tradegrain.functions.temporal import elapsed_days, late_by_clock
 from tradegrain.operators.grouping import complete, first_per_key, labelled
 from tradegrain.operators.sampling import sample_exactly
+from tradegrain.operators.skew import lookup_join
 from tradegrain.plans.logistics import star_percent
 from tradegrain.sources.market import Market
 
@@ -161,7 +162,7 @@ def _item_figures(market: Market) -> DataFrame:
         F.when(F.col("seller_id").isNotNull(), F.struct("order_item_id", "product_id", "seller_id")),
     )
     return (
-        market.order_items.join(folded, "product_id", "left")
+        lookup_join(market.order_items, folded, "product_id")
         .groupBy("order_id")
         .agg(
             as_double(F.sum("price")).alias("price"),

@@ -114,14 +114,18 @@ def _long_enough() -> Column:
     return F.col("months") >= MIN_MONTHS
 
 
-def fit(lines: DataFrame) -> DataFrame:
-    """Best parameters, end state and residual deviation of every series of at least 12 months."""
-    fitted = lines.where(_long_enough()).withColumn("fit", _best(F.col("y")))
+def _with_fit(lines: DataFrame, best: Column) -> DataFrame:
+    fitted = lines.withColumn("fit", best)
     mean_error = F.col("fit.bias") / F.col("fit.steps")
     spread = F.col("fit.sse") / F.col("fit.steps") - mean_error * mean_error
     return fitted.withColumn("residual_std", F.sqrt(F.greatest(spread, F.lit(0.0))))
 
 
+def fit(lines: DataFrame) -> DataFrame:
+    """Best parameters, end state and residual deviation of every series of at least 12 months."""
+    return _with_fit(lines.where(_long_enough()), _best(F.col("y")))
+
+
 def fit_report(fitted: DataFrame, by: list[str]) -> DataFrame:
     shown = [F.col(f"fit.{c}").alias(c) for c in ("alpha", "beta", "phi", "level", "trend", "sse")]
     return fitted.select(*by, "months", *shown, "residual_std")
@@ -157,42 +161,54 @@ def _stepped(df: DataFrame) -> DataFrame:
     return steps.withColumn("ds", F.date_format(month, "yyyy-MM"))
 
 
-def forecast(fitted: DataFrame, by: list[str]) -> DataFrame:
-    """Six months ahead with 80% and 95% bands that widen with the square root of the horizon."""
-    ahead = _stepped(fitted).withColumn("forecast", _ahead("fit", F.col("step")))
-    root = F.sqrt(F.col("step").cast("double"))
-    bands = []
+def _fitted_rows() -> dict[str, Column]:
+    """Forecast and bands that widen with the square root of the horizon."""
+    point = _ahead("fit", F.col("step"))
+    columns = {"forecast": point}
     for name, z in fixed.BAND_Z.items():
-        width = F.lit(z) * F.col("residual_std") * root
-        bands.append(F.greatest(F.lit(0.0), F.col("forecast") - width).alias(f"ci_{name}_lower"))
-        bands.append((F.col("forecast") + width).alias(f"ci_{name}_upper"))
-    return ahead.select(*by, "step", "ds", "forecast", *bands)
+        width = F.lit(z) * F.col("residual_std") * F.sqrt(F.col("step").cast("double"))
+        columns[f"ci_{name}_lower"] = F.greatest(F.lit(0.0), point - width)
+        columns[f"ci_{name}_upper"] = point + width
+    return columns
 
 
-def fallback(lines: DataFrame, by: list[str], kind: str = "short_series") -> DataFrame:
+def _fallback_rows(kind: str) -> dict[str, Column]:
     """Last value times a fixed growth vector, with fixed relative bands."""
     growth = F.array(*map(F.lit, fixed.FALLBACK_GROWTH[kind]))
-    last = F.element_at("y", -1)
-    ahead = _stepped(lines).withColumn("forecast", last * F.element_at(growth, F.col("step")))
-    bands = [
-        (F.col("forecast") * factor).alias(f"ci_{name}_{side}")
-        for name, factors in fixed.FALLBACK_BANDS.items()
-        for side, factor in zip(("lower", "upper"), factors, strict=True)
-    ]
-    return ahead.select(*by, "step", "ds", "forecast", *bands)
+    point = F.element_at("y", -1) * F.element_at(growth, F.col("step"))
+    columns = {"forecast": point}
+    for name, (low, high) in fixed.FALLBACK_BANDS.items():
+        columns[f"ci_{name}_lower"] = point * low
+        columns[f"ci_{name}_upper"] = point * high
+    return columns
+
+
+def _shown(ahead: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    return ahead.select(*by, "step", "ds", *[col.alias(name) for name, col in columns.items()])
+
+
+def forecast(fitted: DataFrame, by: list[str]) -> DataFrame:
+    """Six months ahead with 80% and 95% bands."""
+    ahead = _stepped(fitted)
+    return _shown(ahead, by, _fitted_rows())
+
+
+def fallback(lines: DataFrame, by: list[str], kind: str = "short_series") -> DataFrame:
+    """Six months ahead without a model."""
+    return _shown(_stepped(lines), by, _fallback_rows(kind))
 
 
 def forecast_all(lines: DataFrame, by: list[str]) -> DataFrame:
-    """Fitted forecasts where a fit exists, the fitting fallback for each other series."""
-    tried = fit(lines)
-    sound = F.col("fit").isNotNull() & ~F.isnan("fit.sse") & (F.abs("fit.sse") < float("inf"))
-    sound = F.coalesce(sound, F.lit(False))
-    parts = [
-        forecast(tried.where(sound), by),
-        fallback(tried.where(~sound).select(*lines.columns), by, "failed_fit"),
-        fallback(lines.where(~_long_enough()), by, "short_series"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Fitted forecasts where a sound fit exists, the fitting fallback for every other series."""
+    tried = _with_fit(lines, F.when(_long_enough(), _best(F.col("y"))))
+    error = F.col("fit.sse")
+    sound = F.coalesce(~F.isnan(error) & (F.abs(error) < float("inf")), F.lit(False))
+    ahead = _stepped(tried)
+    fitted, failed, short = _fitted_rows(), _fallback_rows("failed_fit"), _fallback_rows("short_series")
+    chosen = {
+        name: F.when(sound, fitted[name]).when(_long_enough(), failed[name]).otherwise(short[name]) for name in fitted
+    }
+    return _shown(ahead, by, chosen)
 
 
 def quarter_growth(lines: DataFrame, ahead: DataFrame, by: list[str]) -> DataFrame:

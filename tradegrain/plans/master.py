@@ -9,6 +9,7 @@ from tradegrain import fixed
 from tradegrain.functions import temporal
 from tradegrain.functions.numeric import total
 from tradegrain.functions.text import title_words
+from tradegrain.operators.skew import lookup_join
 from tradegrain.sources.delimited import coerce_order_dates
 from tradegrain.sources.market import Market
 
@@ -24,8 +25,13 @@ def named_categories(market: Market) -> DataFrame:
 
 
 def items_with_category(market: Market) -> DataFrame:
-    catalog = named_categories(market).select("product_id", "category_english")
-    return market.order_items.join(catalog, "product_id", "left")
+    """Item lines with their category.
+
+    The catalog is folded to one row per product id. That states the key's uniqueness to Catalyst,
+    which drops the whole join from plans that do not read the category.
+    """
+    catalog = named_categories(market).groupBy("product_id").agg(F.min("category_english").alias("category_english"))
+    return lookup_join(market.order_items, catalog, "product_id")
 
 
 def items_per_order(market: Market) -> DataFrame:
@@ -131,7 +137,7 @@ def add_lifetime_orders(df: DataFrame) -> DataFrame:
         .groupBy("customer_unique_id")
         .agg(F.count_distinct("order_id").alias("customer_lifetime_orders"))
     )
-    counted = df.join(lifetime, "customer_unique_id", "left")
+    counted = lookup_join(df, lifetime, "customer_unique_id")
     repeats = F.coalesce(F.col("customer_lifetime_orders") > 1, F.lit(False))
     return counted.withColumn("is_repeat_customer", repeats)
 

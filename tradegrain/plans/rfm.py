@@ -10,19 +10,25 @@ from tradegrain import fixed
 from tradegrain.functions.numeric import as_double, mean, percent, round_even
 from tradegrain.functions.temporal import days_floored
 from tradegrain.operators.ordered import number_rows, quartile
+from tradegrain.session import cut_lineage
 
 
 def customer_base(master: DataFrame) -> DataFrame:
-    """Days since the last order (counted from the day after the newest one), orders, spend."""
+    """Days since the last order (counted from the day after the newest one), orders, spend.
+
+    The per-customer table is stored once, as both the newest order and every row are read from it.
+    """
     valid = master.where(
         F.col("order_purchase_timestamp").isNotNull() & F.col("customer_unique_id").isNotNull()
     )
-    newest = valid.agg(F.max("order_purchase_timestamp") + F.expr("INTERVAL '1' DAY")).scalar()
-    per_customer = valid.groupBy("customer_unique_id").agg(
-        F.max("order_purchase_timestamp").alias("last_order"),
-        F.count_distinct("order_id").alias("frequency"),
-        F.sum("total_order_value").alias("monetary"),
+    per_customer = cut_lineage(
+        valid.groupBy("customer_unique_id").agg(
+            F.max("order_purchase_timestamp").alias("last_order"),
+            F.count_distinct("order_id").alias("frequency"),
+            F.sum("total_order_value").alias("monetary"),
+        )
     )
+    newest = per_customer.agg(F.max("last_order") + F.expr("INTERVAL '1' DAY")).scalar()
     return per_customer.select(
         "customer_unique_id",
         days_floored(newest, F.col("last_order")).alias("recency"),
