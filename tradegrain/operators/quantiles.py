@@ -62,7 +62,7 @@ def summarize(values: DataFrame, by: list[str]) -> DataFrame:
         *by,
         F.col("size").alias("count"),
         ratio(F.col("sum"), size).alias("mean"),
-        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
+        F.when(spread.isNotNull(), F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("std"),
         "min",
         *[between(name, p) for name, p in probabilities.items()],
         "max",
