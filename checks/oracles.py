@@ -811,7 +811,10 @@ add(
               FROM fitted, range(1, 5) AS s(k))
         GROUP BY customer_state""",
     ts_forecast=FITTED_AHEAD,
-    ts_forecast_all=FITTED_AHEAD,
+    ts_forecast_all=f"""
+        {FITTED_AHEAD}
+        UNION ALL SELECT customer_state, step, ds, forecast, ci_80_lower, ci_80_upper, ci_95_lower, ci_95_upper
+        FROM ({BANDED}) JOIN lines USING (customer_state) WHERE months < 12""",
     ts_fallback=BANDED,
     ts_quarter_growth=f"""
         WITH ahead AS (

@@ -51,7 +51,7 @@ def test_quartile_of_a_single_row(spark):
 
 def test_running_totals_span_partitions(spark):
     rng = random.Random(5)
-    rows = [("hot" if i % 3 else "b", rng.random(), rng.randrange(5)) for i in range(3000)]
+    rows = [("hot" if i % 3 else None, rng.random(), rng.randrange(5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, v double, n int").repartition(8)
     got = running_totals(df, ["g"], [F.desc("v")], {"upto": "n"}).collect()
     sums: dict = defaultdict(int)
@@ -75,11 +75,14 @@ def test_samples_have_the_exact_size_and_order(spark):
 
 
 def test_stratified_split_is_exact_per_label(spark):
-    df = spark.range(1003).withColumn("label", (F.col("id") % 97 == 0).cast("int"))
+    labels = F.when(F.col("id") % 10 != 9, (F.col("id") % 97 == 0).cast("int"))
+    df = spark.range(1003).withColumn("label", labels)
     counts = Counter((r.label, r.is_test) for r in stratified_split(df, "id", "label").collect())
-    rare = sum(1 for i in range(1003) if i % 97 == 0)
+    unlabelled = sum(1 for i in range(1003) if i % 10 == 9)
+    assert counts[None, True] == math.ceil(0.2 * unlabelled)
+    rare = sum(1 for i in range(1003) if i % 97 == 0 and i % 10 != 9)
     assert counts[1, True] == math.ceil(0.2 * rare)
-    assert counts[0, True] == math.ceil(0.2 * (1003 - rare))
+    assert counts[0, True] == math.ceil(0.2 * (1003 - rare - unlabelled))
     assert sum(counts.values()) == 1003
 
 

@@ -16,6 +16,17 @@ def complete(groups: DataFrame, measured: DataFrame, column: str) -> DataFrame:
     return groups.join(measured, column, "left")
 
 
+def join_groups(rows: DataFrame, figures: DataFrame, keys: list[str], plain: tuple[str, ...] = ()) -> DataFrame:
+    """Give every row the figures of its group; a null key is a group like any other.
+
+    ``plain`` keys are never null and join by ordinary equality.
+    """
+    renamed = figures.withColumnsRenamed({k: f"_group_{k}" for k in (*keys, *plain)})
+    matches = [F.col(k) == F.col(f"_group_{k}") for k in plain]
+    matches += [F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in keys]
+    return rows.join(renamed, matches).drop(*[f"_group_{k}" for k in (*keys, *plain)])
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The whole row that comes first in ``order`` for each key.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradegrain.operators.grouping import join_groups
 from tradegrain.session import cut_lineage
 
 _MARK, _SLOT = "_mark", "_slot"
@@ -64,7 +65,7 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], totals: di
     )
     upto = stretch.orderBy(_MARK).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = stored.withColumns({new: F.sum(src).over(upto) for new, src in totals.items()})
-    joined = local.join(offsets, [_SLOT, *by])
+    joined = join_groups(local, offsets, by, plain=(_SLOT,))
     added = joined.withColumns({new: F.col(new) + F.col(f"_{new}_before") for new in totals})
     return added.drop(_MARK, _SLOT, *[f"_{new}_before" for new in totals])
 

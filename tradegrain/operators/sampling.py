@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradegrain.operators.grouping import join_groups
+
 _DIGITS = 4
 
 
@@ -39,8 +41,8 @@ def shuffled_positions(
             F.sum("_n").over(frame).alias("_group"),
         )
     )
-    # 16^4 hash cells per label: small whatever the table holds, and evenly filled.
-    placed = hashed.join(F.broadcast(cells), [*groups, "_cell"])
+    # Evenly filled cells; the shuffle on them serves both this join and the ranking inside a cell.
+    placed = join_groups(hashed, cells, groups, plain=("_cell",))
     inside = W.partitionBy(*groups, "_cell").orderBy("_hash", key)
     placed = placed.withColumn(name, F.col("_below") + F.row_number().over(inside))
     if size:

@@ -57,9 +57,8 @@ def average_order_value(monthly: DataFrame, order_items: DataFrame) -> DataFrame
         as_double(total("price")).alias("total_revenue"),
         F.count_distinct("order_id").alias("total_orders"),
     )
-    merged = over_months.select(F.lit(1).alias("k"), "*").join(over_items.select(F.lit(1).alias("k"), "*"), "k")
-    return merged.select(
-        "monthly_aov",
+    return over_items.select(
+        over_months.scalar().alias("monthly_aov"),
         "total_revenue",
         "total_orders",
         ratio(F.col("total_revenue"), F.col("total_orders")).alias("item_aov"),

@@ -27,6 +27,7 @@ GRID = list(
         [p / 100 for p in (80, 85, 90, 95, 98)],
     )
 )
+_GRID_POINT = "named_struct('alpha', {}D, 'beta', {}D, 'phi', {}D)"
 
 
 def monthly(
@@ -83,9 +84,7 @@ def _smooth(y: Column, alpha: Column, beta: Column, phi: Column) -> Column:
 
 def _best(y: Column) -> Column:
     """The grid point with the least squared error; ties go to the smaller weights."""
-    grid = F.array(
-        *[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(p).alias("phi")) for a, b, p in GRID]
-    )
+    grid = F.expr("array(" + ", ".join(_GRID_POINT.format(*point) for point in GRID) + ")")
 
     def run(point: Column) -> Column:
         end = _smooth(y, point["alpha"], point["beta"], point["phi"])
