@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,13 +27,16 @@ def join_groups(rows: DataFrame, figures: DataFrame, keys: list[str], plain: tup
     return rows.join(renamed, matches).drop(*[f"_group_{k}" for k in (*keys, *plain)])
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The whole row that comes first in ``order`` for each key.
+def first_per_key(
+    df: DataFrame, keys: list[str], order: list[str], also: dict[str, Column] | None = None
+) -> DataFrame:
+    """The whole row that comes first in ``order`` for each key, and further aggregates of the key.
 
     An aggregate rather than a window: each map task keeps one row per key, so a key holding a third
     of the table never meets in one task.
     """
     rest = [c for c in df.columns if c not in {*keys, *order}]
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
-    best = df.groupBy(*keys).agg(F.min_by(packed, F.struct(*order)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+    more = {name: col.alias(name) for name, col in (also or {}).items()}
+    best = df.groupBy(*keys).agg(F.min_by(packed, F.struct(*order)).alias("_row"), *more.values())
+    return best.select(*keys, "_row.*", *more).select(*df.columns, *more)

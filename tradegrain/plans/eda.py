@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tradegrain.functions.numeric import as_double, mean, percent, ratio, total
 from tradegrain.functions.temporal import elapsed_seconds, month_start
 from tradegrain.operators.quantiles import summarize, tall
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import MarketTables
 
 
-def monthly_sales(market: Market) -> DataFrame:
+def monthly_sales(market: MarketTables) -> DataFrame:
     """Merchandise value, distinct orders and their ratio per purchase month.
 
     Prices are summed per order before the join with orders.
@@ -70,7 +70,7 @@ def _categorized(sold: DataFrame, products: DataFrame) -> DataFrame:
     return sold.join(named, "product_id").where(F.col("product_category_name").isNotNull())
 
 
-def category_sales(market: Market, rows: int | None = 10) -> DataFrame:
+def category_sales(market: MarketTables, rows: int | None = 10) -> DataFrame:
     """Merchandise value per native category; items are summed per product before the join."""
     per_product = market.order_items.groupBy("product_id").agg(total("price").alias("price"))
     ranked = (
@@ -82,7 +82,7 @@ def category_sales(market: Market, rows: int | None = 10) -> DataFrame:
     return ranked if rows is None else ranked.limit(rows)
 
 
-def category_orders(market: Market, rows: int | None = 10) -> DataFrame:
+def category_orders(market: MarketTables, rows: int | None = 10) -> DataFrame:
     """Distinct orders per native category; repeated lines of a product collapse before the join."""
     pairs = market.order_items.select("order_id", "product_id").distinct()
     ranked = (
@@ -94,7 +94,7 @@ def category_orders(market: Market, rows: int | None = 10) -> DataFrame:
     return ranked if rows is None else ranked.limit(rows)
 
 
-def orders_per_customer(market: Market) -> DataFrame:
+def orders_per_customer(market: MarketTables) -> DataFrame:
     people = market.customers.select("customer_id", "customer_unique_id")
     return (
         market.orders.select("order_id", "customer_id")
@@ -105,11 +105,11 @@ def orders_per_customer(market: Market) -> DataFrame:
     )
 
 
-def orders_per_customer_summary(market: Market) -> DataFrame:
+def orders_per_customer_summary(market: MarketTables) -> DataFrame:
     return summarize(tall(orders_per_customer(market), ["orders"]), ["metric"]).drop("metric")
 
 
-def repeat_rate(market: Market) -> DataFrame:
+def repeat_rate(market: MarketTables) -> DataFrame:
     repeats = F.count_if(F.col("orders") > 1)
     return orders_per_customer(market).agg(
         repeats.alias("repeat_customers"),

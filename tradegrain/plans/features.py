@@ -13,7 +13,7 @@ from tradegrain.operators.grouping import complete, first_per_key, labelled
 from tradegrain.operators.sampling import sample_exactly
 from tradegrain.operators.skew import lookup_join
 from tradegrain.plans.logistics import star_percent
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import MarketTables
 
 # Feature lists in model order.
 REPEAT_FEATURES = [
@@ -68,7 +68,12 @@ def _finish(df: DataFrame, key: str, columns: list[str], max_rows: int | None) -
 
 
 def first_orders(master: DataFrame) -> DataFrame:
-    """The earliest order of each customer; ties go to the smaller order id."""
+    """The earliest order of each customer, with the number of their orders; ties go to the smaller id.
+
+    Without a ``customer_lifetime_orders`` column the count comes from the same aggregate, which spares
+    joining it to every order first.
+    """
+    counted = "customer_lifetime_orders" in master.columns
     wanted = [
         "customer_unique_id",
         "order_id",
@@ -80,12 +85,12 @@ def first_orders(master: DataFrame) -> DataFrame:
         "freight_value",
         "payment_installments",
         "review_score",
-        "customer_lifetime_orders",
     ]
-    wanted += [c for c in ("avg_delivery_days",) if c in master.columns]
+    wanted += [c for c in ("customer_lifetime_orders", "avg_delivery_days") if c in master.columns]
     dated = master.select(*wanted).withColumn("undated", bought().isNull())
     order = ["undated", "order_purchase_timestamp", "order_id"]
-    return first_per_key(dated, ["customer_unique_id"], order).drop("undated")
+    orders_made = {} if counted else {"customer_lifetime_orders": F.count_distinct("order_id")}
+    return first_per_key(dated, ["customer_unique_id"], order, orders_made).drop("undated")
 
 
 def repeat_features(
@@ -148,7 +153,7 @@ def delay_features_on_master(
     return _finish(shaped, "order_id", [*DELAY_FEATURES, "is_delayed"], max_rows)
 
 
-def _item_figures(market: Market) -> DataFrame:
+def _item_figures(market: MarketTables) -> DataFrame:
     """Item sums, first seller and mean product dimensions per order.
 
     Products are folded to one row per id first, so a repeated product id cannot inflate item sums.
@@ -173,7 +178,7 @@ def _item_figures(market: Market) -> DataFrame:
     )
 
 
-def delay_features(market: Market, max_rows: int | None = None) -> DataFrame:
+def delay_features(market: MarketTables, max_rows: int | None = None) -> DataFrame:
     """Delay features from the normalized tables; the route compares customer and seller state."""
     orders = market.orders.where(
         (F.col("order_status") == "delivered") & arrived().isNotNull() & promised().isNotNull()

@@ -31,27 +31,27 @@ def narrow(
 
 
 def filter_choices(master: DataFrame) -> DataFrame:
-    """What the filters can offer: date bounds, states and categories as (kind, choice) rows."""
-    bounds = master.agg(
-        F.to_date(F.min("order_purchase_timestamp")).alias("low"),
-        F.to_date(F.max("order_purchase_timestamp")).alias("high"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("first_date").alias("kind"), F.col("low").cast("string").alias("choice")),
-                F.struct(F.lit("last_date").alias("kind"), F.col("high").cast("string").alias("choice")),
-            )
-        )
-    )
-    listed = F.array(
-        F.struct(F.lit("state").alias("kind"), F.col("customer_state").alias("choice")),
-        F.struct(F.lit("category").alias("kind"), F.col("category_english").alias("choice")),
+    """What the filters can offer: date bounds, states and categories as (kind, choice) rows.
+
+    One pass: (state, category) groups carry their date bounds, then every group lists its four values
+    and equal values fold together. ISO dates order as text.
+    """
+    bought = F.col("order_purchase_timestamp")
+    groups = master.groupBy("customer_state", "category_english").agg(
+        F.min(bought).alias("first"), F.max(bought).alias("last")
     )
-    values = (
-        master.groupBy("customer_state", "category_english")
-        .agg(F.lit(1))
-        .select(F.inline(listed))
-        .where(F.col("choice").isNotNull())
-        .distinct()
+    offers = {
+        "first_date": F.to_date("first").cast("string"),
+        "last_date": F.to_date("last").cast("string"),
+        "state": F.col("customer_state"),
+        "category": F.col("category_english"),
+    }
+    listed = groups.select(
+        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("choice")) for k, v in offers.items()]))
+    ).where(F.col("choice").isNotNull())
+    own_group = F.when(F.col("kind").isin("state", "category"), F.col("choice"))
+    bounds = listed.groupBy("kind", own_group.alias("_own")).agg(
+        F.min("choice").alias("low"), F.max("choice").alias("high")
     )
-    return bounds.unionByName(values).orderBy("kind", "choice")
+    choice = F.when(F.col("kind") == "last_date", F.col("high")).otherwise(F.col("low"))
+    return bounds.select("kind", choice.alias("choice")).orderBy("kind", "choice")

@@ -13,6 +13,21 @@ from tradegrain.functions.temporal import elapsed_seconds
 # if none is, the other group holds all rows. Picking the top group covers both without a second scan.
 _SCOPE = "_delivered"
 
+# The master columns these figures read.
+COLUMNS = [
+    "order_id",
+    "customer_unique_id",
+    "order_status",
+    "order_purchase_timestamp",
+    "order_delivered_customer_date",
+    "order_year_month",
+    "is_late",
+    "review_score",
+    "price",
+    "freight_value",
+    "total_order_value",
+]
+
 
 def _scoped(master: DataFrame) -> DataFrame:
     delivered = F.coalesce(F.col("order_status") == "delivered", F.lit(False))

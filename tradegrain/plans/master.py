@@ -11,10 +11,10 @@ from tradegrain.functions.numeric import total
 from tradegrain.functions.text import title_words
 from tradegrain.operators.skew import lookup_join
 from tradegrain.sources.delimited import coerce_order_dates
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import MarketTables
 
 
-def named_categories(market: Market) -> DataFrame:
+def named_categories(market: MarketTables) -> DataFrame:
     """Products with ``category_english``: the translation, or the native name without one."""
     native = F.col("product_category_name")
     if market.category_translation is None:
@@ -24,7 +24,7 @@ def named_categories(market: Market) -> DataFrame:
     )
 
 
-def items_with_category(market: Market) -> DataFrame:
+def items_with_category(market: MarketTables) -> DataFrame:
     """Item lines with their category.
 
     The catalog is folded to one row per product id. That states the key's uniqueness to Catalyst,
@@ -34,7 +34,7 @@ def items_with_category(market: Market) -> DataFrame:
     return lookup_join(market.order_items, catalog, "product_id")
 
 
-def items_per_order(market: Market) -> DataFrame:
+def items_per_order(market: MarketTables) -> DataFrame:
     """First product, most frequent category, money sums and line count per order."""
     modal = F.mode("category_english", deterministic=True)
     return items_with_category(market).groupBy("order_id").agg(
@@ -58,11 +58,11 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("order_id").agg(F.avg("review_score").alias("review_score"))
 
 
-def orders_with_customers(market: Market) -> DataFrame:
+def orders_with_customers(market: MarketTables) -> DataFrame:
     return coerce_order_dates(market.orders).join(market.customers, "customer_id")
 
 
-def join_orders(market: Market) -> DataFrame:
+def join_orders(market: MarketTables) -> DataFrame:
     """Orders with customer, item, payment and review figures; orders without items drop out."""
     joined = orders_with_customers(market).join(items_per_order(market), "order_id")
     if market.payments is not None:
@@ -142,14 +142,15 @@ def add_lifetime_orders(df: DataFrame) -> DataFrame:
     return counted.withColumn("is_repeat_customer", repeats)
 
 
-def enrich(df: DataFrame) -> DataFrame:
-    """All derived analytic columns on an order-grain frame."""
+def enrich(df: DataFrame, lifetime: bool = True) -> DataFrame:
+    """All derived analytic columns on an order-grain frame, optionally without lifetime orders."""
     dated = coerce_order_dates(df)
-    return add_lifetime_orders(add_category(add_total_value(add_delivery(add_calendar(dated)))))
+    derived = add_category(add_total_value(add_delivery(add_calendar(dated))))
+    return add_lifetime_orders(derived) if lifetime else derived
 
 
-def build_master(market: Market) -> DataFrame:
-    return enrich(join_orders(market))
+def build_master(market: MarketTables, lifetime: bool = True) -> DataFrame:
+    return enrich(join_orders(market), lifetime)
 
 
 def write_master(master: DataFrame, path: str) -> None:

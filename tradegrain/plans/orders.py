@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tradegrain.functions import temporal
 from tradegrain.functions.names import approved, arrived, bought, is_delivered, is_late, promised, row_count, shipped
 from tradegrain.functions.numeric import mean, percent, ratio, round_up, share_of
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import MarketTables
 
 
 def order_count(orders: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def average_delay(orders: DataFrame) -> DataFrame:
     return orders.where(is_late()).agg(round_up(mean(days), 2).alias("avg_delay"))
 
 
-def bottleneck_states(market: Market, rows: int = 10) -> DataFrame:
+def bottleneck_states(market: MarketTables, rows: int = 10) -> DataFrame:
     """States with the longest mean delay.
 
     Late orders are summed per customer first: that shuffle serves the join, and a customer id with

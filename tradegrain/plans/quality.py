@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tradegrain.functions.names import row_count
 from tradegrain.functions.numeric import as_double, percent, total
 from tradegrain.operators.quantiles import summarize, tall
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import MarketTables
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -109,7 +109,7 @@ def missing_category(products: DataFrame) -> DataFrame:
     return null_report({"products": _uncategorized(products)}).select("column_name", "missing_count")
 
 
-def missing_category_sales(market: Market) -> DataFrame:
+def missing_category_sales(market: MarketTables) -> DataFrame:
     """What products without a category sold; lines are summed per product before the semi join."""
     per_product = market.order_items.groupBy("product_id").agg(
         row_count().alias("lines"), total("price").alias("price"), total("freight_value").alias("freight")
@@ -136,7 +136,7 @@ REFERENCES = [
 ]
 
 
-def orphan_report(market: Market) -> DataFrame:
+def orphan_report(market: MarketTables) -> DataFrame:
     """Rows whose reference has no target, per reference; null references are not counted.
 
     Keys are counted before the anti join, so a key on a third of the rows joins as one row.

@@ -10,7 +10,7 @@ from tradegrain.functions.names import row_count
 from tradegrain.functions.numeric import mean, percent, ratio, round_up, share_of
 from tradegrain.functions.temporal import delivered_label, month_start
 from tradegrain.functions.text import is_filled
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import MarketTables
 
 
 def score() -> Column:
@@ -136,7 +136,7 @@ def longest_comments(reviews: DataFrame, rows: int = 10) -> DataFrame:
     )
 
 
-def by_delivery(market: Market) -> DataFrame:
+def by_delivery(market: MarketTables) -> DataFrame:
     """Mean score of late and on-time deliveries.
 
     Reviews are summed per order before the join, so an order with very many reviews joins as one row.

@@ -31,9 +31,9 @@ from tradegrain.plans import (
     training,
     whatif,
 )
-from tradegrain.session import scratch_path
+from tradegrain.session import cut_lineage, scratch_path
 from tradegrain.sources.delimited import coerce_order_dates, read_csv, write_csv
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import Market, MarketTables
 from tradegrain.sources.schemas import ORDER_DATES
 from tradegrain.sources.star_parquet import read_star_market
 
@@ -47,7 +47,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def _on_market(name: str, plan: Callable[[Market], DataFrame]) -> None:
+def _on_market(name: str, plan: Callable[[MarketTables], DataFrame]) -> None:
     QUERIES[name] = lambda spark, folder: plan(read_star_market(spark, folder))
 
 
@@ -64,7 +64,7 @@ def _on_master(plans: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
 # --- sources -----------------------------------------------------------------------------------
 
 
-def _csv_round_trip(market: Market) -> DataFrame:
+def _csv_round_trip(market: MarketTables) -> DataFrame:
     """Write orders as CSV to the shared folder and scan them back with the declared types."""
     path = scratch_path(market.orders.sparkSession, "orders-csv")
     write_csv(market.orders, path)
@@ -81,7 +81,7 @@ def _textual_dates(orders_: DataFrame) -> DataFrame:
     return coerce_order_dates(orders_.withColumns(textual)).select("order_id", *ORDER_DATES)
 
 
-def _without_optional(market: Market) -> DataFrame:
+def _without_optional(market: MarketTables) -> DataFrame:
     needed = Market(market.orders, market.order_items, market.customers, market.products)
     columns = ["order_id", "category_english", "payment_type", "payment_installments", "payment_value"]
     return _readable(master.build_master(needed).select(*columns, "review_score"))
@@ -202,7 +202,8 @@ def _segments(m: DataFrame) -> DataFrame:
 
 _on_master(
     {
-        "kpi_overview": kpi.overview,
+        # Three aggregates read the master here, so its columns are stored once.
+        "kpi_overview": lambda m: kpi.overview(cut_lineage(m.select(*kpi.COLUMNS))),
         "kpi_repeat": kpi.repeat_counts,
         "kpi_mom_latest": kpi.latest_month_change,
         "rfm_base": lambda m: rfm.customer_base(m).withColumn("monetary", F.col("monetary").cast("double")),
@@ -432,20 +433,20 @@ def _score_csat(m: DataFrame) -> DataFrame:
     return scoring.csat_risk(training.score(model, table), training.SCORE).select("order_id", training.SCORE, "tier")
 
 
-def _delay_model(market: Market) -> DataFrame:
+def _delay_model(market: MarketTables) -> DataFrame:
     table = features.delay_features(market)
     settings = ("delay_normalized", table, features.DELAY_FEATURES, "is_delayed", "order_id")
     return training.train_classifier(*settings, rounds=ROUNDS, repeats=1, floor=0.001).metrics
 
 
-def _advice(market: Market) -> DataFrame:
+def _advice(market: MarketTables) -> DataFrame:
     table = features.delay_features(market)
     model = _quick_model(table, features.DELAY_FEATURES, "is_delayed", 0.08)
     advised = scoring.order_advice(training.score(model, table), training.SCORE)
     return advised.select("order_id", training.SCORE, "tier", "csat_note", "recommendations")
 
 
-def _rule_advice(market: Market) -> DataFrame:
+def _rule_advice(market: MarketTables) -> DataFrame:
     """The advice rules on a deterministic probability, so every rule can be checked exactly."""
     table = features.delay_features(market).withColumn(
         "p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (24.0 - F.col("estimated_days")) / 14.0))
@@ -458,8 +459,6 @@ _on_master(
     {
         "smp_fixed_n": lambda m: sample_exactly(m.select("order_id", "customer_state"), "order_id", SAMPLE_ROWS),
         "smp_stratified_split": lambda m: stratified_split(m.select("order_id", "is_late"), "order_id", "is_late"),
-        "ml_first_orders": _first_orders,
-        "ml_repeat_features": _repeat,
         "ml_delay_features_master": _master_delay,
         "ml_csat_features": _csat,
         "csat_expectation_gap": lambda m: features.expectation_gap(_csat(m)),
@@ -473,14 +472,19 @@ _on_master(
         "ml_avg_precision": lambda m: evaluation.ranking_metrics(_rule_scored(m), "label", "score").select(
             F.round("pr_auc", 9).alias("pr_auc")
         ),
-        "ml_repeat_model": lambda m: _train_repeat(m).metrics,
         "ml_csat_model": lambda m: _train_csat(m).metrics,
         "ml_permutation_importance": lambda m: _train_csat(m).importances,
-        "ml_score_repeat": _score_repeat,
         "ml_score_delay": _score_delay,
         "ml_score_csat": _score_csat,
     }
 )
+for _key, _plan in {
+    "ml_first_orders": _first_orders,
+    "ml_repeat_features": _repeat,
+    "ml_repeat_model": lambda m: _train_repeat(m).metrics,
+    "ml_score_repeat": _score_repeat,
+}.items():
+    _on_market(_key, lambda k, plan=_plan: plan(master.build_master(k, lifetime=False)))
 _on_market("ml_delay_features", features.delay_features)
 _on_market("ml_delay_model", _delay_model)
 _on_market("ml_recommendations", _advice)

@@ -1,5 +1,5 @@
-"""Readers that turn files into one :class:`Market` of typed tables."""
+"""Readers that turn files into one table set (:class:`MarketTables`)."""
 
-from tradegrain.sources.market import Market
+from tradegrain.sources.market import Market, MarketTables
 
-__all__ = ["Market"]
+__all__ = ["Market", "MarketTables"]
