@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+# Plans (not data) of the tables and the master, shared by the queries of a session.
+_market = cache(read_star_market)
+
+
+@cache
+def _master(spark: SparkSession, folder: str, lifetime: bool = True) -> DataFrame:
+    return master.build_master(_market(spark, folder), lifetime)
+
+
 def _on_market(name: str, plan: Callable[[MarketTables], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, folder: plan(read_star_market(spark, folder))
+    QUERIES[name] = lambda spark, folder: plan(_market(spark, folder))
 
 
 def _on_table(table: str, plans: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
@@ -56,9 +66,9 @@ def _on_table(table: str, plans: dict[str, Callable[[DataFrame], DataFrame]]) ->
         _on_market(name, lambda market, plan=plan: plan(getattr(market, table)))
 
 
-def _on_master(plans: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
+def _on_master(plans: dict[str, Callable[[DataFrame], DataFrame]], lifetime: bool = True) -> None:
     for name, plan in plans.items():
-        _on_market(name, lambda market, plan=plan: plan(master.build_master(market)))
+        QUERIES[name] = lambda spark, folder, plan=plan: plan(_master(spark, folder, lifetime))
 
 
 # --- sources -----------------------------------------------------------------------------------
@@ -478,13 +488,15 @@ _on_master(
         "ml_score_csat": _score_csat,
     }
 )
-for _key, _plan in {
-    "ml_first_orders": _first_orders,
-    "ml_repeat_features": _repeat,
-    "ml_repeat_model": lambda m: _train_repeat(m).metrics,
-    "ml_score_repeat": _score_repeat,
-}.items():
-    _on_market(_key, lambda k, plan=_plan: plan(master.build_master(k, lifetime=False)))
+_on_master(
+    {
+        "ml_first_orders": _first_orders,
+        "ml_repeat_features": _repeat,
+        "ml_repeat_model": lambda m: _train_repeat(m).metrics,
+        "ml_score_repeat": _score_repeat,
+    },
+    lifetime=False,
+)
 _on_market("ml_delay_features", features.delay_features)
 _on_market("ml_delay_model", _delay_model)
 _on_market("ml_recommendations", _advice)

@@ -42,7 +42,14 @@ PAYMENT_TYPE = """
         ELSE 'debit_card'
     END
 """
-LINE_PRICE = "CAST(round(l_extendedprice) / 100 AS DECIMAL(18,2))"
+
+
+def _cents(amount: str) -> str:
+    """A whole number of cents as DECIMAL(18,2); from an integer, since text conversion of doubles is slow."""
+    return f"CAST(CAST(CAST(round({amount}) AS BIGINT) AS DECIMAL(15,0)) * 0.01BD AS DECIMAL(18,2))"
+
+
+LINE_PRICE = _cents("l_extendedprice")
 
 
 def _minutes(count: str) -> str:
@@ -120,7 +127,7 @@ class StarMarket(MarketTables):
             "l_partkey AS product_id",
             "l_suppkey AS seller_id",
             f"{LINE_PRICE} AS price",
-            "CAST(round(l_extendedprice * (l_tax + 0.05)) / 100 AS DECIMAL(18,2)) AS freight_value",
+            f"{_cents('l_extendedprice * (l_tax + 0.05D)')} AS freight_value",
         )
 
     @cached_property
