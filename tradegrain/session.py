@@ -22,6 +22,8 @@ def build_session(app: str = "tradegrain", master: str | None = None, **conf: st
         # A split hot key is worth one more shuffle when an aggregate follows the join.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoint files go once no DataFrame refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
