@@ -44,9 +44,22 @@ def test_entry_returns_rows(spark):
     assert contract.entry(spark).count() == 10
 
 
+def single_partition_inputs(plan: str) -> set[str]:
+    """What feeds each step that runs in one task: it must be an aggregate's few rows."""
+    lines = plan.split("\n")
+    found = set()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            below = " ".join(lines[i + 1 : i + 3])
+            known = "aggregate" if "Aggregate" in below else "ten plan lengths" if "Installments" in below else below
+            found.add(known)
+    return found
+
+
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_its_statement(spark, database, name):
     df = QUERIES[name](spark, SMALL)
-    assert differences(df, database, STATEMENTS[name]) == []
     plan = plan_of(df)
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert single_partition_inputs(plan) <= {"aggregate", "ten plan lengths"}
+    assert differences(df, database, STATEMENTS[name]) == []

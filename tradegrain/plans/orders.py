@@ -16,16 +16,19 @@ def order_count(orders: DataFrame) -> DataFrame:
     return orders.agg(row_count().alias("total_orders"))
 
 
+def _per_status(orders: DataFrame) -> DataFrame:
+    return orders.groupBy("order_status").agg(row_count().alias("total_orders"))
+
+
 def by_status(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("order_status").agg(row_count().alias("total_orders")).orderBy(
-        F.desc("total_orders"), "order_status"
-    )
+    return _per_status(orders).orderBy(F.desc("total_orders"), "order_status")
 
 
 def status_share(orders: DataFrame) -> DataFrame:
     whole = F.sum("total_orders").over(W.partitionBy())  # one row per status
-    return by_status(orders).withColumn(
-        "percentage_of_orders", round_up(percent(F.col("total_orders"), whole), 2)
+    share = round_up(percent(F.col("total_orders"), whole), 2)
+    return _per_status(orders).withColumn("percentage_of_orders", share).orderBy(
+        F.desc("total_orders"), "order_status"
     )
 
 
