@@ -9,8 +9,11 @@ import pytest
 import __spark_entry__ as contract
 from checks.compare import connect, differences
 from tests.conftest import SMALL, plan_of
+from tradegrain.registry import QUERIES as REGISTERED
 
-QUERIES, STATEMENTS = contract.queries(), contract.oracle_sql()
+# The commerce queries; the text operators have tests of their own.
+QUERIES = REGISTERED
+STATEMENTS = {name: sql for name, sql in contract.oracle_sql().items() if name in REGISTERED}
 
 # Fitted models have no SQL counterpart; tests/test_models.py covers them.
 FITTED = {
@@ -40,6 +43,10 @@ def test_only_fitted_models_lack_a_statement():
     assert set(QUERIES) - set(STATEMENTS) == FITTED and set(STATEMENTS) <= set(QUERIES)
 
 
+def test_contract_offers_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry_returns_rows(spark):
     assert contract.entry(spark).count() == 10
 
