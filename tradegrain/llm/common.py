@@ -53,26 +53,59 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordIds:
-    """64-bit hashes of words, remembered up to ``limit`` distinct words so memory stays bounded."""
+class Column64:
+    """A numpy column that grows at its end."""
+
+    def __init__(self, dtype):
+        self._all, self.size = np.empty(1024, dtype=dtype), 0
+
+    def extend(self, values) -> None:
+        need = self.size + len(values)
+        if need > len(self._all):
+            self._all = np.concatenate([self._all, np.empty(max(need, len(self._all)), dtype=self._all.dtype)])
+        self._all[self.size : need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._all[: self.size]
+
+
+class Words:
+    """Positions of distinct words, so per-word work is done once; starts afresh beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         self.limit, self.known = limit, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def learn(self, texts: list[list[bytes]]) -> tuple[list[bytes], bool]:
+        """Words of these texts that are new, in order, and whether all earlier positions are void."""
+        fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in self.known]
+        afresh = len(self.known) + len(fresh) > self.limit
+        if afresh:
+            self.known = {}
+            fresh = list(dict.fromkeys(w for words in texts for w in words))
+        start = len(self.known)
+        self.known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        return fresh, afresh
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+class WordIds:
+    """64-bit hashes of words, each hashed once."""
+
+    def __init__(self):
+        self.words, self.hashes = Words(), Column64(np.uint64)
+
+    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         import xxhash
 
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        digest = xxhash.xxh64_intdigest
-        out = []
-        for word in words:
-            value = known.get(word)
-            if value is None:
-                value = known[word] = digest(word)
-            out.append(value)
-        return np.array(out, dtype=np.uint64)
+        fresh, afresh = self.words.learn(texts)
+        if afresh:
+            self.hashes = Column64(np.uint64)
+        self.hashes.extend([xxhash.xxh64_intdigest(w) for w in fresh])
+        return [self.hashes.values[self.words.places(words)] for words in texts]
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:

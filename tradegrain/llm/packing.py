@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import batches
+from tradegrain.llm.common import Column64, Words, batches
 
 SEQUENCE_BITS = 32  # a sequence id is the task number above these bits and a running number below
 PIECES = (
@@ -187,61 +188,45 @@ def pack(
     return chosen.mapInArrow(run, PIECES)
 
 
-def document_encoder(vocabulary: str, end_id: int = 2, word_limit: int = 300_000):
+def document_encoder(vocabulary: str, end_id: int = 2):
     """An ``encode`` for plain texts: ids of ``vocabulary`` (a tokenizers file that never joins words over white
     space) and then ``end_id``, every token bearing loss. A null text is empty.
 
-    Texts are cut at ASCII white space and each distinct word is tokenized once per task, up to ``word_limit``
-    remembered words.
+    Texts are cut at ASCII white space and each distinct word is tokenized once per task, as long as it is held.
     """
 
     def start():
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        places: dict[bytes, int] = {}
-        pool = np.empty(1 << 20, dtype=np.uint32)
-        begins, sizes, used = [], [], 0
-
-        def learn(words: list[bytes]) -> None:
-            nonlocal pool, used
-            unknown = [w for w in dict.fromkeys(words) if w not in places]
-            if len(places) + len(unknown) > word_limit:
-                places.clear()
-                begins.clear()
-                sizes.clear()
-                used = 0
-                unknown = list(dict.fromkeys(words))
-            encoded = tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-            for word, one in zip(unknown, encoded, strict=True):
-                ids = one.ids
-                if used + len(ids) > len(pool):
-                    pool = np.concatenate([pool, np.empty(max(len(pool), len(ids)), dtype=np.uint32)])
-                pool[used : used + len(ids)] = ids
-                places[word] = len(begins)
-                begins.append(used)
-                sizes.append(len(ids))
-                used += len(ids)
+        known, begins, sizes, pool = Words(), Column64(np.int64), Column64(np.int64), Column64(np.uint32)
 
         def encode(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+            nonlocal begins, sizes, pool
             out = []
             for at in range(0, len(rows), 64):
                 texts = [(row[0] or "").encode().split() for row in rows[at : at + 64]]
-                learn([w for words in texts for w in words])
-                start_of, size_of = np.array(begins, dtype=np.int64), np.array(sizes, dtype=np.int64)
-                for words in texts:
-                    index = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
-                    size = size_of[index] if len(index) else index
-                    ends = np.cumsum(size)
-                    total = int(ends[-1]) if len(ends) else 0
-                    ids = np.empty(total + 1, dtype=np.uint32)
-                    if total:
-                        ids[:-1] = pool[np.repeat(start_of[index] - (ends - size), size) + np.arange(total)]
-                    ids[-1] = end_id
-                    out.append((ids, np.ones(total + 1, dtype=bool)))
+                fresh, afresh = known.learn(texts)
+                if afresh:
+                    begins, sizes, pool = Column64(np.int64), Column64(np.int64), Column64(np.uint32)
+                encoded = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+                ids = [one.ids for one in encoded]
+                lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+                begins.extend(pool.size + np.cumsum(lengths) - lengths)
+                sizes.extend(lengths)
+                pool.extend(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())))
+                out += [joined(known.places(words)) for words in texts]
             return out
 
+        def joined(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = sizes.values[index]
+            ends = np.cumsum(size)
+            total = int(size.sum())
+            ids = np.empty(total + 1, dtype=np.uint32)
+            ids[:-1] = pool.values[np.repeat(begins.values[index] - (ends - size), size) + np.arange(total)]
+            ids[-1] = end_id
+            return ids, np.ones(total + 1, dtype=bool)
+
         return encode
 
     return start
-

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradegrain.llm import chat, packing, sharding, simhash, url_rules
+from tradegrain.llm import chat, packing, quality, sharding, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def op3_packing(spark: SparkSession, folder: str, vocabulary: str | None = None)
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"), label_col="toxic")
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents")).drop("text_key", "lang")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=4, max_bits=4)
 
@@ -52,6 +60,8 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op8_url_rules": op8_url_rules,
     "op9_perspectives": op9_perspectives,

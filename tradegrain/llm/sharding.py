@@ -57,9 +57,9 @@ def difference(sizes: list[int], parts: int) -> list[int]:
 
 def _deal(shards: int):
     def deal(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["size", "grain", "heavy"], ascending=[False, True, True], kind="stable")
+        items = items.sort_values(["size", "item", "heavy"], ascending=[False, True, True], kind="stable")
         found = difference([int(s) for s in items["size"]], shards)
-        return pd.DataFrame({"grain": items["grain"].to_numpy(), "heavy": items["heavy"].to_numpy(), "shard": found})
+        return pd.DataFrame({"item": items["item"].to_numpy(), "heavy": items["heavy"].to_numpy(), "shard": found})
 
     return deal
 
@@ -84,21 +84,22 @@ def shard_by_bytes(
     sized = store(sized, "shard-sizes")  # the text is read once; every later pass reads these few bytes a row
     totals = sized.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     all_bytes, all_rows = totals["bytes"] or 0, totals["rows"]
-    key = ["text_key", "text_crc32"]
     heavy = F.col("size") * grains > F.lit(all_bytes)
     grain = F.pmod(F.xxhash64("text_key", F.lit("grain")), F.lit(grains)).cast("long")
-    dealt = (
-        sized.groupBy(*key)
-        .agg(F.sum("size").alias("size"))
-        .select(*key, F.when(heavy, F.col("text_key")).otherwise(grain).alias("grain"), heavy.alias("heavy"), "size")
-    )
-    items = dealt.groupBy("grain", "heavy").agg(F.sum("size").alias("size"))
-    placed = items.groupBy().applyInPandas(_deal(shards), "grain long, heavy boolean, shard int")
-    # At most two items for each grain: the bound of this broadcast.
-    homes = dealt.join(F.broadcast(placed), ["grain", "heavy"]).select(*key, "shard")
+    groups = sized.groupBy("text_key").agg(F.sum("size").alias("size"))
+    dealt = groups.select(F.when(heavy, F.col("text_key")).otherwise(grain).alias("item"), heavy.alias("heavy"), "size")
+    items = dealt.groupBy("item", "heavy").agg(F.sum("size").alias("size"))
+    placed = store(items.groupBy().applyInPandas(_deal(shards), "item long, heavy boolean, shard int"), "shard-items")
+    # At most ``grains`` rows in each: the bound of these broadcasts.
+    own = placed.filter("heavy").select(F.col("item").alias("text_key"), F.col("shard").alias("own_shard"))
+    light = placed.filter("NOT heavy").select(F.col("item").alias("grain"), F.col("shard").alias("grain_shard"))
     stretches = max(1, math.ceil(all_rows / (STRETCH * shards)))
-    located = sized.join(homes, key).withColumn(
-        "stretch", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(stretches))
+    stretch = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(stretches))
+    located = (
+        sized.withColumns({"grain": grain, "stretch": stretch})
+        .join(F.broadcast(own), "text_key", "left")
+        .join(F.broadcast(light), "grain", "left")
+        .withColumn("shard", F.coalesce("own_shard", "grain_shard"))
     )
     return _numbered(located).select(
         "doc_id",
