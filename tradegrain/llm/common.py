@@ -71,25 +71,35 @@ class Column64:
         return self._all[: self.size]
 
 
+class _Known(dict):
+    """Words and their positions; a word that is looked up for the first time gets the next one."""
+
+    fresh: list[bytes]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class Words:
-    """Positions of distinct words, so per-word work is done once; starts afresh beyond ``limit`` words."""
+    """Positions of distinct words, so that per-word work is done once.
+
+    Memory is bounded by ``limit`` words and those of one call: beyond the limit the next call starts afresh.
+    """
 
     def __init__(self, limit: int = 300_000):
-        self.limit, self.known = limit, {}
+        self.limit, self.known = limit, _Known()
 
-    def learn(self, texts: list[list[bytes]]) -> tuple[list[bytes], bool]:
-        """Words of these texts that are new, in order, and whether all earlier positions are void."""
-        fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in self.known]
-        afresh = len(self.known) + len(fresh) > self.limit
+    def index(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[bytes], bool]:
+        """Positions of each text's words, the words new in this call, and whether earlier positions are void."""
+        afresh = len(self.known) > self.limit
         if afresh:
-            self.known = {}
-            fresh = list(dict.fromkeys(w for words in texts for w in words))
-        start = len(self.known)
-        self.known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-        return fresh, afresh
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            self.known = _Known()
+        self.known.fresh = fresh = []
+        look = self.known.__getitem__
+        found = [np.fromiter(map(look, words), dtype=np.int64, count=len(words)) for words in texts]
+        return found, fresh, afresh
 
 
 class WordIds:
@@ -101,11 +111,11 @@ class WordIds:
     def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         import xxhash
 
-        fresh, afresh = self.words.learn(texts)
+        places, fresh, afresh = self.words.index(texts)
         if afresh:
             self.hashes = Column64(np.uint64)
         self.hashes.extend([xxhash.xxh64_intdigest(w) for w in fresh])
-        return [self.hashes.values[self.words.places(words)] for words in texts]
+        return [self.hashes.values[at] for at in places]
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:

@@ -11,9 +11,10 @@ no group whose size the data decide, and a task that runs again on the same spli
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tradegrain.llm.common import Column64, Words, batches
 
+WORD_END = "</w>"  # what ends the last token of a word in the vocabulary
 SEQUENCE_BITS = 32  # a sequence id is the task number above these bits and a running number below
 PIECES = (
     "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, "
@@ -193,40 +195,102 @@ def document_encoder(vocabulary: str, end_id: int = 2):
     space) and then ``end_id``, every token bearing loss. A null text is empty.
 
     Texts are cut at ASCII white space and each distinct word is tokenized once per task, as long as it is held.
+    The vocabulary's normalizer lower-cases, so letter case is settled before words are compared, and one full
+    stop or comma after a letter is a token of its own, so it is split off. Words that could hold a special
+    token's name are left as they are. Words of lower-case letters only would pass the normalizer unchanged and the
+    word splitter as one piece, so they go straight to the vocabulary's model.
     """
 
     def start():
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        known, begins, sizes, pool = Words(), Column64(np.int64), Column64(np.int64), Column64(np.uint32)
+        words, parts = Words(), Words(1 << 60)  # parts go when words go
+        ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)  # of parts
+        cores, tails = Column64(np.int64), Column64(np.int64)  # of words, as positions among parts
+
+        plain = Tokenizer(tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        is_end = np.array([(tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(tokenizer.get_vocab_size())])
+
+        def split_ids(chosen: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the parts one after another, and how many each has."""
+            if simple:
+                letters = b" ".join(chosen).decode("latin-1").translate(_BYTE_LETTERS)
+                found = np.array(plain.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                stops = np.flatnonzero(is_end[found]) + 1
+                if len(stops) == len(chosen):
+                    return found, np.diff(stops, prepend=0)
+            encoded = tokenizer.encode_batch_fast([p.decode() for p in chosen], add_special_tokens=False)
+            single = [one.ids for one in encoded]
+            lengths = np.fromiter(map(len, single), dtype=np.int64, count=len(single))
+            return np.fromiter(chain.from_iterable(single), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+        def tokenize(fresh: list[bytes]) -> None:
+            """Learn the ids of new parts: plain words go to the model in one string, the rest one by one."""
+            kinds = np.fromiter(map(_is_simple, fresh), dtype=bool, count=len(fresh))
+            begin, size = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
+            for simple in (True, False):
+                chosen = list(compress(fresh, kinds == simple))
+                if chosen:
+                    found, lengths = split_ids(chosen, simple)
+                    begin[kinds == simple] = ids.size + np.cumsum(lengths) - lengths
+                    size[kinds == simple] = lengths
+                    ids.extend(found)
+            begins.extend(begin)
+            sizes.extend(size)
 
         def encode(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-            nonlocal begins, sizes, pool
+            nonlocal parts, ids, begins, sizes, cores, tails
             out = []
-            for at in range(0, len(rows), 64):
-                texts = [(row[0] or "").encode().split() for row in rows[at : at + 64]]
-                fresh, afresh = known.learn(texts)
+            for at in range(0, len(rows), 256):
+                raw = [(row[0] or "").encode() for row in rows[at : at + 256]]
+                texts = [(t if b"<|" in t else t.lower()).split() for t in raw]
+                places, fresh, afresh = words.index(texts)
                 if afresh:
-                    begins, sizes, pool = Column64(np.int64), Column64(np.int64), Column64(np.uint32)
-                encoded = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-                ids = [one.ids for one in encoded]
-                lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                begins.extend(pool.size + np.cumsum(lengths) - lengths)
-                sizes.extend(lengths)
-                pool.extend(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())))
-                out += [joined(known.places(words)) for words in texts]
+                    parts = Words(1 << 60)
+                    ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
+                    cores, tails = Column64(np.int64), Column64(np.int64)
+                cut = [_stop(w) for w in fresh]
+                (core, tail), unknown, _ = parts.index([[c for c, _ in cut], [t for _, t in cut]])
+                tokenize(unknown)
+                cores.extend(core)
+                tails.extend(tail)
+                out += [joined(p) for p in places]
             return out
 
-        def joined(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def joined(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            index = np.stack([cores.values[places], tails.values[places]], axis=1).ravel()
             size = sizes.values[index]
             ends = np.cumsum(size)
             total = int(size.sum())
-            ids = np.empty(total + 1, dtype=np.uint32)
-            ids[:-1] = pool.values[np.repeat(begins.values[index] - (ends - size), size) + np.arange(total)]
-            ids[-1] = end_id
-            return ids, np.ones(total + 1, dtype=bool)
+            found = np.empty(total + 1, dtype=np.uint32)
+            found[:-1] = ids.values[np.repeat(begins.values[index] - (ends - size), size) + np.arange(total)]
+            found[-1] = end_id
+            return found, np.ones(total + 1, dtype=bool)
 
         return encode
 
     return start
+
+
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+
+
+def _stop(word: bytes) -> tuple[bytes, bytes]:
+    """The word and a full stop or comma that ends it after a letter, else nothing."""
+    if word[-1] in b".," and len(word) > 1 and word[-2] in _LETTERS and b"<|" not in word:
+        return word[:-1], word[-1:]
+    return word, b""
+
+
+# The visible stand-ins of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in set(_PRINTABLE)]
+_BYTE_LETTERS = "".join(chr(b if b in set(_PRINTABLE) or b == 32 else 256 + _OTHERS.index(b)) for b in range(256))
+
+
+def _is_simple(part: bytes) -> bool:
+    """Whether a part is lower-case letters in composed form, nothing else."""
+    text = part.decode()
+    return text.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text)) and text == text.lower()

@@ -47,7 +47,7 @@ class Features:
         import xxhash
 
         split = [(t or "").encode().split() for t in texts]
-        fresh, afresh = self.known.learn(split)
+        places, fresh, afresh = self.known.index(split)
         if afresh:
             self.words, self.stems = Column64(np.uint64), Column64(np.uint64)
         forms = [w.decode().lower() for w in fresh]
@@ -56,8 +56,7 @@ class Features:
         # Zero stands for no beginning of its own.
         self.stems.extend([xxhash.xxh64_intdigest(f[:STEM], 1) | 1 if len(f) > STEM else 0 for f in forms])
         out = []
-        for one in split:
-            at = self.known.places(one)
+        for at in places:
             ids, begun = self.words.values[at], self.stems.values[at]
             kinds = [ids, begun[begun > 0]]
             for skip in SKIPS:
