@@ -53,6 +53,13 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so few texts are held as Python objects at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 class Column64:
     """A numpy column that grows at its end."""
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import Column64, Words, batches
+from tradegrain.llm.common import Column64, Words, batches, slices
 
 WORD_END = "</w>"  # what ends the last token of a word in the vocabulary
 SEQUENCE_BITS = 32  # a sequence id is the task number above these bits and a running number below
@@ -161,7 +161,7 @@ def pack(
         def packed() -> Iterator[tuple]:
             pool: list[Item] = []
             tokens = 0
-            for part in parts:
+            for part in slices(parts):
                 keys = part.column(0).to_pylist()
                 rows = list(zip(*(part.column(i + 1).to_pylist() for i in range(len(columns))), strict=True))
                 for key, (ids, loss) in zip(keys, encoder(rows), strict=True):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradegrain.llm import chat, packing, quality, sharding, simhash, toxicity, url_rules
+from tradegrain.llm import chat, decontaminate, packing, quality, sharding, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=4, max_bits=4)
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(_table(spark, folder, "pages"), rules)
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_url_rules": op8_url_rules,
     "op9_perspectives": op9_perspectives,
     "op10_shards": op10_shards,

@@ -39,3 +39,16 @@ SELECT conv_id, participant, turn, position, role, name, segment, start, n_chars
   CASE WHEN role = 'assistant' THEN (n_chars - length(header) - 1)::BIGINT END AS loss_chars
 FROM placed
 """
+
+STATEMENTS["op7_decontamination"] = r"""
+WITH doc AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM documents),
+item AS (SELECT item_id, [w FOR w IN regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) AS s
+  FROM doc WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) AS s
+  FROM item WHERE len(w) > 0),
+total AS (SELECT item_id, count(*) AS total FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(total) AS total
+FROM d JOIN i USING (s) JOIN total USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(total) - 1e-9
+"""
