@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradegrain.llm import chat, decontaminate, packing, quality, sharding, simhash, toxicity, url_rules
+from tradegrain.llm import chat, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,13 +26,26 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def op3_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(_table(spark, folder, "documents"))
+
+
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
+def packed_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Packed pieces of documents under a public vocabulary, each with the checksum of its ids."""
     encode = packing.document_encoder(vocabulary or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    pieces = packing.pack(_table(spark, folder, "documents"), encode, ["text"])
+    pieces = packing.pack(docs, encode, ["text"])
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(_table(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"), label_col="toxic")
 
@@ -63,6 +76,8 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
