@@ -261,5 +261,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     dealt = parsed.join(large, "host", "left").withColumn(
         "deal", F.pmod(F.xxhash64("page_id", "url"), groups)
     )
-    texts = dealt.groupBy("host", "deal").applyInPandas(_texts, "page_id long, url string, text string")
+    # A key of its own, else rows stay where the join on host put them and a large host is one task again. Two
+    # hosts of one key would only be judged together.
+    key = F.xxhash64("host", "deal").alias("key")
+    texts = dealt.groupBy(key).applyInPandas(_texts, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))
