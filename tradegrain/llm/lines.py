@@ -29,6 +29,8 @@ MIN_WORDS = 5  # lines of fewer different words are too short to tell copies fro
 SLOT_BITS, CHUNK_BITS = 24, 12
 NEAREST = 2  # candidates per word compared at first
 BLOCK, GROUP = 8192, 60_000
+HOT_SCALE = int(16 * math.log2(BLOCK)) - 1
+_LOW = np.uint64((1 << SLOT_BITS) - 1)
 
 
 def _lines(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -45,17 +47,24 @@ def _lines(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.n
 
 
 def _sets(hashes: list[np.ndarray], rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line, ordered by rarity if given: (line of each word, words, first word, size)."""
+    """Distinct words of each line, from rare to frequent if rarity is given: (line of each word, words, first word, size).
+
+    One sort by line, rarity and leading bits of the hash. Words of a line that agree in all three stand together.
+    """
     line = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
     words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    order = np.lexsort((words, line))
-    line, words = line[order], words[order]
+    key = (line.astype(np.uint64) << np.uint64(40)) | (words >> np.uint64(32))
+    if rarity is not None:
+        key |= rarity[(words & _LOW).astype(np.int64)].astype(np.uint64) << np.uint64(32)
+    order = np.argsort(key)
+    key, words = key[order], words[order]
+    tied = np.flatnonzero((key[1:] == key[:-1]) & (words[1:] != words[:-1]))
+    if len(tied):  # different words of equal key: settle their order by the whole hash
+        order = np.lexsort((words, key))
+        words = words[order]
     new = np.ones(len(words), dtype=bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
     line, words = line[new], words[new]
-    if rarity is not None:
-        order = np.lexsort((words, rarity[(words & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)], line))
-        words = words[order]
     size = np.bincount(line, minlength=len(hashes))
     return line, words, np.cumsum(size) - size, size
 
@@ -89,7 +98,7 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
         import xxhash
 
         for part in slices(parts):
-            found, _, _ = _lines(columns_of(part, "text")[0])
+            found = [(t or "").lower().encode().split() for t in columns_of(part, "text")[0]]
             if len(words.known) > words.limit:
                 yield from flush()
             places, fresh, afresh = words.index(found)
@@ -141,6 +150,8 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
             used = (place < length[line]) & (scale[slot] > 0)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(line[used], minlength=len(size)))]).astype(np.int32)
             keep = size >= MIN_WORDS
+            # Words that may stand in more than BLOCK lines are marked by a negative place.
+            marked = np.where(scale[slot] >= HOT_SCALE, -1 - place, place)[used]
             batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs_, pa.int64()).take(pa.array(owner)),
@@ -151,7 +162,7 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
                     pa.array(packed[:, 0]),
                     pa.array(packed[:, 1]),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(words[used]))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[used])),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(marked)),
                 ],
                 names=[f.split()[0] for f in _LINES.split(", ")],
             )
@@ -207,62 +218,106 @@ def _pairs(similarity: float, nearest: int | None):
     return compare
 
 
+def _bitmap(table: DataFrame) -> np.ndarray:
+    """One bit for the low bits of every value of a one-column table, packed; its size is fixed."""
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SLOT_BITS, dtype=bool)
+        for part in parts:
+            seen[part.column(0).to_numpy(zero_copy_only=False) & ((1 << SLOT_BITS) - 1)] = True
+        packed = np.packbits(seen).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
+
+    filled = table.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    packed = np.zeros((1 << SLOT_BITS) // 64, dtype=np.int64)
+    for row in filled.toArrow().to_pylist():  # at most 2 ** SLOT_BITS / 64 rows
+        packed[row["at"]] = row["bits"]
+    return packed
+
+
+def _marked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed.view(np.uint8)).astype(bool)
+
+
+def _of_wanted(rows: DataFrame) -> DataFrame:
+    """The rows whose word some wanted set may have."""
+    sent = rows.sparkSession.sparkContext.broadcast(_bitmap(rows.filter("wanted").select("word")))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = _marked(sent.value)
+        for part in parts:
+            words = part.column(part.schema.get_field_index("word")).to_numpy(zero_copy_only=False)
+            yield part.filter(pa.array(marked[words & ((1 << SLOT_BITS) - 1)]))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _candidates(sets: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
     """(a, b) of sets that may match; a = b marks a set with candidates left out."""
     rows = sets.select(
         "doc", "key", "n", "low", "high", "wanted", F.explode(F.arrays_zip("prefix", "at")).alias("one")
     ).select("doc", "key", "n", "low", "high", "wanted", F.col("one.prefix").alias("word"), F.col("one.at").alias("at"))
     total = sets.agg(F.sum(F.size("prefix")).alias("rows")).first()["rows"] or 0
-    crowded = rows.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK)
-    split = rows.join(crowded, "word", "left").withColumn("blocks", split_count(F.coalesce("rows", F.lit(1)), BLOCK))
-    split = split.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn(
+    if nearest is None:
+        rows = _of_wanted(rows)
+    few = rows.filter("at >= 0").withColumns({c: F.lit(0).cast("long") for c in ("block", "left", "right")})
+    # Only words the counts allow to be hot are counted exactly and cut into blocks, every two of which meet.
+    many = rows.filter("at < 0").withColumn("at", -1 - F.col("at"))
+    crowded = many.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    many = many.join(crowded, "word").withColumn("blocks", split_count(F.col("rows"), BLOCK)).drop("rows")
+    many = many.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    split = split.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    many = many.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    split = few.unionByName(many.drop("blocks", "other"))
     groups = max(1, math.ceil(total / GROUP))
     dealt = split.withColumn("deal", F.pmod(F.xxhash64("word", "left", "right"), F.lit(groups)))
     names = ["deal", "word", "left", "right", "block", "doc", "key", "n", "at", "low", "high", "wanted"]
     return dealt.select(*names).groupBy("deal").applyInPandas(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
-def _words_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, words) of the wanted sets, read again from the texts; a bitmap of fixed size tells which lines to send."""
-    bits = 24
+def _address(doc: np.ndarray, text_key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.uint64) + np.uint64(3) * text_key.astype(np.uint64)) + line.astype(np.uint64))
 
-    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, dtype=bool)
+
+def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, words) of the sets with these first places, read again from the texts.
+
+    A bitmap of fixed size over places tells each scan task which lines to send, so no text is shuffled.
+    """
+
+    def locate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            seen[part.column(0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)] = True
-        packed = np.packbits(seen).view(np.int64)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
+            doc, text, line = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(_address(doc, text, line)))], names=["address"])
 
-    table = np.zeros((1 << bits) // 64, dtype=np.int64)
-    filled = keys.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    for row in filled.toLocalIterator():  # at most 2 ** 24 / 64 rows
-        table[row["at"]] = row["bits"]
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    plain = [F.coalesce("doc", F.lit(0)), F.coalesce("text_key", F.lit(0)), F.col("line")]
+    wanted = places.select(*plain).mapInArrow(locate, "address long")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, marked, sent_keys = WordIds(), np.unpackbits(sent.value.view(np.uint8)).astype(bool), set()
+        ids, marked = WordIds(), _marked(sent.value)
         for part in slices(parts):
-            found, _, _ = _lines(columns_of(part, "text")[0])
+            doc, text_key, texts = columns_of(part, "doc", "text_key", "text")
+            lines = [(t or "").lower().encode().split(b"\n") for t in texts]
+            count = np.array([len(one) for one in lines])
+            owner = np.repeat(np.arange(len(lines)), count)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            doc, text_key = (np.array([v or 0 for v in c], dtype=np.int64)[owner] for c in (doc, text_key))
+            address = _address(doc, text_key, number)
+            chosen = np.flatnonzero(marked[(address & _LOW).astype(np.int64)])
+            found = [lines[owner[i]][number[i]].split() for i in chosen.tolist()]
+            found = [words for words in found if len(words) >= MIN_WORDS]
             if not found:
                 continue
             _, words, first, size = _sets(ids(found), None)
-            key = _keys(words, first, size)
-            chosen = np.flatnonzero(marked[(key & np.uint64((1 << bits) - 1)).astype(np.int64)])
-            chosen = [i for i in chosen.tolist() if int(key[i]) not in sent_keys]
-            if len(sent_keys) > 500_000:
-                sent_keys.clear()
-            sent_keys.update(key[chosen].tolist())
-            sets = [words[first[i] : first[i] + size[i]].tobytes() for i in chosen]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(key[chosen]), pa.int64()), pa.array(sets, pa.binary())], names=["key", "words"]
-            )
+            sets = [words[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+            key = as_long(_keys(words, first, size))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets, pa.binary())], names=["key", "words"])
 
-    found = docs.select("text").mapInArrow(run, "key long, words binary")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.min("words").alias("words"))
+    found = docs.mapInArrow(run, "key long, words binary").join(places.select("key"), "key", "left_semi")
+    return found.groupBy("key").agg(F.min("words").alias("words"))
 
 
 def _matches(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -336,7 +391,8 @@ def removed_lines(
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    return store(_later(_matches(pairs, _words_of(docs, keys), similarity), places), "later-sets")
+    wanted = store(places.join(keys, "key", "left_semi"), "wanted")
+    return store(_later(_matches(pairs, _words_of(docs, wanted), similarity), wanted), "later-sets")
 
 
 def _with_removed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
