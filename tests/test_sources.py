@@ -84,3 +84,36 @@ def test_written_tables_read_back(spark, folder, tmp_path):
 def test_tables_register_for_sql(spark, folder):
     read_csv_market(spark, str(folder)).register()
     assert spark.sql("SELECT count(*) FROM orders JOIN order_items USING (order_id)").first()[0] == 2
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Shuffled and extra columns are read by header; a missing one is an error."""
+    path = tmp_path / "shuffled"
+    path.mkdir()
+    (path / "a.csv").write_text(
+        "customer_state,customer_unique_id,extra,customer_id,customer_city,customer_zip_code_prefix\nSP,u1,x,c1,santos,1310\n"
+    )
+    from tradegrain.sources.delimited import read_csv
+
+    row = read_csv(spark, str(path), "customers").collect()[0]
+    assert (row["customer_id"], row["customer_unique_id"], row["customer_state"]) == ("c1", "u1", "SP")
+    assert "extra" not in row.asDict()
+    short = tmp_path / "short"
+    short.mkdir()
+    (short / "a.csv").write_text("customer_id\nc1\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, str(short), "customers")
+
+
+def test_lenient_timestamps_ignore_the_session_zone(spark):
+    """00:30 does not exist on this day in the zone, and is read as it stands."""
+    from tradegrain.functions.temporal import lenient_timestamp
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        frame = spark.createDataFrame([("2018-11-04 00:30:00",), ("no date",)], "t string")
+        found = [r[0] for r in frame.select(lenient_timestamp(frame["t"]).cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == ["2018-11-04 00:30:00", None]

@@ -51,8 +51,8 @@ def weekday_name(ts: Column) -> Column:
 
 
 def lenient_timestamp(text: Column) -> Column:
-    """Parse text; a value that is no timestamp becomes null."""
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    """Parse text; a value that is no timestamp becomes null. The session zone plays no part."""
+    return text.try_cast("timestamp_ntz")
 
 
 def strict_timestamp(text: Column) -> Column:

@@ -184,12 +184,11 @@ def delay_features(market: MarketTables, max_rows: int | None = None) -> DataFra
         (F.col("order_status") == "delivered") & arrived().isNotNull() & promised().isNotNull()
     )
     buyer = market.customers.select("customer_id", "customer_state").distinct()
-    seller = market.sellers.select("seller_id", "seller_state").distinct()
-    joined = (
-        orders.join(_item_figures(market), "order_id")
-        .join(buyer, "customer_id", "left")
-        .join(seller, "seller_id", "left")
-    )
+    joined = orders.join(_item_figures(market), "order_id").join(buyer, "customer_id", "left")
+    if market.sellers is not None:
+        joined = joined.join(market.sellers.select("seller_id", "seller_state").distinct(), "seller_id", "left")
+    else:  # without sellers every route counts as interstate
+        joined = joined.withColumn("seller_state", F.lit(None).cast("string"))
     side = {k: F.coalesce(f"product_{k}_cm", F.lit(v)) for k, v in fixed.DEFAULT_DIMENSIONS_CM.items()}
     shaped = joined.select(
         "order_id",

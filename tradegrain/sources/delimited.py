@@ -32,16 +32,20 @@ TIME_PATTERN = "yyyy-MM-dd HH:mm:ss"
 
 
 def read_csv(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
-    """Scan one table with a header line and its declared schema."""
-    return (
-        spark.read.schema(schema or SCHEMAS[table])
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", table in MULTILINE_TABLES)
-        .option("timestampNTZFormat", TIME_PATTERN)
-        .csv(path)
-    )
+    """Scan one table with a header line; columns are found by name and have their declared types.
+
+    Columns that are not declared are left out. A missing column is an error, as is a file whose header differs
+    from the first one's.
+    """
+    declared = schema or SCHEMAS[table]
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": table in MULTILINE_TABLES}
+    names = spark.read.options(**options).csv(path).columns  # reads the header line only
+    missing = [name for name in declared.names if name not in names]
+    if missing and names:
+        raise ValueError(f"{table}: no column {', '.join(missing)} in {path}")
+    present = [declared[n] if n in declared.names else T.StructField(n, T.StringType()) for n in names]
+    read = spark.read.schema(T.StructType(present) if names else declared).options(**options)
+    return read.option("enforceSchema", False).option("timestampNTZFormat", TIME_PATTERN).csv(path).select(*declared.names)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
