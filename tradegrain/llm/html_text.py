@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import columns_of, slices, split_count
+from tradegrain.llm.common import columns_of, slices, split_count, store
 from tradegrain.llm.url_rules import split_url
 
 RUN = 8  # words of the shortest boilerplate, a power of two
 GROUP_CHARS = 4_000_000  # characters of html a group of pages has at most on average
+MAX_SENT_HOSTS = 50_000  # large hosts that are broadcast at most
 
 DROP, KEEP, OPEN = "0", "1", "2"
 _JOIN = "\x1f"  # between blocks; white space, so never inside one
@@ -241,6 +242,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
     ).withColumn("host", split_url(F.col("url"))[0])
     large = chosen.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).filter(F.col("chars") > GROUP_CHARS)
+    large = store(large, "large-hosts")
+    # Few large hosts go to every task, so pages are shuffled once; more of them are joined by a shuffle.
+    if large.count() <= MAX_SENT_HOSTS:
+        large = F.broadcast(large)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
