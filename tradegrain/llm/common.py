@@ -125,6 +125,54 @@ class WordIds:
         return [self.hashes.values[at] for at in places]
 
 
+_WINDOW = 1 << 16
+_STEP = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided out
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(step: int, count: int) -> np.ndarray:
+    steps = np.full(count, step, dtype=np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps)
+
+
+_BYTES = mix(np.arange(1, 257))
+_UP, _DOWN = _powers(_STEP, _WINDOW), _powers(pow(_STEP, -1, 1 << 64), _WINDOW)
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where it starts.
+
+    Rolling hashes by running sums over windows of ``_WINDOW`` bytes that end between words; only a longer word
+    needs more memory.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = _SPACES[raw]
+    hashes, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(raw):
+        end = min(at + _WINDOW, len(raw))
+        if end < len(raw):
+            gaps = np.flatnonzero(space[at:end])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                more = int(np.argmax(space[end:]))
+                end = end + more + 1 if space[end + more] else len(raw)
+        size = end - at
+        up, down = _UP, _DOWN
+        if size > _WINDOW:
+            up, down = _powers(_STEP, size), _powers(pow(_STEP, -1, 1 << 64), size)
+        outside = np.concatenate([[True], space[at:end], [True]])
+        edges = np.flatnonzero(outside[1:] != outside[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[raw[at:end]] * up[:size], out=sums[1:])
+        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        places.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """One 64-bit hash per run of ``size`` words, in order; a shorter text is one run, an empty text none."""
     if not len(ids):

@@ -22,50 +22,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import Column64, WordIds, Words, as_long, columns_of, mix, slices, split_count, store
+from tradegrain.llm.common import as_long, columns_of, hashed_words, mix, slices, split_count, store
 
 SIMILARITY = 0.8
 MIN_WORDS = 5  # lines of fewer different words are too short to tell copies from chance
-SLOT_BITS, CHUNK_BITS = 24, 12
+SLOT_BITS, CHUNK_BITS = 24, 16
 NEAREST = 2  # candidates per word compared at first
-BLOCK, GROUP = 8192, 60_000
+BLOCK, GROUP, RUN = 8192, 60_000, 1 << 20
 HOT_SCALE = int(16 * math.log2(BLOCK)) - 1
 _LOW = np.uint64((1 << SLOT_BITS) - 1)
 
 
-def _lines(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of all lines of the texts, and for each line its text's and its own number."""
-    found, owner, number = [], [], []
+def _joined(texts: list[str | None]) -> Iterator[tuple[slice, bytes, np.ndarray]]:
+    """Runs of texts as lower-cased bytes, a line end after each, with the place of each text; about ``RUN`` bytes."""
+    data, begin, held = [], 0, 0
     for i, text in enumerate(texts):
-        for n, line in enumerate((text or "").lower().encode().split(b"\n")):
-            words = line.split()
-            if len(words) >= MIN_WORDS:
-                found.append(words)
-                owner.append(i)
-                number.append(n)
-    return found, np.array(owner, dtype=np.int64), np.array(number, dtype=np.int64)
-
-
-def _sets(hashes: list[np.ndarray], rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data.append((text or "").lower().encode())
+        held += len(data[-1])
+        if i + 1 == len(texts) or held >= RUN:
+            sizes = np.array([len(one) + 1 for one in data])
+            yield slice(begin, i + 1), b"\n".join([*data, b""]), np.cumsum(sizes) - sizes
+            data, begin, held = [], i + 1, 0
+
+
+def _line_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the lines that have ``MIN_WORDS`` or more: (which of them each word is in, words, their numbers)."""
+    words, places = hashed_words(data)
+    breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+    line = np.searchsorted(breaks, places)
+    long = np.bincount(line, minlength=len(breaks) + 1) >= MIN_WORDS
+    used = long[line]
+    return (np.cumsum(long) - 1)[line[used]], words[used], np.flatnonzero(long)
+
+
+def _lines(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines of the texts, some at a time: (line of each word, words, text of each line, its number there)."""
+    for part, data, starts in _joined(texts):
+        line, words, number = _line_words(data)
+        breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+        first = np.searchsorted(breaks, starts)
+        owner = np.searchsorted(first, number, side="right") - 1
+        if len(number):
+            yield line, words, owner + part.start, number - first[owner]
+
+
+def _sets(
+    line: np.ndarray, words: np.ndarray, count: int, rarity: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line, from rare to frequent if rarity is given: (line of each word, words, first word, size).
 
     One sort by line, rarity and leading bits of the hash. Words of a line that agree in all three stand together.
     """
-    line = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     key = (line.astype(np.uint64) << np.uint64(40)) | (words >> np.uint64(32))
     if rarity is not None:
         key |= rarity[(words & _LOW).astype(np.int64)].astype(np.uint64) << np.uint64(32)
     order = np.argsort(key)
-    key, words = key[order], words[order]
+    key, words, line = key[order], words[order], line[order]
     tied = np.flatnonzero((key[1:] == key[:-1]) & (words[1:] != words[:-1]))
     if len(tied):  # different words of equal key: settle their order by the whole hash
         order = np.lexsort((words, key))
-        words = words[order]
+        words, line = words[order], line[order]
     new = np.ones(len(words), dtype=bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
     line, words = line[new], words[new]
-    size = np.bincount(line, minlength=len(hashes))
+    size = np.bincount(line, minlength=count)
     return line, words, np.cumsum(size) - size, size
 
 
@@ -79,47 +99,28 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     width = 1 << CHUNK_BITS
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hashes, counts = Words(), Column64(np.uint64), Column64(np.int64)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            slot = (hashes.values & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-            order = np.argsort(slot)
-            slot, count = slot[order], counts.values[order]
-            starts = np.flatnonzero(np.diff(slot >> CHUNK_BITS, prepend=-1))
-            rows = [
-                (int(s[0] >> CHUNK_BITS), (s & (width - 1)).astype("<i4").tobytes(), c.astype("<i8").tobytes())
-                for s, c in zip(np.split(slot, starts[1:]), np.split(count, starts[1:]), strict=True)
-                if len(s)
-            ]
-            if rows:
-                arrays = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "slots", "counts"])
-
-        import xxhash
-
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)  # a split holds fewer words than that counts to
         for part in slices(parts):
-            found = [(t or "").lower().encode().split() for t in columns_of(part, "text")[0]]
-            if len(words.known) > words.limit:
-                yield from flush()
-            places, fresh, afresh = words.index(found)
-            if afresh:
-                hashes, counts = Column64(np.uint64), Column64(np.int64)
-            hashes.extend([xxhash.xxh64_intdigest(w) for w in fresh])
-            counts.extend(np.zeros(len(fresh), dtype=np.int64))
-            if places:
-                counts.values[:] += np.bincount(np.concatenate(places), minlength=counts.size)
-        yield from flush()
+            for _, data, _ in _joined(columns_of(part, "text")[0]):
+                slots, times = np.unique((hashed_words(data)[0] & _LOW).astype(np.int32), return_counts=True)
+                counts[slots] += times.astype(np.int32)
+        for chunk, one in enumerate(counts.reshape(-1, width)):
+            slots = np.flatnonzero(one)
+            if len(slots):
+                row = {"chunk": [chunk], "slots": [slots.astype("<u2").tobytes()], "counts": [one[slots].astype("<i4").tobytes()]}
+                yield pa.RecordBatch.from_pydict(row)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, dtype=np.int64)
         for slots, counts in zip(rows["slots"], rows["counts"], strict=True):
-            np.add.at(total, np.frombuffer(slots, "<i4"), np.frombuffer(counts, "<i8"))
+            total[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, "<i4")
         scale = np.minimum(255, np.round(16 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "scale": [scale.tobytes()]})
 
     pieces = docs.select("text").mapInArrow(run, "chunk long, slots binary, counts binary")
+    merged = pieces.groupBy("chunk").applyInPandas(merge, "chunk long, scale binary")
     table = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    for row in pieces.groupBy("chunk").applyInPandas(merge, "chunk long, scale binary").toLocalIterator():
+    for row in merged.toArrow().to_pylist():  # 2 ** SLOT_BITS bytes in all
         table[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["scale"], dtype=np.uint8)
     return table
 
@@ -132,62 +133,62 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** SLOT_BITS bytes
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scale = WordIds(), sent.value
+        scale = sent.value
         for part in slices(parts):
             docs_, text_keys, texts = columns_of(part, "doc", "text_key", "text")
-            found, owner, number = _lines(texts)
-            if not found:
-                continue
-            line, words, first, size = _sets(ids(found), scale)
-            key = _keys(words, first, size)
-            bit = (mix(words) >> np.uint64(57)).astype(np.int64)
-            signature = np.zeros((len(size), 128), dtype=bool)
-            signature[line, bit] = True
-            packed = np.packbits(signature, axis=1).view(np.int64)
-            place = np.arange(len(words)) - first[line]
-            length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-            slot = (words & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-            used = (place < length[line]) & (scale[slot] > 0)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[used], minlength=len(size)))]).astype(np.int32)
-            keep = size >= MIN_WORDS
-            # Words that may stand in more than BLOCK lines are marked by a negative place.
-            marked = np.where(scale[slot] >= HOT_SCALE, -1 - place, place)[used]
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs_, pa.int64()).take(pa.array(owner)),
-                    pa.array(text_keys, pa.int64()).take(pa.array(owner)),
-                    pa.array(number),
-                    pa.array(as_long(key)),
-                    pa.array(size),
-                    pa.array(packed[:, 0]),
-                    pa.array(packed[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(words[used]))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(marked)),
-                ],
-                names=[f.split()[0] for f in _LINES.split(", ")],
-            )
-            yield batch.filter(pa.array(keep))
+            for line, words, owner, number in _lines(texts):
+                line, words, first, size = _sets(line, words, len(number), scale)
+                key = _keys(words, first, size)
+                bit = (mix(words) >> np.uint64(57)).astype(np.int64)
+                signature = np.zeros((len(size), 128), dtype=bool)
+                signature[line, bit] = True
+                packed = np.packbits(signature, axis=1).view(np.int64)
+                place = np.arange(len(words)) - first[line]
+                length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+                slot = (words & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+                used = (place < length[line]) & (scale[slot] > 0)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(line[used], minlength=len(size)))]).astype(np.int32)
+                keep = size >= MIN_WORDS
+                # Words that may stand in more than BLOCK lines are marked by a negative place.
+                marked = np.where(scale[slot] >= HOT_SCALE, -1 - place, place)[used]
+                batch = pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(docs_, pa.int64()).take(pa.array(owner)),
+                        pa.array(text_keys, pa.int64()).take(pa.array(owner)),
+                        pa.array(number),
+                        pa.array(as_long(key)),
+                        pa.array(size),
+                        pa.array(packed[:, 0]),
+                        pa.array(packed[:, 1]),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(words[used]))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(marked)),
+                    ],
+                    names=[f.split()[0] for f in _LINES.split(", ")],
+                )
+                yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, _LINES)
 
 
+_MEETINGS = "spot long, key long, n long, at long, low long, high long, block long, whole boolean, wanted boolean"
+
+
 def _pairs(similarity: float, nearest: int | None):
-    """Candidate pairs of each word's sets, in order of document; ``more`` marks sets with candidates left out."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["word", "left", "right", "doc", "key"], na_position="first")
-        run = (rows[["word", "left", "right"]].diff().fillna(1) != 0).any(axis=1).cumsum().to_numpy()
-        key, n, at, block = (rows[c].to_numpy() for c in ("key", "n", "at", "block"))
-        wanted = rows["wanted"].to_numpy()
-        whole = (rows["left"] == rows["right"]).to_numpy()
-        signature = rows[["low", "high"]].to_numpy().view(np.uint64)
-        held, more = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=bool)
+    """Candidate pairs of the sets that meet in a spot; ``a = b`` marks sets with candidates left out.
+
+    Rows come in order of spot and document, so only the rows of an unfinished spot are held back.
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        spot, key, n, at, low, high, block, whole, wanted = (c.to_numpy() for c in rows.columns)
+        signature = np.stack([low, high], axis=1).view(np.uint64)
+        held, more = np.zeros(len(spot), dtype=np.int64), np.zeros(len(spot), dtype=bool)
         firsts, seconds = [], []
-        later, step = np.arange(len(rows)), 0
+        later, step = np.arange(len(spot)), 0
         while True:
             step += 1
             later = later[later >= step]
-            later = later[(run[later] == run[later - step]) & ~more[later]]
+            later = later[(spot[later] == spot[later - step]) & ~more[later]]
             if not len(later):
                 break
             a, b = later - step, later
@@ -195,8 +196,10 @@ def _pairs(similarity: float, nearest: int | None):
             fits &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
             a, b = a[fits], b[fits]
             needed = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
+            fits = np.minimum(n[a] - at[a], n[b] - at[b]) >= needed
+            a, b, needed = a[fits], b[fits], needed[fits]
             apart = np.bitwise_count(signature[a] ^ signature[b]).sum(axis=1)
-            fits = (1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1 >= needed) & ((n[a] + n[b] - apart) // 2 >= needed)
+            fits = (n[a] + n[b] - apart) // 2 >= needed
             a, b = a[fits], b[fits]
             if nearest is not None:
                 full = held[b] >= nearest
@@ -208,14 +211,26 @@ def _pairs(similarity: float, nearest: int | None):
         pairs = np.stack([np.concatenate(firsts or [key[:0]]), np.concatenate(seconds or [key[:0]])], axis=1)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         left_out = np.unique(key[more])
-        return pd.DataFrame(
-            {
-                "a": np.concatenate([pairs[:, 0], left_out]),
-                "b": np.concatenate([pairs[:, 1], left_out]),
-            }
-        )
+        both = [pa.array(np.concatenate([pairs[:, i], left_out])) for i in range(2)]
+        return pa.RecordBatch.from_arrays(both, names=["a", "b"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for part in parts:
+            held.append(part)
+            count += part.num_rows
+            if count < GROUP:
+                continue
+            rows = pa.Table.from_batches(held)
+            spot = rows.column(0).to_numpy()
+            whole = int(np.searchsorted(spot, spot[-1]))
+            if whole:
+                yield compare(rows.slice(0, whole))
+                held, count = rows.slice(whole).to_batches(), len(spot) - whole
+        if count:
+            yield compare(pa.Table.from_batches(held))
 
-    return compare
+    return run
 
 
 def _bitmap(table: DataFrame) -> np.ndarray:
@@ -240,28 +255,43 @@ def _marked(packed: np.ndarray) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8)).astype(bool)
 
 
-def _of_wanted(rows: DataFrame) -> DataFrame:
-    """The rows whose word some wanted set may have."""
-    sent = rows.sparkSession.sparkContext.broadcast(_bitmap(rows.filter("wanted").select("word")))
+def _prefix_rows(sets: DataFrame) -> DataFrame:
+    """One row per set and prefix word."""
+    one = F.explode(F.arrays_zip("prefix", "at")).alias("one")
+    return sets.select("doc", "key", "n", "low", "high", one).select(
+        "doc", "key", "n", "low", "high", F.col("one.prefix").alias("word"), F.col("one.at").alias("at")
+    )
+
+
+def _prefix_rows_of(sets: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of ``_prefix_rows`` whose word is among ``words``, and few others; the rest is never spread out."""
+    sent = sets.sparkSession.sparkContext.broadcast(_bitmap(words))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _marked(sent.value)
         for part in parts:
-            words = part.column(part.schema.get_field_index("word")).to_numpy(zero_copy_only=False)
-            yield part.filter(pa.array(marked[words & ((1 << SLOT_BITS) - 1)]))
+            lists, places = part.column(5), part.column(6)
+            owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            words, at = (c.flatten().to_numpy(zero_copy_only=False) for c in (lists, places))
+            hit = marked[words & ((1 << SLOT_BITS) - 1)]
+            kept = part.select(range(5)).take(pa.array(owner[hit]))
+            columns = [*kept.columns, pa.array(words[hit]), pa.array(at[hit])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "word", "at"])
+
+    names = ["doc", "key", "n", "low", "high"]
+    schema = ", ".join(f"{c} long" for c in [*names, "word", "at"])
+    return sets.select(*names, "prefix", "at").mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, rows.schema)
 
+def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
+    """(a, b) of sets that may match, of the rows of ``_prefix_rows`` and ``wanted``; a = b marks a set with
+    candidates left out.
 
-def _candidates(sets: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
-    """(a, b) of sets that may match; a = b marks a set with candidates left out."""
-    rows = sets.select(
-        "doc", "key", "n", "low", "high", "wanted", F.explode(F.arrays_zip("prefix", "at")).alias("one")
-    ).select("doc", "key", "n", "low", "high", "wanted", F.col("one.prefix").alias("word"), F.col("one.at").alias("at"))
-    total = sets.agg(F.sum(F.size("prefix")).alias("rows")).first()["rows"] or 0
-    if nearest is None:
-        rows = _of_wanted(rows)
-    few = rows.filter("at >= 0").withColumns({c: F.lit(0).cast("long") for c in ("block", "left", "right")})
+    Sets meet in spots: a word, or two blocks of a word that stands in many sets.
+    """
+    few = rows.filter("at >= 0").withColumns(
+        {"spot": F.col("word"), "block": F.lit(0).cast("long"), "whole": F.lit(True)}
+    )
     # Only words the counts allow to be hot are counted exactly and cut into blocks, every two of which meet.
     many = rows.filter("at < 0").withColumn("at", -1 - F.col("at"))
     crowded = many.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
@@ -269,12 +299,12 @@ def _candidates(sets: DataFrame, similarity: float, nearest: int | None) -> Data
     many = many.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    many = many.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    split = few.unionByName(many.drop("blocks", "other"))
-    groups = max(1, math.ceil(total / GROUP))
-    dealt = split.withColumn("deal", F.pmod(F.xxhash64("word", "left", "right"), F.lit(groups)))
-    names = ["deal", "word", "left", "right", "block", "doc", "key", "n", "at", "low", "high", "wanted"]
-    return dealt.select(*names).groupBy("deal").applyInPandas(_pairs(similarity, nearest), "a long, b long").distinct()
+    left, right = F.least("block", "other"), F.greatest("block", "other")
+    many = many.withColumns({"spot": F.xxhash64("word", left, right), "whole": left == right})
+    names = [field.split()[0] for field in _MEETINGS.split(", ")]
+    dealt = few.select("doc", *names).unionByName(many.select("doc", *names)).repartition("spot")
+    ordered = dealt.sortWithinPartitions("spot", "doc", "key").select(*names)
+    return ordered.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
 def _address(doc: np.ndarray, text_key: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -297,7 +327,7 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, marked = WordIds(), _marked(sent.value)
+        marked = _marked(sent.value)
         for part in slices(parts):
             doc, text_key, texts = columns_of(part, "doc", "text_key", "text")
             lines = [(t or "").lower().encode().split(b"\n") for t in texts]
@@ -307,11 +337,11 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             doc, text_key = (np.array([v or 0 for v in c], dtype=np.int64)[owner] for c in (doc, text_key))
             address = _address(doc, text_key, number)
             chosen = np.flatnonzero(marked[(address & _LOW).astype(np.int64)])
-            found = [lines[owner[i]][number[i]].split() for i in chosen.tolist()]
-            found = [words for words in found if len(words) >= MIN_WORDS]
-            if not found:
+            found = b"\n".join([lines[owner[i]][number[i]] for i in chosen.tolist()])
+            line, words, number = _line_words(found)
+            if not len(number):
                 continue
-            _, words, first, size = _sets(ids(found), None)
+            _, words, first, size = _sets(line, words, len(number), None)
             sets = [words[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
             key = as_long(_keys(words, first, size))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets, pa.binary())], names=["key", "words"])
@@ -368,14 +398,16 @@ def removed_lines(
     sets = rows.groupBy("key").agg(first, *shape).select("key", "first.*", "n", "low", "high", "prefix", "at")
     sets = store(sets, "sets")
     places = sets.select("key", "doc", "text_key", "line")
-    near = store(_candidates(sets.withColumn("wanted", F.lit(True)), similarity, NEAREST), "candidates")
+    every = _prefix_rows(sets).withColumn("wanted", F.lit(True))
+    near = store(_candidates(every, similarity, NEAREST), "candidates")
     gone = _confirmed(chosen, near.filter("a <> b"), places, similarity)
     open_ = near.filter("a = b").select(F.col("a").alias("key")).join(gone, "key", "left_anti")
     open_ = store(open_.distinct(), "open-sets")
     if open_.limit(1).count():
-        mark = sets.join(open_.withColumn("open", F.lit(True)), "key", "left")
-        mark = mark.withColumn("wanted", F.coalesce("open", F.lit(False))).drop("open")
-        rest = _candidates(mark, similarity, None).join(near, ["a", "b"], "left_anti")
+        words = sets.join(open_, "key", "left_semi").select(F.explode("prefix").alias("word"))
+        rows_of = _prefix_rows_of(sets, words).join(open_.withColumn("wanted", F.lit(True)), "key", "left")
+        rows_of = store(rows_of.withColumn("wanted", F.coalesce("wanted", F.lit(False))), "open-rows")
+        rest = _candidates(rows_of, similarity, None).join(near, ["a", "b"], "left_anti")
         gone = gone.union(_confirmed(chosen, store(rest, "candidates"), places, similarity)).distinct()
     firsts = F.struct("doc", "text_key", "line")
     known = places.select("key", firsts.alias("first"))
