@@ -170,7 +170,7 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
     return docs.mapInArrow(run, _LINES)
 
 
-_MEETINGS = "spot long, key long, n long, at long, low long, high long, block long, whole boolean, wanted boolean"
+_MEETINGS = ["spot", "key", "shape", "low", "high", "mark"]  # shape: n and at; mark: block, whole and wanted
 
 
 def _pairs(similarity: float, nearest: int | None):
@@ -180,7 +180,9 @@ def _pairs(similarity: float, nearest: int | None):
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        spot, key, n, at, low, high, block, whole, wanted = (c.to_numpy() for c in rows.columns)
+        spot, key, shape, low, high, mark = (c.to_numpy() for c in rows.columns)
+        n, at = shape >> 32, shape & 0xFFFFFFFF
+        block, whole, wanted = mark >> 2, (mark & 2) > 0, (mark & 1) > 0
         signature = np.stack([low, high], axis=1).view(np.uint64)
         held, more = np.zeros(len(spot), dtype=np.int64), np.zeros(len(spot), dtype=bool)
         firsts, seconds = [], []
@@ -301,9 +303,12 @@ def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> Data
     )
     left, right = F.least("block", "other"), F.greatest("block", "other")
     many = many.withColumns({"spot": F.xxhash64("word", left, right), "whole": left == right})
-    names = [field.split()[0] for field in _MEETINGS.split(", ")]
-    dealt = few.select("doc", *names).unionByName(many.select("doc", *names)).repartition("spot")
-    ordered = dealt.sortWithinPartitions("spot", "doc", "key").select(*names)
+    shape = F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("shape")
+    flags = F.when(F.col("whole"), 2).otherwise(0) + F.when(F.col("wanted"), 1).otherwise(0)
+    mark = (F.col("block") * 4 + flags).alias("mark")
+    few, many = (part.select("doc", "spot", "key", shape, "low", "high", mark) for part in (few, many))
+    dealt = few.unionByName(many).repartition("spot")
+    ordered = dealt.sortWithinPartitions("spot", "doc", "key").select(*_MEETINGS)
     return ordered.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
@@ -439,8 +444,12 @@ def _with_removed(docs: DataFrame, id_col: str, text_col: str, similarity: float
 
 
 def _without(lines: Column, gone: Column) -> Column:
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone.cast("array<int>"))
-    return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+    def join(held: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), gone.cast("array<int>"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(held, i)), "\n")
+
+    # The lines are bound to a variable, or they would be split again for each line.
+    return F.get(F.transform(F.array(lines), join), F.lit(0))
 
 
 def dedup_lines(
