@@ -41,7 +41,9 @@ add(
     """,
     master_orders="""
         SELECT order_id, customer_id, customer_unique_id, customer_city, customer_state, order_status,
-               order_purchase_timestamp, product_id, category_english, price::DOUBLE AS price,
+               order_purchase_timestamp, order_approved_at, order_delivered_carrier_date,
+               order_delivered_customer_date, order_estimated_delivery_date, customer_zip_code_prefix,
+               product_id, category_english, price::DOUBLE AS price,
                freight_value::DOUBLE AS freight_value, item_count, payment_type, payment_installments,
                payment_value::DOUBLE AS payment_value, review_score, order_year, order_month,
                order_year_month, order_date, day_of_week, delivery_days, estimated_delivery_days,
@@ -609,11 +611,12 @@ add(
                {mean('price')} AS average_product_price
         FROM p_items""",
     prf_numeric=describe(
-        """
-        SELECT 'customers' AS table_name, 'customer_zip_code_prefix' AS metric,
-               customer_zip_code_prefix::DECIMAL(18,6) AS v FROM p_customers
-        UNION ALL SELECT 'order_items', 'price', price::DECIMAL(18,6) FROM p_items
-        UNION ALL SELECT 'order_items', 'freight_value', freight_value::DECIMAL(18,6) FROM p_items""",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, '{c}' AS metric, {c}::DECIMAL(18,6) AS v FROM {source} WHERE {c} IS NOT NULL"
+            for name, (source, columns) in TABLES.items()
+            for c in columns.split()
+            if kind(c) in ("integer", "decimal", "double") and (not c.endswith("_id") or c == "order_item_id")
+        ),
         keys="table_name, metric",
     ),
     prf_schema=" UNION ALL ".join(
@@ -798,6 +801,11 @@ FITTED_AHEAD = f"""
                  {damped('k')} AS forecast
           FROM fitted, range(1, 7) AS s(k))
 """
+ALL_AHEAD = f"""
+    {FITTED_AHEAD}
+    UNION ALL SELECT customer_state, step, ds, forecast, ci_80_lower, ci_80_upper, ci_95_lower, ci_95_upper
+    FROM ({BANDED}) JOIN lines USING (customer_state) WHERE months < 12
+"""
 add(
     ts_monthly="SELECT * FROM state_months",
     ts_damped_fit=f"""
@@ -811,14 +819,11 @@ add(
               FROM fitted, range(1, 5) AS s(k))
         GROUP BY customer_state""",
     ts_forecast=FITTED_AHEAD,
-    ts_forecast_all=f"""
-        {FITTED_AHEAD}
-        UNION ALL SELECT customer_state, step, ds, forecast, ci_80_lower, ci_80_upper, ci_95_lower, ci_95_upper
-        FROM ({BANDED}) JOIN lines USING (customer_state) WHERE months < 12""",
+    ts_forecast_all=ALL_AHEAD,
     ts_fallback=BANDED,
     ts_quarter_growth=f"""
         WITH ahead AS (
-            SELECT customer_state, list_sum(list(forecast ORDER BY step)) AS projected FROM ({FALLBACK})
+            SELECT customer_state, list_sum(list(forecast ORDER BY step)) AS projected FROM ({ALL_AHEAD})
             WHERE step <= 3 GROUP BY customer_state),
         recent AS (SELECT customer_state, list_sum(y[greatest(1, months - 2):months]) AS r FROM lines)
         SELECT customer_state, {even('projected')} AS projected_revenue, r AS recent_revenue,
@@ -827,7 +832,7 @@ add(
     ts_scenarios="SELECT customer_state, step, ds, "
     + ", ".join(f"{c} * multiplier AS {c}" for c in ["forecast", *BANDS])
     + f""", scenario, multiplier
-        FROM ({BANDED}), (VALUES ('Baseline', 1.0::DOUBLE), ('Optimistic', 1.1::DOUBLE),
+        FROM ({ALL_AHEAD}), (VALUES ('Baseline', 1.0::DOUBLE), ('Optimistic', 1.1::DOUBLE),
                                  ('Conservative', 0.9::DOUBLE)) AS v(scenario, multiplier)""",
     fmt_forecast='SELECT customer_state, ds AS "Forecast Month", '
     + ", ".join(
@@ -838,7 +843,7 @@ add(
             strict=True,
         )
     )
-    + f" FROM ({BANDED})",
+    + f" FROM ({ALL_AHEAD})",
     whatif_sweep=f"""
         WITH base AS (
             SELECT customer_state, count(DISTINCT order_id) AS total_orders,

@@ -111,6 +111,11 @@ MASTER_COLUMNS = [
     "customer_state",
     "order_status",
     "order_purchase_timestamp",
+    "order_approved_at",
+    "order_delivered_carrier_date",
+    "order_delivered_customer_date",
+    "order_estimated_delivery_date",
+    "customer_zip_code_prefix",
     "product_id",
     "category_english",
     "price",
@@ -344,6 +349,15 @@ _on_market("rev_by_delivery", reviews.by_delivery)
 
 # --- exploration and data quality --------------------------------------------------------------
 
+def _measures(market: MarketTables) -> dict[str, DataFrame]:
+    """All tables without their keys, which are numbers in this data; the item's running number is no key."""
+
+    def kept(name: str) -> bool:
+        return not name.endswith("_id") or name == "order_item_id"
+
+    return {name: t.select(*[c for c in t.columns if kept(c)]) for name, t in market.tables().items()}
+
+
 _on_market("eda_monthly_sales", eda.monthly_sales)
 _on_market("eda_best_worst_month", lambda k: eda.best_worst_month(eda.monthly_sales(k)))
 _on_market("eda_aov_extremes", lambda k: eda.order_value_extremes(eda.monthly_sales(k)))
@@ -354,12 +368,7 @@ _on_market("eda_customer_orders", eda.orders_per_customer_summary)
 _on_market("eda_repeat_rate", eda.repeat_rate)
 _on_table("order_items", {"prf_money": eda.money_totals})
 _on_market("prf_schema", lambda k: quality.schema_report(k.tables()))
-_on_market(
-    "prf_numeric",
-    lambda k: quality.numeric_summary(
-        {"customers": k.customers.select("customer_zip_code_prefix"), "order_items": k.order_items.select("price", "freight_value")}
-    ),
-)
+_on_market("prf_numeric", lambda k: quality.numeric_summary(_measures(k)))
 _on_market("dq_nulls", lambda k: quality.null_report(k.tables()))
 _on_market("dq_duplicates", lambda k: quality.duplicate_report(k.tables()))
 _on_table("customers", {"dq_distinct": lambda t: quality.distinct_values(t, "customer_state")})
@@ -525,9 +534,9 @@ _on_master(
         "ts_forecast": lambda m: forecast.forecast(forecast.fit(_lines(m)), STATE),
         "ts_forecast_all": _ahead,
         "ts_fallback": lambda m: forecast.fallback(_lines(m), STATE),
-        "ts_quarter_growth": lambda m: forecast.quarter_growth(_lines(m), forecast.fallback(_lines(m), STATE), STATE),
-        "ts_scenarios": lambda m: forecast.scenarios(forecast.fallback(_lines(m), STATE)),
-        "fmt_forecast": lambda m: presentation.forecast(forecast.fallback(_lines(m), STATE), STATE),
+        "ts_quarter_growth": lambda m: forecast.quarter_growth(_lines(m), _ahead(m), STATE),
+        "ts_scenarios": lambda m: forecast.scenarios(_ahead(m)),
+        "fmt_forecast": lambda m: presentation.forecast(_ahead(m), STATE),
         "whatif_sweep": lambda m: whatif.sweep(whatif.group_figures(m, STATE)),
     }
 )
