@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from checks.compare import differences
 from tests.conftest import SMALL
-from tradegrain.llm import chat, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
+from tradegrain.llm import chat, common, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
 from tradegrain.llm.queries import QUERIES
 from tradegrain.llm.statements import STATEMENTS
 
@@ -272,3 +272,15 @@ def test_shards(spark, docs, none, small):
     mean = sum(sizes.values()) / 24
     assert max(sizes.values()) <= 1.02 * max(mean, max(len((t or "").encode()) + 8 for t in small.values()))
     assert sharding.shard_by_bytes(docs).count() == len(ROWS) and sharding.shard_by_bytes(none).count() == 0
+
+
+def test_hashed_words_cut_like_split():
+    """Same words, same hashes, also for words longer than a window and bytes above ASCII."""
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 50, 70_000, 200_000):
+        data = bytes(rng.choice(np.frombuffer(b"abcde \n\t\xc3", np.uint8), size))
+        data += b" " + b"x" * size + b" " + data
+        hashes, places = common.hashed_words(data)
+        words = data.split()
+        assert [data[at : at + len(w)] for at, w in zip(places.tolist(), words, strict=True)] == words
+        assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
