@@ -99,6 +99,39 @@ def test_lines_equal_brute_force(spark, small):
         assert row["text"] == "\n".join(kept)
 
 
+def brute_places(frame, floor: int) -> set:
+    """(doc, text_key, line) of every line that matches one of an earlier place."""
+    rows = frame.select("doc_id", F.xxhash64("text").alias("key"), "text").distinct().collect()
+    earlier, gone = [], set()
+    for doc, key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        for n, line in enumerate((text or "").split("\n")):
+            words = set(line.lower().encode().split())
+            if len(words) >= floor:
+                if any(len(words & e) >= 0.8 * len(words | e) for e in earlier):
+                    gone.add((doc, key, n))
+                earlier.append(words)
+    return gone
+
+
+def test_lines_of_one_document_in_their_order(spark):
+    """Chains of similar lines inside one document, and in rows of one id, meet in the order in which lines go."""
+    rng = np.random.default_rng(7)
+
+    def chains() -> str:
+        held = []
+        for chain in range(12):
+            words = [f"c{chain}w{i}" for i in range(9)]
+            for step in range(40):
+                words[int(rng.integers(9))] = f"c{chain}v{int(rng.integers(12))}"
+                held.append(" ".join(words))
+        return "\n".join(held)
+
+    rows = [(1, chains()), (1, chains()), (None, chains()), (None, chains()), (2, chains())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.removed_lines(frame).collect()
+    assert {(r["doc"], r["text_key"], r["line"]) for r in found} == brute_places(frame, 5)
+
+
 def test_lines_edge_cases(docs, none):
     found = lines.line_report(docs).collect()
     assert len(found) == len(ROWS)

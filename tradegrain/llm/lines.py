@@ -170,19 +170,20 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
     return docs.mapInArrow(run, _LINES)
 
 
-_MEETINGS = ["spot", "key", "shape", "low", "high", "mark"]  # shape: n and at; mark: block, whole and wanted
+_MEETINGS = ["spot", "key", "shape", "low", "high", "mark"]  # shape: n and at; mark: line, block, whole and wanted
 
 
 def _pairs(similarity: float, nearest: int | None):
     """Candidate pairs of the sets that meet in a spot; ``a = b`` marks sets with candidates left out.
 
-    Rows come in order of spot and document, so only the rows of an unfinished spot are held back.
+    Rows come in order of spot and first place, the order in which lines go: a set then looks at all its earlier
+    candidates from its own side. Only the rows of an unfinished spot are held back.
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         spot, key, shape, low, high, mark = (c.to_numpy() for c in rows.columns)
         n, at = shape >> 32, shape & 0xFFFFFFFF
-        block, whole, wanted = mark >> 2, (mark & 2) > 0, (mark & 1) > 0
+        block, whole, wanted = (mark & 0xFFFFFFFF) >> 2, (mark & 2) > 0, (mark & 1) > 0
         signature = np.stack([low, high], axis=1).view(np.uint64)
         held, more = np.zeros(len(spot), dtype=np.int64), np.zeros(len(spot), dtype=bool)
         firsts, seconds = [], []
@@ -257,12 +258,13 @@ def _marked(packed: np.ndarray) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8)).astype(bool)
 
 
+_SET = ["doc", "text_key", "line", "key", "n", "low", "high"]
+
+
 def _prefix_rows(sets: DataFrame) -> DataFrame:
     """One row per set and prefix word."""
     one = F.explode(F.arrays_zip("prefix", "at")).alias("one")
-    return sets.select("doc", "key", "n", "low", "high", one).select(
-        "doc", "key", "n", "low", "high", F.col("one.prefix").alias("word"), F.col("one.at").alias("at")
-    )
+    return sets.select(*_SET, one).select(*_SET, F.col("one.prefix").alias("word"), F.col("one.at").alias("at"))
 
 
 def _prefix_rows_of(sets: DataFrame, words: DataFrame) -> DataFrame:
@@ -272,17 +274,16 @@ def _prefix_rows_of(sets: DataFrame, words: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _marked(sent.value)
         for part in parts:
-            lists, places = part.column(5), part.column(6)
+            lists, places = part.column(len(_SET)), part.column(len(_SET) + 1)
             owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             words, at = (c.flatten().to_numpy(zero_copy_only=False) for c in (lists, places))
             hit = marked[words & ((1 << SLOT_BITS) - 1)]
-            kept = part.select(range(5)).take(pa.array(owner[hit]))
+            kept = part.select(_SET).take(pa.array(owner[hit]))
             columns = [*kept.columns, pa.array(words[hit]), pa.array(at[hit])]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "word", "at"])
 
-    names = ["doc", "key", "n", "low", "high"]
-    schema = ", ".join(f"{c} long" for c in [*names, "word", "at"])
-    return sets.select(*names, "prefix", "at").mapInArrow(run, schema)
+    schema = ", ".join(f"{c} long" for c in [*_SET, "word", "at"])
+    return sets.select(*_SET, "prefix", "at").mapInArrow(run, schema)
 
 
 def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
@@ -305,10 +306,11 @@ def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> Data
     many = many.withColumns({"spot": F.xxhash64("word", left, right), "whole": left == right})
     shape = F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("shape")
     flags = F.when(F.col("whole"), 2).otherwise(0) + F.when(F.col("wanted"), 1).otherwise(0)
-    mark = (F.col("block") * 4 + flags).alias("mark")
-    few, many = (part.select("doc", "spot", "key", shape, "low", "high", mark) for part in (few, many))
+    mark = F.shiftleft("line", 32).bitwiseOR(F.col("block") * 4 + flags).alias("mark")
+    few, many = (part.select("doc", "text_key", "spot", "key", shape, "low", "high", mark) for part in (few, many))
     dealt = few.unionByName(many).repartition("spot")
-    ordered = dealt.sortWithinPartitions("spot", "doc", "key").select(*_MEETINGS)
+    # The order of ``_later``; the line leads in ``mark``, and sets of one line are one set.
+    ordered = dealt.sortWithinPartitions("spot", "doc", "text_key", "mark").select(*_MEETINGS)
     return ordered.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
