@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier one; ``n_chars`` follows the text."""
-    left = lines.dedup_lines(docs)
+    left = lines.dedup_lines(docs, min_words=1)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -132,6 +132,19 @@ def test_lines_of_one_document_in_their_order(spark):
     assert {(r["doc"], r["text_key"], r["line"]) for r in found} == brute_places(frame, 5)
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    """Repeats of lines below five words go from the query's result: menus, one word, text without spaces."""
+    held = ["Home", "share this", "share THIS", "home home", "世界你好", "a b c d e", "d c b a", "a b c", "世界你好", " ", "", "b c"]
+    held += ["a c b d", "a b c d f", "c b a", "x y z", "x y", "This share", "世界 你好"]
+    rows = [(1, "\n".join(held)), (2, "\n".join(reversed(held))), (3, "home\nnew\nz y x w v\nx y z w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
+    gone = brute_places(frame, 1)
+    assert {(r["doc_id"], n) for r in found for n in r["removed_lines"]} == {(doc, n) for doc, _, n in gone}
+    assert {(1, 3), (1, 8), (1, 6), (3, 0), (3, 3)} <= {(doc, n) for doc, _, n in gone}
+
+
 def test_lines_edge_cases(docs, none):
     found = lines.line_report(docs).collect()
     assert len(found) == len(ROWS)

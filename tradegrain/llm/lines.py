@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tradegrain.llm.common import as_long, columns_of, hashed_words, mix, slices, split_count, store
 
 SIMILARITY = 0.8
-MIN_WORDS = 5  # lines of fewer different words are too short to tell copies from chance
+MIN_WORDS = 5  # different words a line needs to take part, unless the caller says otherwise
 SLOT_BITS, CHUNK_BITS = 24, 16
 NEAREST = 2  # candidates per word compared at first
 BLOCK, GROUP, RUN = 8192, 60_000, 1 << 20
@@ -45,20 +45,20 @@ def _joined(texts: list[str | None]) -> Iterator[tuple[slice, bytes, np.ndarray]
             data, begin, held = [], i + 1, 0
 
 
-def _line_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the lines that have ``MIN_WORDS`` or more: (which of them each word is in, words, their numbers)."""
+def _line_words(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the lines that have ``least`` or more: (which of them each word is in, words, their numbers)."""
     words, places = hashed_words(data)
     breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
     line = np.searchsorted(breaks, places)
-    long = np.bincount(line, minlength=len(breaks) + 1) >= MIN_WORDS
+    long = np.bincount(line, minlength=len(breaks) + 1) >= least
     used = long[line]
     return (np.cumsum(long) - 1)[line[used]], words[used], np.flatnonzero(long)
 
 
-def _lines(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _lines(texts: list[str | None], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Lines of the texts, some at a time: (line of each word, words, text of each line, its number there)."""
     for part, data, starts in _joined(texts):
-        line, words, number = _line_words(data)
+        line, words, number = _line_words(data, least)
         breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
         first = np.searchsorted(breaks, starts)
         owner = np.searchsorted(first, number, side="right") - 1
@@ -128,15 +128,19 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
 _LINES = "doc long, text_key long, line long, key long, n long, low long, high long, prefix array<long>, at array<long>"
 
 
-def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """One row a line of ``MIN_WORDS`` different words or more, with the prefix words that other lines may have."""
+def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float, least: int = MIN_WORDS) -> DataFrame:
+    """One row a line of ``least`` different words or more, with the prefix words that other lines may have.
+
+    A set of n words has at most n of n + 1 in common with another set. If that is too little, it has no prefix and
+    only matches lines of its own key.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** SLOT_BITS bytes
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = sent.value
         for part in slices(parts):
             docs_, text_keys, texts = columns_of(part, "doc", "text_key", "text")
-            for line, words, owner, number in _lines(texts):
+            for line, words, owner, number in _lines(texts, least):
                 line, words, first, size = _sets(line, words, len(number), scale)
                 key = _keys(words, first, size)
                 bit = (mix(words) >> np.uint64(57)).astype(np.int64)
@@ -145,10 +149,11 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
                 packed = np.packbits(signature, axis=1).view(np.int64)
                 place = np.arange(len(words)) - first[line]
                 length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+                length[size < similarity * (size + 1) - 1e-9] = 0
                 slot = (words & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
                 used = (place < length[line]) & (scale[slot] > 0)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(line[used], minlength=len(size)))]).astype(np.int32)
-                keep = size >= MIN_WORDS
+                keep = size >= least
                 # Words that may stand in more than BLOCK lines are marked by a negative place.
                 marked = np.where(scale[slot] >= HOT_SCALE, -1 - place, place)[used]
                 batch = pa.RecordBatch.from_arrays(
@@ -318,7 +323,7 @@ def _address(doc: np.ndarray, text_key: np.ndarray, line: np.ndarray) -> np.ndar
     return mix(mix(doc.astype(np.uint64) + np.uint64(3) * text_key.astype(np.uint64)) + line.astype(np.uint64))
 
 
-def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+def _words_of(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """(key, words) of the sets with these first places, read again from the texts.
 
     A bitmap of fixed size over places tells each scan task which lines to send, so no text is shuffled.
@@ -345,7 +350,7 @@ def _words_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             address = _address(doc, text_key, number)
             chosen = np.flatnonzero(marked[(address & _LOW).astype(np.int64)])
             found = b"\n".join([lines[owner[i]][number[i]] for i in chosen.tolist()])
-            line, words, number = _line_words(found)
+            line, words, number = _line_words(found, least)
             if not len(number):
                 continue
             _, words, first, size = _sets(line, words, len(number), None)
@@ -387,19 +392,24 @@ def _later(matches: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def removed_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = SIMILARITY,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """(doc, text_key, line) of every line that has an earlier match: a similarity of ``similarity`` or more with
     a line of an earlier document, or earlier in its own.
 
     Documents are in order of id (null first), then of the 64-bit hash of their text (``text_key``). Repeated rows
-    of a document are one document. Words are lower-cased; lines of fewer than ``MIN_WORDS`` different words never
-    match. Null and empty texts have no such lines.
+    of a document are one document. Words are lower-cased; lines of fewer than ``min_words`` different words never
+    match, with 1 every line that has a word takes part. Null and empty texts have no such lines.
     """
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")
     )
-    rows = store(line_sets(chosen, rarity_table(chosen), similarity), "line-sets")
+    rows = store(line_sets(chosen, rarity_table(chosen), similarity, min_words), "line-sets")
     first = F.min(F.struct("doc", "text_key", "line")).alias("first")
     shape = [F.first(c).alias(c) for c in ("n", "low", "high", "prefix", "at")]
     sets = rows.groupBy("key").agg(first, *shape).select("key", "first.*", "n", "low", "high", "prefix", "at")
@@ -407,7 +417,7 @@ def removed_lines(
     places = sets.select("key", "doc", "text_key", "line")
     every = _prefix_rows(sets).withColumn("wanted", F.lit(True))
     near = store(_candidates(every, similarity, NEAREST), "candidates")
-    gone = _confirmed(chosen, near.filter("a <> b"), places, similarity)
+    gone = _confirmed(chosen, near.filter("a <> b"), places, similarity, min_words)
     open_ = near.filter("a = b").select(F.col("a").alias("key")).join(gone, "key", "left_anti")
     open_ = store(open_.distinct(), "open-sets")
     if open_.limit(1).count():
@@ -415,7 +425,8 @@ def removed_lines(
         rows_of = _prefix_rows_of(sets, words).join(open_.withColumn("wanted", F.lit(True)), "key", "left")
         rows_of = store(rows_of.withColumn("wanted", F.coalesce("wanted", F.lit(False))), "open-rows")
         rest = _candidates(rows_of, similarity, None).join(near, ["a", "b"], "left_anti")
-        gone = gone.union(_confirmed(chosen, store(rest, "candidates"), places, similarity)).distinct()
+        rest = store(rest, "candidates")
+        gone = gone.union(_confirmed(chosen, rest, places, similarity, min_words)).distinct()
     firsts = F.struct("doc", "text_key", "line")
     known = places.select("key", firsts.alias("first"))
     later = rows.select("doc", "text_key", "line", "key").join(known, "key")
@@ -428,15 +439,15 @@ def removed_lines(
     return later.filter(F.col("gone") | again).select("doc", "text_key", "line").distinct()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, places: DataFrame, similarity: float, least: int) -> DataFrame:
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = store(places.join(keys, "key", "left_semi"), "wanted")
-    return store(_later(_matches(pairs, _words_of(docs, wanted), similarity), wanted), "later-sets")
+    return store(_later(_matches(pairs, _words_of(docs, wanted, least), similarity), wanted), "later-sets")
 
 
-def _with_removed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
     """``docs`` and ``_gone``, the numbers of the lines to remove from each, null if none."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    gone = removed_lines(docs, id_col=id_col, text_col=text_col, **settings)
     # As many numbers as a text has lines.
     per_doc = gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list("line")).alias("_gone"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
@@ -454,24 +465,22 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(lines), join), F.lit(0))
 
 
-def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
-) -> DataFrame:
-    """All rows and columns of ``docs`` with the lines of ``removed_lines`` taken out of the text, the rest in order.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """All rows and columns of ``docs`` with the lines of ``removed_lines`` taken out of the text, the rest in order;
+    settings as there.
 
     A document that loses every line keeps an empty text; a null text stays null.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_without(lines, F.col("_gone")))
-    return _with_removed(docs, id_col, text_col, similarity).withColumn(text_col, text).drop("_gone")
+    return _with_removed(docs, id_col, text_col, **settings).withColumn(text_col, text).drop("_gone")
 
 
-def line_report(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
-) -> DataFrame:
+def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without its removed lines, n_lines, n_removed, removed_lines
-    (their numbers from 0). A null text stays null and has no lines."""
-    found = _with_removed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", similarity)
+    (their numbers from 0); settings as for ``removed_lines``. A null text stays null and has no lines."""
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = _with_removed(chosen, "doc_id", "text", **settings)
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("_gone", F.array().cast("array<long>"))
     return found.select(

@@ -27,7 +27,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_report(_table(spark, folder, "documents"))
+    return lines.line_report(_table(spark, folder, "documents"), min_words=1)
 
 
 def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
