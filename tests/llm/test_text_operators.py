@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from checks.compare import differences
 from tests.conftest import SMALL
 from tradegrain.llm import chat, common, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
@@ -330,3 +331,41 @@ def test_hashed_words_cut_like_split():
         words = data.split()
         assert [data[at : at + len(w)] for at, w in zip(places.tolist(), words, strict=True)] == words
         assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def pipeline_rows(spark, small):
+    """Documents with null and repeated ids: copies, near copies, one id with two texts, exact repeats."""
+    texts = [t for t in small.values() if t and len(t.split()) > 60][:12]
+    rows = [(i, t) for i, t in enumerate(texts[:6])] + [(10 + i, t + " more") for i, t in enumerate(texts[:3])]
+    rows += [(None, t) for t in texts[4:10]] + [(3, texts[10]), (3, texts[11]), (3, texts[3]), (None, None), (None, texts[9])]
+    rows = [(i, t, "en", f"s{n}", len(t or "")) for n, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+
+
+def test_pipeline_near_dedup_keeps_one_document_of_each_group(spark, small):
+    frame = pipeline_rows(spark, small)
+    rows = frame.withColumn("key", F.xxhash64("text")).collect()
+    texts = dict(enumerate({r["text"] for r in rows}))
+    named = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    by_text = {texts[r["doc_id"]]: int(r["fingerprint"], 16) for r in simhash.near_duplicates(named).collect()}
+    group = {t: i for i, t in enumerate(by_text)}
+    for _ in by_text:
+        for a in by_text:
+            for b in by_text:
+                if (by_text[a] ^ by_text[b]).bit_count() <= 4:
+                    group[a] = group[b] = min(group[a], group[b])
+    expected = {}
+    for r in rows:
+        place = (r["doc_id"] is None, r["doc_id"] or 0, r["key"], r["source"])
+        expected[group[r["text"]]] = min(expected.get(group[r["text"]], (place, r)), (place, r), key=lambda x: x[0])
+    found = corpus_pipeline.near_dedup(spark, frame, "").collect()
+    assert {tuple(f) for f in found} == {tuple(r[c] for c in corpus_pipeline.COLUMNS) for _, r in expected.values()}
+    assert len(found) == len(expected)
+
+
+def test_pipeline_decontamination_judges_each_text(spark, tmp_path):
+    rows = [(1, PROSE), (None, PROSE), (None, None), (2, "before " + PROSE), (2, "clean words that no item has at all"), (None, "clean too")]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(None, PROSE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, frame, str(tmp_path)).collect()}
+    assert left == {(None, None), (2, "clean words that no item has at all"), (None, "clean too")}

@@ -173,3 +173,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFram
     """The rows of ``docs`` whose id contains no item; rows with a null id stay."""
     bad = contaminated(docs, items, **settings).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs[settings.get("id_col", "doc_id")] == bad["_bad"], "left_anti")
+
+
+def drop_contaminated_texts(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    text_col: str = "text",
+    item_text_col: str = "text",
+    containment: float = CONTAINMENT,
+) -> DataFrame:
+    """The rows of ``docs`` whose own text contains no item. Ids, null or repeated, of rows and items play no part."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
+    asked = items.select(F.xxhash64(F.col(item_text_col)).alias("item_id"), F.col(item_text_col).alias("text"))
+    bad = contaminated(keyed, asked, id_col="_key", text_col=text_col, containment=containment)
+    return keyed.join(bad.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
