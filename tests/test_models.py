@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tradegrain import fixed
+from tests.conftest import SMALL
+from tradegrain import fixed, registry
 from tradegrain.plans import evaluation, features, scoring, training
 
 
@@ -85,6 +86,42 @@ def test_artifact_survives_storage(spark, artifact, tmp_path):
     assert scored.count() == table.count()
 
 
+FITS = {
+    "ml_repeat_model": "repeat",
+    "ml_csat_model": "csat",
+    "ml_delay_model": "delay_normalized",
+    "ml_permutation_importance": "csat",
+    "ml_score_repeat": "repeat",
+    "ml_score_delay": "delay",
+    "ml_score_csat": "csat",
+    "ml_recommendations": "delay_normalized",
+}
+
+
+@pytest.mark.parametrize("name", sorted(FITS))
+def test_queries_fit_with_all_rounds(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def fit(train, columns, label, rounds, step, *rest):
+        raise Asked(rounds, step)
+
+    monkeypatch.setattr(training, "fit", fit)
+    with pytest.raises(Asked) as asked:
+        registry.QUERIES[name](spark, SMALL)
+    settings = fixed.MODEL_SETTINGS[FITS[name]]
+    assert asked.value.args == (settings["rounds"], settings["step"])
+
+
+def test_importances_wait_until_read(small_master, monkeypatch):
+    asked = []
+    monkeypatch.setattr(training, "permutation_importance", lambda *settings: asked.append(settings[5]))
+    table = features.csat_features(small_master, "NATION_0")
+    model = training.train_classifier("csat", table, features.CSAT_FEATURES, "is_low_csat", "order_id", rounds=1, repeats=3)
+    assert model.metrics.count() == 1 and not asked
+    assert (model.importances, model.importances, asked) == (None, None, [3])
+
+
 def test_advice_rules(spark):
     rows = [(1, 10.0, 9000.0, 0.6), (1, 10.0, 100.0, 0.32), (0, 20.0, 100.0, 0.9), (0, 10.0, 100.0, 0.2)]
     df = spark.createDataFrame(rows, "is_interstate int, estimated_days double, product_weight_g double, p double")

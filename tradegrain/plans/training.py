@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -28,12 +28,16 @@ _WEIGHT = "_weight"
 
 @dataclass(frozen=True)
 class Artifact:
-    """A fitted pipeline with its feature list, hold-out metrics and feature importances."""
+    """A fitted pipeline with its feature list, hold-out metrics and feature importances, computed when first read."""
 
     model: PipelineModel
     features: list[str]
     metrics: DataFrame
-    importances: DataFrame
+    find_importances: Callable[[], DataFrame]
+
+    @cached_property
+    def importances(self) -> DataFrame:
+        return self.find_importances()
 
     def score(self, df: DataFrame, name: str = SCORE) -> DataFrame:
         return score(self.model, df, name)
@@ -46,11 +50,12 @@ class Artifact:
 
 def load_artifact(spark: SparkSession, path: str) -> Artifact:
     model = PipelineModel.load(os.path.join(path, "model"))
+    importances = spark.read.parquet(os.path.join(path, "importances"))
     return Artifact(
         model,
         model.stages[0].getInputCols(),
         spark.read.parquet(os.path.join(path, "metrics")),
-        spark.read.parquet(os.path.join(path, "importances")),
+        lambda: importances,
     )
 
 
@@ -170,5 +175,5 @@ def train_classifier(
     at_threshold = threshold_metrics(scored, label, SCORE, settings["threshold"])
     ranked = ranking_metrics(scored, label, SCORE).select("roc_auc", "pr_auc")
     metrics = at_threshold.withColumn("model", F.lit(name)).join(ranked.withColumn("model", F.lit(name)), "model")
-    importances = permutation_importance(model, test, features, label, key, repeats, floor)
-    return Artifact(model, features, metrics, importances)
+    find = partial(permutation_importance, model, test, features, label, key, repeats, floor)
+    return Artifact(model, features, metrics, find)

@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradegrain import fixed
 from tradegrain.operators.sampling import sample_exactly, stratified_split
 from tradegrain.plans import (
     charts,
@@ -38,10 +39,9 @@ from tradegrain.sources.market import Market, MarketTables
 from tradegrain.sources.schemas import ORDER_DATES
 from tradegrain.sources.star_parquet import read_star_market
 
-# Parameters that fit the star-schema data: its home state, its last full months, quick model runs.
+# Parameters that fit the star-schema data: its home state, its last full months.
 HOME_STATE = "NATION_0"
 FIRST_MONTH, LAST_MONTH = "2000-01", "2001-07"
-ROUNDS = 5
 STATE = ["customer_state"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,7 +418,7 @@ def _first_orders(m: DataFrame) -> DataFrame:
 
 
 def _train(name: str, table: DataFrame, columns: list[str], label: str, key: str) -> training.Artifact:
-    return training.train_classifier(name, table, columns, label, key, rounds=ROUNDS)
+    return training.train_classifier(name, table, columns, label, key)
 
 
 def _train_repeat(m: DataFrame) -> training.Artifact:
@@ -429,38 +429,40 @@ def _train_csat(m: DataFrame) -> training.Artifact:
     return _train("csat", _csat(m), features.CSAT_FEATURES, "is_low_csat", "order_id")
 
 
-def _quick_model(table: DataFrame, columns: list[str], label: str, step: float):
-    return training.fit(table, columns, label, ROUNDS, step)
+def _fitted(name: str, table: DataFrame, columns: list[str], label: str):
+    """The model of a stored feature table, with all boosting rounds of its settings."""
+    settings = fixed.MODEL_SETTINGS[name]
+    return training.fit(table, columns, label, settings["rounds"], settings["step"])
 
 
 def _score_repeat(m: DataFrame) -> DataFrame:
-    table = _repeat(m)
-    model = _quick_model(table, features.REPEAT_FEATURES, "is_repeat_customer", 0.06)
+    table = cut_lineage(_repeat(m))
+    model = _fitted("repeat", table, features.REPEAT_FEATURES, "is_repeat_customer")
     scored = scoring.repeat_propensity(training.score(model, table), training.SCORE)
     return scored.select("customer_unique_id", training.SCORE, "propensity", "tier")
 
 
 def _score_delay(m: DataFrame) -> DataFrame:
-    table = _master_delay(m)
-    model = _quick_model(table, features.DELAY_FEATURES, "is_delayed", 0.08)
+    table = cut_lineage(_master_delay(m))
+    model = _fitted("delay", table, features.DELAY_FEATURES, "is_delayed")
     return scoring.delay_risk(training.score(model, table), training.SCORE).select("order_id", training.SCORE, "tier")
 
 
 def _score_csat(m: DataFrame) -> DataFrame:
-    table = _csat(m)
-    model = _quick_model(table, features.CSAT_FEATURES, "is_low_csat", 0.07)
+    table = cut_lineage(_csat(m))
+    model = _fitted("csat", table, features.CSAT_FEATURES, "is_low_csat")
     return scoring.csat_risk(training.score(model, table), training.SCORE).select("order_id", training.SCORE, "tier")
 
 
 def _delay_model(market: MarketTables) -> DataFrame:
     table = features.delay_features(market)
     settings = ("delay_normalized", table, features.DELAY_FEATURES, "is_delayed", "order_id")
-    return training.train_classifier(*settings, rounds=ROUNDS, repeats=1, floor=0.001).metrics
+    return training.train_classifier(*settings, repeats=3, floor=0.001).metrics
 
 
 def _advice(market: MarketTables) -> DataFrame:
-    table = features.delay_features(market)
-    model = _quick_model(table, features.DELAY_FEATURES, "is_delayed", 0.08)
+    table = cut_lineage(features.delay_features(market))
+    model = _fitted("delay_normalized", table, features.DELAY_FEATURES, "is_delayed")
     advised = scoring.order_advice(training.score(model, table), training.SCORE)
     return advised.select("order_id", training.SCORE, "tier", "csat_note", "recommendations")
 
