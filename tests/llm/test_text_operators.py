@@ -177,6 +177,23 @@ def test_html_repeats_and_edge_cases(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_repeats_across_groups_of_a_large_host(spark, monkeypatch):
+    """A host dealt into groups gives the texts it gives whole: rare repeats, pages of one id, pages without an id."""
+    rows = []
+    for i in range(40):
+        common = " ".join(f"pair{i // 2}word{k}" for k in range(10))
+        own = " ".join(f"page{i}word{k}" for k in range(12))
+        tag = "article" if i == 7 else "div"
+        rows.append((i, f"http://h.org/{i}", f"<{tag}><p>{common}</p><p>{own}</p></{tag}>"))
+    lone = "<p>these nine words stand on rows without any id</p><p>end</p>"
+    rows += [(None, "http://h.org/n", lone), (None, "http://h.org/n", lone), (None, "http://h.org/m", "<p>" + " ".join(f"page3word{k}" for k in range(9)) + "</p>")]
+    rows += [(50, "http://h.org/a", "<p>one id twice is one page and stays whole here</p>")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(str, html_text.extract(pages).collect()))
+    monkeypatch.setattr(html_text, "GROUP_CHARS", 100)
+    assert sorted(map(str, html_text.extract(pages).collect())) == whole
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 

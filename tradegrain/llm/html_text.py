@@ -6,7 +6,9 @@ word streams of a host's pages are laid one after another, their suffixes are so
 more that start suffixes of two different pages are boilerplate. Covered words go, unique runs stay. Repetition
 never takes words out of an article, since copies of an article are still that page's text.
 
-A host too large for one task is dealt into groups of pages by hash; what its pages share, each group shows.
+A host too large for one task is dealt into groups of pages by hash. What its pages share across groups is found by
+counting: hashes of runs of ``RUN`` words, of which only those that may stand on a page without an article or main
+element are sent, are grouped by host, and those of two different pages are joined back to the pages.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import columns_of, slices, split_count, store
+from tradegrain.llm.common import WordIds, as_long, columns_of, shingle_hashes, slices, split_count, store
 from tradegrain.llm.url_rules import split_url
 
 RUN = 8  # words of the shortest boilerplate, a power of two
 GROUP_CHARS = 4_000_000  # characters of html a group of pages has at most on average
+BITMAP_BITS = 24
 MAX_SENT_HOSTS = 50_000  # large hosts that are broadcast at most
 
 DROP, KEEP, OPEN = "0", "1", "2"
@@ -201,6 +204,77 @@ def covered(ids: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
     return np.cumsum(edge)[: len(ids)] > 0
 
 
+def _bitmap(runs: DataFrame) -> np.ndarray:
+    """One bit for the low bits of every run, packed; its size is fixed."""
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITMAP_BITS, dtype=bool)
+        for part in parts:
+            seen[part.column(0).to_numpy(zero_copy_only=False) & ((1 << BITMAP_BITS) - 1)] = True
+        packed = np.packbits(seen).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
+
+    filled = runs.select("run").mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    packed = np.zeros((1 << BITMAP_BITS) // 64, dtype=np.int64)
+    for row in filled.toArrow().to_pylist():  # at most 2 ** BITMAP_BITS / 64 rows
+        packed[row["at"]] = row["bits"]
+    return packed
+
+
+def _runs(parsed: DataFrame, packed: np.ndarray | None) -> DataFrame:
+    """(row, host, page_id, run, at, open) of the runs of ``RUN`` words; all of open pages, or those a bitmap passes."""
+    sent = None if packed is None else parsed.sparkSession.sparkContext.broadcast(packed)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        marked = None if sent is None else np.unpackbits(sent.value.view(np.uint8)).astype(bool)
+        for part in slices(parts, 64):
+            texts, states = columns_of(part, "blocks", "states")
+            opened = [OPEN in s and KEEP not in s for s in states]
+            words = [t.replace(_JOIN, " ").encode().split(b" ") if t else [] for t in texts]
+            owners, runs, places = [], [], []
+            for i, one in enumerate(ids(words)):
+                if len(one) < RUN or (marked is None and not opened[i]):
+                    continue
+                found = as_long(shingle_hashes(one, RUN))
+                at = np.arange(len(found))
+                if marked is not None:
+                    at = at[marked[found & ((1 << BITMAP_BITS) - 1)]]
+                owners.append(np.full(len(at), i))
+                runs.append(found[at])
+                places.append(at)
+            if not owners:
+                continue
+            owner = np.concatenate(owners)
+            whole = part.select(["row", "host", "page_id"]).take(pa.array(owner))
+            more = [pa.array(np.concatenate(runs)), pa.array(np.concatenate(places)), pa.array(np.array(opened)[owner])]
+            yield pa.RecordBatch.from_arrays([*whole.columns, *more], names=["row", "host", "page_id", "run", "at", "open"])
+
+    return parsed.select("row", "host", "page_id", "blocks", "states").mapInArrow(
+        run, "row long, host string, page_id long, run long, at long, open boolean"
+    )
+
+
+def _shared(parsed: DataFrame) -> DataFrame | None:
+    """(row, shared): where runs start in open pages that stand on two different pages of the host; None if none is open."""
+    packed = _bitmap(_runs(parsed, None))
+    if not packed.any():
+        return None
+    runs = store(_runs(parsed, packed), "host-runs")
+    # Each row without an id is a page of its own; a run twice on one row is one place.
+    pages = runs.filter("page_id IS NOT NULL").groupBy("host", "run").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
+    lone = runs.filter("page_id IS NULL").groupBy("host", "run", "row", "at").agg(F.count(F.lit(1)).alias("n"))
+    lone = lone.groupBy("host", "run", "row").agg(F.max("n").alias("n")).groupBy("host", "run").agg(F.sum("n").alias("lone"))
+    both = pages.withColumn("lone", F.lit(0).cast("long")).unionByName(lone, allowMissingColumns=True)
+    both = both.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("lone").alias("lone"))
+    both = both.filter((F.col("low") < F.col("high")) | (F.col("lone") > 1) | (F.col("low").isNotNull() & (F.col("lone") > 0)))
+    both = both.select(F.col("host").alias("_host"), F.col("run").alias("_run"))
+    opened = runs.filter("open").select("row", "host", "run", "at").distinct()
+    met = opened.join(both, opened["host"].eqNullSafe(both["_host"]) & (opened["run"] == both["_run"]), "left_semi")
+    return store(met.groupBy("row").agg(F.collect_list("at").alias("shared")), "shared-runs")  # at most the page's words
+
+
 def _texts(group: pd.DataFrame) -> pd.DataFrame:
     """The main text of each page of one host group."""
     group = group.sort_values(["page_id", "url", "blocks"], na_position="first", ignore_index=True)
@@ -214,8 +288,10 @@ def _texts(group: pd.DataFrame) -> pd.DataFrame:
     page = np.repeat(named, [len(s) + 1 for s in streams])
     hidden = covered(ids, page)
     texts, at = [], 0
-    for one, states, stream in zip(split, group["states"], streams, strict=True):
+    for one, states, stream, shared in zip(split, group["states"], streams, group["shared"], strict=True):
         marks = hidden[at : at + len(stream)]
+        if shared is not None:
+            marks[(np.asarray(shared)[:, None] + np.arange(RUN)).ravel()] = True
         at += len(stream) + 1
         whole = KEEP in states
         kept, word = [], 0
@@ -244,7 +320,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     large = chosen.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).filter(F.col("chars") > GROUP_CHARS)
     large = store(large, "large-hosts")
     # Few large hosts go to every task, so pages are shuffled once; more of them are joined by a shuffle.
-    if large.count() <= MAX_SENT_HOSTS:
+    hosts = large.count()
+    if hosts <= MAX_SENT_HOSTS:
         large = F.broadcast(large)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +336,19 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 names=["page_id", "url", "host", "blocks", "states"],
             )
 
-    parsed = chosen.select("page_id", "url", "host", "html").mapInArrow(
-        run, "page_id long, url string, host string, blocks string, states string"
-    )
+    schema = "page_id long, url string, host string, blocks string, states string"
+    row = F.xxhash64(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url", "blocks", "states")
+
+    def parse(rows: DataFrame) -> DataFrame:
+        return rows.select("page_id", "url", "host", "html").mapInArrow(run, schema).withColumn("row", row)
+
+    parsed = parse(chosen)
+    same_host = chosen["host"].eqNullSafe(large["host"])
+    shared = _shared(parse(chosen.join(large, same_host, "left_semi"))) if hosts else None
+    if shared is None:
+        parsed = parsed.withColumn("shared", F.lit(None).cast("array<long>"))
+    else:
+        parsed = parsed.join(shared, "row", "left")
     groups = split_count(F.coalesce("chars", F.lit(1)), GROUP_CHARS)
     dealt = parsed.join(large, "host", "left").withColumn(
         "deal", F.pmod(F.xxhash64("page_id", "url"), groups)
