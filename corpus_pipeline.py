@@ -59,7 +59,8 @@ STAGES = [
     ("benchmark decontamination", decontamination),
     ("packing", packing),
 ]
-# SQL has neither the fitted model nor the packing heuristic; tests/llm compares each stage with brute force.
+# SQL has neither the fitted model nor the packing heuristic. tests/llm compares near-dedup and decontamination with
+# brute force as stages; of quality rules, line dedup and packing only the operators are tested.
 ORACLE_SQL = None
 
 
