@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradegrain.llm import chat, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
+from tradegrain.llm import align, chat, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,12 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, folder, "documents"), shards=24)
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    sides = [partial(load, path) for load, path in zip((align.byte_level_side, align.piece_side), paths, strict=True)]
+    return align.align(_table(spark, folder, "documents"), *sides)[0]
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
@@ -86,4 +93,5 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_perspectives": op9_perspectives,
     "op10_shards": op10_shards,
+    "op12_token_alignment": op12_token_alignment,
 }
