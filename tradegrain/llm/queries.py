@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradegrain.llm import align, chat, decontaminate, html_text, lines, packing, quality, sharding, simhash, toxicity, url_rules
+from tradegrain.llm import align, chat, decontaminate, html_text, lines, packing, prefix_trie, quality, sharding, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,10 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.align(_table(spark, folder, "documents"), *sides)[0]
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt_turns(_table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
@@ -94,4 +98,5 @@ QUERIES: dict[str, Query] = {
     "op9_perspectives": op9_perspectives,
     "op10_shards": op10_shards,
     "op12_token_alignment": op12_token_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }

