@@ -185,6 +185,24 @@ def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
+def hash_bitmap(marks: DataFrame, bits: int = 24) -> np.ndarray:
+    """One mark for the low bits of every number in ``hash``; the same size whatever there is to mark."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, dtype=bool)
+        for part in parts:
+            seen[part.column(0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)] = True
+        words = np.packbits(seen).view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+
+    filled = marks.select("hash").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros((1 << bits) // 64, dtype=np.int64)
+    for row in filled.collect():  # at most 2 ** bits / 64 rows
+        words[row["at"]] = row["bits"]
+    return np.unpackbits(words.view(np.uint8)).astype(bool)
+
+
 def as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradegrain.llm import align, chat, decontaminate, html_text, lines, packing, prefix_trie, quality, sharding, simhash, toxicity, url_rules
+from tradegrain.llm import align, chat, decontaminate, html_text, lines, packing, pii, prefix_trie, quality, sharding, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,10 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, folder, "documents"), shards=24)
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents")).drop("text_key")
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     sides = [partial(load, path) for load, path in zip((align.byte_level_side, align.piece_side), paths, strict=True)]
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_perspectives": op9_perspectives,
     "op10_shards": op10_shards,
+    "op11_personal_data": op11_personal_data,
     "op12_token_alignment": op12_token_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
