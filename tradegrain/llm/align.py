@@ -96,82 +96,109 @@ def piece_side(path: str) -> Side:
     return Side(lambda texts: model.encode(texts, num_threads=1), entries)
 
 
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, Counter]:
-    """Groups of one window as text, how many there are, and how often each pair is linked in it."""
-    groups, links = [], Counter()
+def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, dict[int, int]]:
+    """Groups of one window as text, how many there are, and how often each pair is linked in it.
+
+    ``size_a`` and ``size_b`` have the bytes of every id of the two vocabularies.
+    """
+    groups, links = [], {}
     i = j = from_a = from_b = end_a = end_b = 0
-    while i < len(a) or j < len(b):
+    stop_a, stop_b = len(a), len(b)
+    while i < stop_a or j < stop_b:
         if end_a <= end_b:
-            end_a += size_a[i]
+            end_a += size_a[a[i]]
             i += 1
         else:
-            end_b += size_b[j]
+            end_b += size_b[b[j]]
             j += 1
         if end_a == end_b:
+            if i - from_a == j - from_b == 1:
+                x, y = a[from_a], b[from_b]
+                groups.append(f"{x}|{y}")
+                key = x << PAIR_BITS | y
+                links[key] = links.get(key, 0) + 1
+                from_a, from_b = i, j
+                continue
             ours, theirs = a[from_a:i], b[from_b:j]
             groups.append(f"{','.join(map(str, ours))}|{','.join(map(str, theirs))}")
-            held, other = Counter(ours), Counter(theirs)
-            for x, n in held.items():
-                for y, m in other.items():
-                    links[x << PAIR_BITS | y] += n * m
+            if len(ours) * len(theirs) <= 64:
+                for x in ours:
+                    for y in theirs:
+                        key = x << PAIR_BITS | y
+                        links[key] = links.get(key, 0) + 1
+            else:
+                other = Counter(theirs)
+                for x, n in Counter(ours).items():
+                    for y, m in other.items():
+                        key = x << PAIR_BITS | y
+                        links[key] = links.get(key, 0) + n * m
             from_a, from_b = i, j
     return ";".join(groups), len(groups), links
 
 
 class _Memo:
-    """Alignments of windows by their id tuples, kept flat; emptied between texts once it is full."""
+    """Alignments of windows by their id tuples, kept flat; emptied between batches of texts once it is full."""
 
     def __init__(self, a: Side, b: Side):
         self.sizes = [np.array([len(e) for e in side.entries], dtype=np.int64) for side in (a, b)]
+        self.listed = [size.tolist() for size in self.sizes]
         self.spaced = [np.array([e[:1] == b" " for e in side.entries]) for side in (a, b)]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
-        self.groups, self.totals = Column64(np.int64), Column64(np.int64)
-        self.keys, self.times, self.ends = Column64(np.int64), Column64(np.int64), Column64(np.int64)
-        self.ends.extend([0])
-
-    def add(self, ids: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(part, dtype=np.int32) for part in ids)
-        text, groups, links = align_window(a.tolist(), b.tolist(), self.sizes[0][a].tolist(), self.sizes[1][b].tolist())
-        place = len(self.texts)
+        self.columns = {name: Column64(np.int64) for name in ("groups", "totals", "ends", "keys", "times")}
+        self.fresh: dict[str, list[int]] = {name: [] for name in self.columns}
+        self.fresh["ends"].append(0)
+        self.end = 0
+
+    def settle(self) -> None:
+        """Make the windows added since the last call readable as columns."""
+        for name, values in self.fresh.items():
+            self.columns[name].extend(values)
+            values.clear()
+
+    def add(self, ids: tuple[bytes, bytes], a: list[int], b: list[int]) -> int:
+        text, groups, links = align_window(a, b, *self.listed)
+        place, fresh = len(self.texts), self.fresh
         self.texts.append(text)
-        self.groups.extend([groups])
-        self.keys.extend(list(links))
-        self.times.extend(list(links.values()))
-        self.totals.extend([sum(links.values())])
-        self.ends.extend([self.keys.size])
+        self.end += len(links)
+        fresh["groups"].append(groups)
+        fresh["totals"].append(sum(links.values()))
+        fresh["ends"].append(self.end)
+        fresh["keys"].extend(links)
+        fresh["times"].extend(links.values())
         if len(a) + len(b) <= MEMO_TOKENS:
             self.known[ids] = place
         return place
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def windows(self, a_ids: list[int], b_ids: list[int]) -> np.ndarray:
         """Places of the windows of one text, in order; both sides spell the same bytes."""
+        a, b = np.array(a_ids, dtype=np.int32), np.array(b_ids, dtype=np.int32)
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         near = np.searchsorted(ends_b, ends_a)
         shared = ends_b[near] == ends_a
         after_a, after_b = np.flatnonzero(shared) + 1, near[shared] + 1
         anchors = self.spaced[0][a[after_a[:-1]]] & self.spaced[1][b[after_b[:-1]]]
         anchors = np.append(anchors, True)
-        stop_a, stop_b = (4 * after_a[anchors]).tolist(), (4 * after_b[anchors]).tolist()
         raw_a, raw_b = a.tobytes(), b.tobytes()
         found, p, r, known = [], 0, 0, self.known
-        for q, s in zip(stop_a, stop_b, strict=True):
-            ids = (raw_a[p:q], raw_b[r:s])
+        for q, s in zip(after_a[anchors].tolist(), after_b[anchors].tolist(), strict=True):
+            ids = (raw_a[4 * p : 4 * q], raw_b[4 * r : 4 * s])
             place = known.get(ids)
-            found.append(self.add(ids) if place is None else place)
+            found.append(self.add(ids, a_ids[p:q], b_ids[r:s]) if place is None else place)
             p, r = q, s
         return np.array(found, dtype=np.int64)
 
     def links(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs linked in these windows, in order of their keys, and how often."""
+        ends = self.columns["ends"].values
         different, often = np.unique(places, return_counts=True)
-        first = self.ends.values[different]
-        size = self.ends.values[different + 1] - first
+        first = ends[different]
+        size = ends[different + 1] - first
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        keys, times = self.keys.values[at], self.times.values[at] * np.repeat(often, size)
+        keys, times = self.columns["keys"].values[at], self.columns["times"].values[at] * np.repeat(often, size)
         order = np.argsort(keys, kind="stable")
         keys, times = keys[order], times[order]
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -185,29 +212,32 @@ def _aligned(docs: DataFrame, first: Callable[[], Side], second: Callable[[], Si
         for part in slices(parts, 64):
             rows, doc_ids, texts = columns_of(part, "row", "doc_id", "text")
             wanted = [t or "" for t in texts]
-            counts, marks, keys, times, ends = [], [], [], [], [0]
-            for text, a_ids, b_ids in zip(wanted, a_side.encode(wanted), b_side.encode(wanted), strict=True):
+            a_ids, b_ids = a_side.encode(wanted), b_side.encode(wanted)
+            places: list[np.ndarray | None] = []
+            for text, a, b in zip(wanted, a_ids, b_ids, strict=True):
                 spelled = (" " + text).encode()
                 same = text and all(
-                    b"".join(map(side.entries.__getitem__, ids)) == spelled
-                    for side, ids in ((a_side, a_ids), (b_side, b_ids))
+                    b"".join(map(side.entries.__getitem__, ids)) == spelled for side, ids in ((a_side, a), (b_side, b))
                 )
-                if same:
-                    a, b = np.array(a_ids, dtype=np.int32), np.array(b_ids, dtype=np.int32)
-                    places = memo.windows(a, b)
-                    pair, often = memo.links(places)
-                    shown = ";".join(map(memo.texts.__getitem__, places.tolist()))
-                    marks.append(hashlib.sha256(shown.encode()).hexdigest())
-                    sums = (int(memo.groups.values[places].sum()), int(memo.totals.values[places].sum()))
-                    counts.append((len(a), len(b), *sums))
-                    keys.append(pair)
-                    times.append(often)
-                    if len(memo.texts) > MEMO_WINDOWS:
-                        memo.clear()
-                else:
+                places.append(memo.windows(a, b) if same else None)
+            memo.settle()
+            counts, marks, keys, times, ends = [], [], [], [], [0]
+            for at, a, b in zip(places, a_ids, b_ids, strict=True):
+                if at is None:
                     marks.append("")
                     counts.append((0, 0, 0, 0))
-                ends.append(ends[-1] + (len(pair) if same else 0))
+                    ends.append(ends[-1])
+                    continue
+                pair, often = memo.links(at)
+                shown = ";".join(map(memo.texts.__getitem__, at.tolist()))
+                marks.append(hashlib.sha256(shown.encode()).hexdigest())
+                sums = (int(memo.columns[c].values[at].sum()) for c in ("groups", "totals"))
+                counts.append((len(a), len(b), *sums))
+                keys.append(pair)
+                times.append(often)
+                ends.append(ends[-1] + len(pair))
+            if len(memo.texts) > MEMO_WINDOWS:
+                memo.clear()
             flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (keys, times)]
             links = pa.StructArray.from_arrays([pa.array(f, pa.int64()) for f in flat], fields=list(_LINK))
             arrays = [pa.array(rows, pa.int64()), pa.array(doc_ids, pa.int64())]
