@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradegrain.llm.common import as_long, columns_of, hash_bitmap, hashed_words, mix, slices, store
@@ -215,21 +215,28 @@ def _counted(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 def revealing_terms(found: DataFrame, docs: DataFrame, evidence: int, generalise: float, remove: float) -> DataFrame:
     """(term, entity, kind): hashes of the terms whose disclosure of an entity reaches a threshold."""
-    total = found.agg(F.sum("units")).first()[0] or 0
+    total = found.agg(F.sum("units")).first()[0] or 1
     rows = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.unit", "c.terms")
     # Each different unit once, with how often it stands beside the entity.
     held = store(rows.groupBy("entity", "unit").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms")), "contexts")
     entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"))
     together = held.select("entity", "n", F.explode("terms").alias("term")).groupBy("term", "entity")
     pairs = together.agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("told")).filter(F.col("told") >= evidence)
-    pairs = store(pairs, "pairs")
+    # A term stands at least in the units near any entity, so what it can disclose has a bound before texts are read.
+    once = held.groupBy("unit").agg(F.max("n").alias("n"), F.first("terms").alias("terms"))
+    least = once.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n_least"))
+    pairs = pairs.join(entities.filter(F.col("n_entity") < total), "entity").join(least, "term")
+    whole = F.log(F.col("n_entity") / F.lit(total))
+
+    def share(n_term: str) -> Column:
+        return 1 - F.log(F.col("n_both") / F.col(n_term)) / whole
+
+    pairs = store(pairs.filter(share("n_least") >= generalise), "pairs")
     bitmap = hash_bitmap(pairs.select(F.col("term").alias("hash")))
     if not bitmap.any():
         return pairs.select("term", "entity", F.lit("").alias("kind")).limit(0)
-    told = pairs.join(_counted(docs, bitmap), "term").join(entities, "entity")
-    given = F.log(F.col("n_both") / F.col("n_term"))
-    whole = F.log(F.col("n_entity") / F.lit(total))
-    shares = told.filter(F.col("n_entity") < total).withColumn("share", 1 - given / whole).filter(F.col("share") >= generalise)
+    told = pairs.join(_counted(docs, bitmap), "term").withColumn("share", share("n_term"))
+    shares = told.filter(F.col("share") >= generalise)
     kind = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     return store(shares.select("term", "entity", kind.alias("kind")), "revealing")
 
