@@ -16,7 +16,7 @@ from tradegrain.llm import align
 from tradegrain.llm.queries import QUERIES
 
 BYTES, PIECES = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-SIDES = (partial(align.byte_level_side, BYTES), partial(align.piece_side, PIECES))
+SIDES = (partial(align.byte_level_side, BYTES, public_tokenizers.PATTERN), partial(align.piece_side, PIECES))
 ODD = [
     "plain words stand here, and <s> or <|endoftext|> or <0x41> too",
     "  two  spaces \t tab\r\n\n\nlines  ",
@@ -112,6 +112,7 @@ def test_empty_memo_changes_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
     whole = sorted(map(tuple, align.align(docs, *SIDES)[0].collect()))
     monkeypatch.setattr(align, "MEMO_WINDOWS", 5)
+    monkeypatch.setattr(align, "WIDE_GROUP", 2)
     assert sorted(map(tuple, align.align(docs, *SIDES)[0].collect())) == whole
 
 

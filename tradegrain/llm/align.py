@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,8 +25,8 @@ from tradegrain.llm.common import Column64, columns_of, slices, store
 
 HEAD_PAIRS = 1_000_000
 MEMO_WINDOWS = 200_000
+WIDE_GROUP = 4096
 MEMO_TOKENS = 256  # a longer window is aligned anew each time, so that the memo stays small
-CUT_CHARS = 1 << 16
 PAIR_BITS = 32  # a pair's key is the first id above these bits and the second id below
 _LINK = pa.struct([("key", pa.int64()), ("times", pa.int64())])
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -44,43 +43,30 @@ class Side:
     entries: list[bytes]
 
 
-def byte_level_side(path: str) -> Side:
-    """A byte-level BPE vocabulary (JSON); a space is put before each text, special tokens count as plain text."""
-    from tokenizers import Tokenizer
+def byte_level_side(path: str, pattern: str) -> Side:
+    """A byte-level BPE vocabulary (JSON); a space is put before each text, special tokens count as plain text.
+
+    Entries must be numbered in the order of their merges, as public vocabularies of this kind are; then an entry's
+    number is its rank and a rank encoder gives the same ids. ``pattern`` splits texts before the merges.
+    """
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     # Byte-level entries show printable bytes as themselves and the others, in order, as characters from 256 on.
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
     value = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    entries = [b""] * (max(vocabulary.values()) + 1)
-    for entry, at in vocabulary.items():
-        entries[at] = bytes(value[c] for c in entry) if all(c in value for c in entry) else entry.encode()
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [
-            [i for one in tokenizer.encode_batch(list(_stretches(" " + t)), add_special_tokens=False) for i in one.ids]
-            for t in texts
-        ]
-
-    return Side(encode, entries)
-
-
-def _stretches(text: str) -> Iterator[str]:
-    """The text cut before single spaces between characters that are no white space, where tokens always end."""
-    at = 0
-    while len(text) - at > CUT_CHARS:
-        cut = text.find(" ", at + CUT_CHARS)
-        while 0 < cut < len(text) - 1 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut = text.find(" ", cut + 1)
-        if not 0 < cut < len(text) - 1:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+        stored = json.load(file)
+    special = {token["content"] for token in stored["added_tokens"]}
+    ranks = {bytes(value[c] for c in e): at for e, at in stored["model"]["vocab"].items() if e not in special}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in stored["model"]["merges"]]
+    if [stored["model"]["vocab"][e] for e in merged] != list(range(256, 256 + len(merged))):
+        raise ValueError("entries are not numbered in the order of their merges")
+    entries = [b""] * (max(stored["model"]["vocab"].values()) + 1)
+    for entry, at in ranks.items():
+        entries[at] = entry
+    encoding = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Side(lambda texts: [encoding.encode_ordinary(" " + t) for t in texts], entries)
 
 
 def piece_side(path: str) -> Side:
@@ -96,82 +82,81 @@ def piece_side(path: str) -> Side:
     return Side(lambda texts: model.encode(texts, num_threads=1), entries)
 
 
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, dict[int, int]]:
-    """Groups of one window as text, how many there are, and how often each pair is linked in it.
+class _Memo:
+    """Alignments of windows by their id tuples, kept flat; emptied between batches of texts once it is full.
 
-    ``size_a`` and ``size_b`` have the bytes of every id of the two vocabularies.
+    New windows of a batch are aligned together.
     """
-    groups, links = [], {}
-    i = j = from_a = from_b = end_a = end_b = 0
-    stop_a, stop_b = len(a), len(b)
-    while i < stop_a or j < stop_b:
-        if end_a <= end_b:
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            if i - from_a == j - from_b == 1:
-                x, y = a[from_a], b[from_b]
-                groups.append(f"{x}|{y}")
-                key = x << PAIR_BITS | y
-                links[key] = links.get(key, 0) + 1
-                from_a, from_b = i, j
-                continue
-            ours, theirs = a[from_a:i], b[from_b:j]
-            groups.append(f"{','.join(map(str, ours))}|{','.join(map(str, theirs))}")
-            if len(ours) * len(theirs) <= 64:
-                for x in ours:
-                    for y in theirs:
-                        key = x << PAIR_BITS | y
-                        links[key] = links.get(key, 0) + 1
-            else:
-                other = Counter(theirs)
-                for x, n in Counter(ours).items():
-                    for y, m in other.items():
-                        key = x << PAIR_BITS | y
-                        links[key] = links.get(key, 0) + n * m
-            from_a, from_b = i, j
-    return ";".join(groups), len(groups), links
-
-
-class _Memo:
-    """Alignments of windows by their id tuples, kept flat; emptied between batches of texts once it is full."""
 
     def __init__(self, a: Side, b: Side):
         self.sizes = [np.array([len(e) for e in side.entries], dtype=np.int64) for side in (a, b)]
-        self.listed = [size.tolist() for size in self.sizes]
         self.spaced = [np.array([e[:1] == b" " for e in side.entries]) for side in (a, b)]
+        # Each id as text with what follows it inside and at the end of its side of a group.
+        self.inner, self.last = (
+            [np.array([f"{i}{mark}" for i in range(len(side.entries))], dtype=object) for side, mark in zip((a, b), marks, strict=True)]
+            for marks in (",,", "|;")
+        )
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
         self.columns = {name: Column64(np.int64) for name in ("groups", "totals", "ends", "keys", "times")}
-        self.fresh: dict[str, list[int]] = {name: [] for name in self.columns}
-        self.fresh["ends"].append(0)
-        self.end = 0
+        self.columns["ends"].extend([0])
+        self.fresh: list[tuple[bytes, bytes]] = []
 
     def settle(self) -> None:
-        """Make the windows added since the last call readable as columns."""
-        for name, values in self.fresh.items():
-            self.columns[name].extend(values)
-            values.clear()
-
-    def add(self, ids: tuple[bytes, bytes], a: list[int], b: list[int]) -> int:
-        text, groups, links = align_window(a, b, *self.listed)
-        place, fresh = len(self.texts), self.fresh
-        self.texts.append(text)
-        self.end += len(links)
-        fresh["groups"].append(groups)
-        fresh["totals"].append(sum(links.values()))
-        fresh["ends"].append(self.end)
-        fresh["keys"].extend(links)
-        fresh["times"].extend(links.values())
-        if len(a) + len(b) <= MEMO_TOKENS:
-            self.known[ids] = place
-        return place
+        """Align the windows that were new since the last call; all of them one after the other spell the same bytes."""
+        if not self.fresh:
+            return
+        sides = [np.frombuffer(b"".join(part), dtype=np.int32) for part in zip(*self.fresh, strict=True)]
+        stops = [np.cumsum([len(part) // 4 for part in parts]) for parts in zip(*self.fresh, strict=True)]
+        a, b = sides
+        ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.sizes, sides, strict=True))
+        near = np.searchsorted(ends_b, ends_a)
+        shared = ends_b[near] == ends_a
+        stop_a, stop_b = np.flatnonzero(shared) + 1, near[shared] + 1  # of every group
+        n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        self._spell(a, b, stop_a, stop_b, n_a, n_b, stops)
+        pairs = n_a * n_b
+        last = np.searchsorted(stop_a, stops[0])  # the last group of every window
+        held = np.append(0, np.cumsum(pairs))[np.append(0, last + 1)]
+        self.columns["groups"].extend(np.diff(last + 1, prepend=0))
+        self.columns["totals"].extend(np.diff(held))
+        # Groups of very many tokens are counted by distinct ids instead of laid out pair by pair.
+        wide = pairs > WIDE_GROUP
+        many = {int(g): _counted(a[stop_a[g] - n_a[g] : stop_a[g]], b[stop_b[g] - n_b[g] : stop_b[g]]) for g in np.flatnonzero(wide)}
+        kept = pairs.copy()
+        for g, (keys, _) in many.items():
+            kept[g] = len(keys)
+        first = np.cumsum(kept) - kept
+        group = np.repeat(np.arange(len(kept)), np.where(wide, 0, kept))
+        at = np.repeat(first, np.where(wide, 0, kept))
+        place = np.arange(len(group)) + np.repeat(np.cumsum(np.where(wide, kept, 0)), np.where(wide, 0, kept))
+        step = place - at
+        keys, times = np.zeros(kept.sum(), dtype=np.int64), np.ones(kept.sum(), dtype=np.int64)
+        x = a[stop_a[group] - n_a[group] + step // n_b[group]].astype(np.int64)
+        keys[place] = x << PAIR_BITS | b[stop_b[group] - n_b[group] + step % n_b[group]]
+        for g, (pair, n) in many.items():
+            keys[first[g] : first[g] + len(pair)], times[first[g] : first[g] + len(pair)] = pair, n
+        self.columns["ends"].extend(self.columns["keys"].size + np.cumsum(kept)[last])
+        self.columns["keys"].extend(keys)
+        self.columns["times"].extend(times)
+        self.fresh = []
+
+    def _spell(self, a, b, stop_a, stop_b, n_a, n_b, stops) -> None:
+        """Add the text of every new window: the ids of each group, its first side before its second."""
+        said = np.empty(len(a) + len(b), dtype=object)
+        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        said[np.arange(len(a)) + (stop_b - n_b)[group_a]] = self.inner[0][a]
+        said[np.arange(len(b)) + stop_a[group_b]] = self.inner[1][b]
+        said[stop_a - 1 + stop_b - n_b] = self.last[0][a[stop_a - 1]]
+        said[stop_b - 1 + stop_a] = self.last[1][b[stop_b - 1]]
+        parts, ends = said.tolist(), (stops[0] + stops[1]).tolist()
+        at = 0
+        for end in ends:
+            self.texts.append("".join(parts[at:end])[:-1])
+            at = end
 
     def windows(self, a_ids: list[int], b_ids: list[int]) -> np.ndarray:
         """Places of the windows of one text, in order; both sides spell the same bytes."""
@@ -183,11 +168,17 @@ class _Memo:
         anchors = self.spaced[0][a[after_a[:-1]]] & self.spaced[1][b[after_b[:-1]]]
         anchors = np.append(anchors, True)
         raw_a, raw_b = a.tobytes(), b.tobytes()
-        found, p, r, known = [], 0, 0, self.known
-        for q, s in zip(after_a[anchors].tolist(), after_b[anchors].tolist(), strict=True):
-            ids = (raw_a[4 * p : 4 * q], raw_b[4 * r : 4 * s])
+        found, p, r, known, fresh = [], 0, 0, self.known, self.fresh
+        base = len(self.texts)
+        for q, s in zip((4 * after_a[anchors]).tolist(), (4 * after_b[anchors]).tolist(), strict=True):
+            ids = (raw_a[p:q], raw_b[r:s])
             place = known.get(ids)
-            found.append(self.add(ids, a_ids[p:q], b_ids[r:s]) if place is None else place)
+            if place is None:
+                place = base + len(fresh)
+                fresh.append(ids)
+                if q - p + s - r <= 4 * MEMO_TOKENS:
+                    known[ids] = place
+            found.append(place)
             p, r = q, s
         return np.array(found, dtype=np.int64)
 
@@ -205,6 +196,12 @@ class _Memo:
         return keys[heads], np.add.reduceat(times, heads)
 
 
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of two groups of ids, and how often each stands."""
+    (ours, n), (theirs, m) = (np.unique(ids.astype(np.int64), return_counts=True) for ids in (a, b))
+    return (ours[:, None] << PAIR_BITS | theirs).ravel(), (n[:, None] * m).ravel()
+
+
 def _aligned(docs: DataFrame, first: Callable[[], Side], second: Callable[[], Side]) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_side, b_side = first(), second()

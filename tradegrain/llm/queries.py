@@ -81,9 +81,9 @@ def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    sides = [partial(load, path) for load, path in zip((align.byte_level_side, align.piece_side), paths, strict=True)]
-    return align.align(_table(spark, folder, "documents"), *sides)[0]
+    first = partial(align.byte_level_side, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    second = partial(align.piece_side, public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(_table(spark, folder, "documents"), first, second)[0]
 
 
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
