@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tradegrain.functions.temporal import lenient_timestamp
 from tradegrain.sources.market import Market
+from tradegrain.sources.quoted_csv import read_quoted
 from tradegrain.sources.schemas import ORDER_DATES, REQUIRED, SCHEMAS
 
 # File patterns; any path Spark can glob works, so a table may be one file or thousands.
@@ -26,7 +27,7 @@ FILE_PATTERNS = {
     "geolocation": "*geolocation_dataset.csv",
 }
 
-# Only free text may hold line breaks inside quotes; every other table stays splittable.
+# Only free text may hold line breaks inside quotes; such a table is split by the parity of its quotes.
 MULTILINE_TABLES = {"reviews"}
 TIME_PATTERN = "yyyy-MM-dd HH:mm:ss"
 
@@ -44,6 +45,9 @@ def read_csv(spark: SparkSession, path: str, table: str, schema: T.StructType |
     if missing and names:
         raise ValueError(f"{table}: no column {', '.join(missing)} in {path}")
     present = [declared[n] if n in declared.names else T.StructField(n, T.StringType()) for n in names]
+    if table in MULTILINE_TABLES and names:
+        settings = {**options, "timestampNTZFormat": TIME_PATTERN}
+        return read_quoted(spark, path, names, T.StructType(present), settings).select(*declared.names)
     read = spark.read.schema(T.StructType(present) if names else declared).options(**options)
     return read.option("enforceSchema", False).option("timestampNTZFormat", TIME_PATTERN).csv(path).select(*declared.names)
 
