@@ -31,6 +31,7 @@ DATES = [
 ]
 add(
     src_csv_orders="SELECT * FROM p_orders",
+    src_csv_reviews="SELECT * FROM p_reviews",
     src_coerce_ts="SELECT order_id, "
     + ", ".join(f"CASE WHEN order_id % 10 <> 0 THEN {c} END AS {c}" for c in DATES)
     + " FROM p_orders",

@@ -81,6 +81,13 @@ def _csv_round_trip(market: MarketTables) -> DataFrame:
     return read_csv(market.orders.sparkSession, path, "orders", schema=market.orders.schema)
 
 
+def _reviews_round_trip(market: MarketTables) -> DataFrame:
+    """Reviews, whose comments hold line breaks and quotes, through CSV files that tasks read in splits."""
+    path = scratch_path(market.reviews.sparkSession, "reviews-csv")
+    write_csv(market.reviews, path)
+    return read_csv(market.reviews.sparkSession, path, "reviews", schema=market.reviews.schema)
+
+
 def _textual_dates(orders_: DataFrame) -> DataFrame:
     """Order dates as text, every tenth unusable, parsed leniently."""
     broken = F.col("order_id") % 10 == 0
@@ -98,6 +105,7 @@ def _without_optional(market: MarketTables) -> DataFrame:
 
 
 _on_market("src_csv_orders", _csv_round_trip)
+_on_market("src_csv_reviews", _reviews_round_trip)
 _on_table("orders", {"src_coerce_ts": _textual_dates})
 _on_market("src_optional_defaults", _without_optional)
 
