@@ -51,9 +51,20 @@ def shuffled_positions(
 
 
 def sample_exactly(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
-    """Exactly ``rows`` rows drawn uniformly, or all of them when there are fewer."""
-    placed = shuffled_positions(df, key, seed, "_position")
-    return placed.where(F.col("_position") <= rows).drop("_position")
+    """Exactly ``rows`` rows drawn uniformly, or all of them when there are fewer.
+
+    ``df`` is read twice and never shuffled: counts per cell say which cells the sample fills, and only rows of these
+    cells, one cell's worth more than the sample, are ranked.
+    """
+    hashed = df.withColumn("_hash", shuffle_key(F.col(key), seed)).withColumn("_cell", F.substring("_hash", 1, _DIGITS))
+    counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(W.orderBy("_cell")) - F.col("_n")
+    cells = counts.select("_cell", below.alias("_below")).where(F.col("_below") < rows)
+    # At most 16 ** _DIGITS short rows.
+    near = hashed.join(F.broadcast(cells), "_cell")
+    place = F.row_number().over(W.partitionBy("_cell").orderBy("_hash", key))
+    placed = near.withColumn("_position", F.col("_below") + place)
+    return placed.where(F.col("_position") <= rows).select(*df.columns)
 
 
 def stratified_split(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,15 +67,28 @@ def null_report(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def duplicate_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows that repeat an earlier row in all columns, per table."""
+def row_hashes(df: DataFrame) -> Column:
+    """Two independent 64-bit hashes of a row as one value; null columns leave no trace in them."""
+    columns = [F.col(c) for c in df.columns]
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *reversed(columns)).alias("b"))
 
-    def count(name: str, df: DataFrame) -> DataFrame:
-        grouped = df.groupBy(*df.columns).agg(row_count().alias("_copies"))
-        extra = F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))
-        return grouped.agg(extra.alias("duplicate_rows")).select(F.lit(name).alias("table_name"), "duplicate_rows")
 
-    return _stack([count(name, df) for name, df in tables.items()]).orderBy("table_name")
+def repeated_rows(df: DataFrame, hashes: Callable[[DataFrame], Column] = row_hashes) -> DataFrame:
+    """One row with ``duplicate_rows``: how many rows repeat an earlier row in all columns.
+
+    Hashes are grouped first, so the rows themselves stay where they are. Only rows whose hashes repeat are compared
+    as rows, so equal hashes of different rows do no harm.
+    """
+    keyed = df.select(hashes(df).alias("_hashes"), F.struct(*df.columns).alias("_all"))
+    often = keyed.groupBy("_hashes").agg(row_count().alias("_copies")).where("_copies > 1").select("_hashes")
+    grouped = keyed.join(often, "_hashes", "left_semi").groupBy("_all").agg(row_count().alias("_copies"))
+    return grouped.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def duplicate_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows that repeat an earlier row in all columns, per table."""
+    counts = [repeated_rows(df).select(F.lit(name).alias("table_name"), "duplicate_rows") for name, df in tables.items()]
+    return _stack(counts).orderBy("table_name")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

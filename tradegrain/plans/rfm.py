@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tradegrain import fixed
 from tradegrain.functions.numeric import as_double, mean, percent, round_even
 from tradegrain.functions.temporal import days_floored
-from tradegrain.operators.ordered import number_rows, quartile
+from tradegrain.operators.selection import quartiles
 from tradegrain.session import cut_lineage
 
 
@@ -38,18 +38,19 @@ def customer_base(master: DataFrame) -> DataFrame:
 
 
 def score(base: DataFrame) -> DataFrame:
-    """R, F and M scores. Rank ties break by customer id, as a stable rank of sorted groups does."""
-    who = F.col("customer_unique_id")
-    by_recency = number_rows(base, [F.col("recency"), who], "r_rank", total="n")
-    by_spend = number_rows(by_recency, [F.col("monetary"), who], "m_rank")
+    """R, F and M scores. Rank ties break by customer id, as a stable rank of sorted groups does.
+
+    The quartile edges are found by selection, so no customer is sorted and the base stays where it is stored.
+    """
+    n = base.count()
     orders = F.col("frequency")
-    scored = by_spend.select(
+    scored = base.select(
         "customer_unique_id",
         "recency",
         "frequency",
         "monetary",
-        (5 - quartile(F.col("r_rank"), F.col("n"))).alias("R_score"),
-        quartile(F.col("m_rank"), F.col("n")).alias("M_score"),
+        (5 - quartiles(base, "recency", "customer_unique_id", n)).cast("int").alias("R_score"),
+        quartiles(base, "monetary", "customer_unique_id", n).alias("M_score"),
         F.when(orders >= 3, 4).when(orders == 2, 3).otherwise(2).alias("F_score"),
     )
     return scored.withColumn("RFM_Score", F.concat("R_score", "F_score", "M_score"))
