@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from checks.relations import days, even, frac, mean, mean_days, pct, up
 
 ORACLES: dict[str, str] = {}
@@ -864,3 +866,28 @@ add(
                {pct('additional_repeat_orders * aov * 1.35::DOUBLE', 'total_revenue')} AS gain_pct
         FROM effect""",
 )
+
+
+def for_levels(statement: str) -> str:
+    """A statement on series of states as one on the series of all levels."""
+    names = {"customer_state": "series", "lines": "level_lines", "state_months": "level_months"}
+    return re.sub(r"\b(customer_state|lines|state_months)\b", lambda m: names[m.group()], statement)
+
+
+_SCENARIOS = for_levels(ORACLES["ts_scenarios"])
+add(
+    **{
+        f"ts_levels_{name}": for_levels(ORACLES[f"ts_{source}"])
+        for name, source in {
+            "monthly": "monthly",
+            "fit": "damped_fit",
+            "backtest": "backtest",
+            "forecast": "forecast_all",
+            "quarter_growth": "quarter_growth",
+            "scenarios": "scenarios",
+        }.items()
+    },
+    fmt_scenarios=for_levels(ORACLES["fmt_forecast"])
+    .replace("SELECT series, ds AS", "SELECT series, scenario, ds AS", 1)
+    .replace(f"({for_levels(ALL_AHEAD)})", f"({_SCENARIOS})"),
+)

@@ -308,6 +308,17 @@ RELATIONS: dict[str, str] = {
     "lines": """
         SELECT customer_state, list(revenue ORDER BY month) AS y, count(*) AS months, max(month) AS last_month
         FROM state_months GROUP BY customer_state""",
+    "level_months": """
+        SELECT CASE WHEN grouping(customer_state) = 0 THEN 'state:' || coalesce(customer_state, '')
+                    WHEN grouping(category_english) = 0 THEN 'category:' || coalesce(category_english, '')
+                    ELSE 'nation' END AS series,
+               month, sum(total_order_value)::DOUBLE AS revenue, count(DISTINCT order_id) AS order_count
+        FROM (SELECT *, date_trunc('month', order_purchase_timestamp)::TIMESTAMP AS month FROM master
+              WHERE order_purchase_timestamp >= TIMESTAMP '2000-01-01' AND order_purchase_timestamp < TIMESTAMP '2001-08-01')
+        GROUP BY GROUPING SETS ((month), (month, customer_state), (month, category_english))""",
+    "level_lines": """
+        SELECT series, list(revenue ORDER BY month) AS y, count(*) AS months, max(month) AS last_month
+        FROM level_months GROUP BY series""",
 }
 
 

@@ -6,6 +6,7 @@ from datetime import datetime
 from math import isclose, sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradegrain.plans import forecast, whatif
 
@@ -108,3 +109,25 @@ def test_what_if_sweep(spark):
     assert (r.prevented_late_orders, r.prevented_1_stars, r.additional_repeat_orders) == (int(1000 * (2.5 * 0.022)), 31, 30)
     assert isclose(r.csat_lift, 0.26) and isclose(r.projected_revenue_gain, 30 * 5 * 1.35)
     assert rows[6.0, 8.0].csat_lift == pytest.approx(0.64)
+
+
+def test_quarter_growth_of_one_series_without_a_key(spark):
+    months = [(float(100 + i), f"2017-{i:02d}-01") for i in range(1, 13)]
+    frame = spark.createDataFrame(months, "revenue double, d string").selectExpr("revenue", "CAST(d AS TIMESTAMP_NTZ) AS month")
+    lines = forecast.series(frame, [])
+    row = forecast.quarter_growth(lines, forecast.forecast_all(lines, []), []).collect()
+    assert len(row) == 1 and row[0].recent_revenue == 333.0
+
+
+def test_levels_add_up_and_null_keys_are_a_series(spark, small_master):
+    keyed = small_master.withColumn("category_english", F.when(F.col("order_id") % 7 != 0, F.col("category_english")))
+    levels = {"nation": None, "state": "customer_state", "category": "category_english"}
+    rows = forecast.monthly_levels(keyed, levels, "2000-01", "2001-07").collect()
+    sums = {level: sum(r.order_count for r in rows if r.series.split(":")[0] == level) for level in levels}
+    assert sums["nation"] == sums["state"] == sums["category"] > 0
+    assert any(r.series == "category:" for r in rows)
+    for level, column in levels.items():
+        if column:
+            alone = forecast.monthly(keyed, [column], "2000-01", "2001-07").collect()
+            expected = {(f"{level}:{r[column] or ''}", r.month): (r.revenue, r.order_count) for r in alone}
+            assert {(r.series, r.month): (r.revenue, r.order_count) for r in rows if r.series.startswith(f"{level}:")} == expected

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tradegrain import fixed
 from tradegrain.functions.numeric import as_double, percent, ratio, round_even
 from tradegrain.functions.temporal import month_start
+from tradegrain.operators.grouping import join_groups
 
 HORIZON = 6
 HOLDOUT = 4
@@ -47,6 +48,33 @@ def monthly(
     )
 
 
+def monthly_levels(
+    master: DataFrame,
+    levels: dict[str, str | None],
+    first: str = fixed.FORECAST_FIRST_MONTH,
+    last: str = fixed.FORECAST_LAST_MONTH,
+) -> DataFrame:
+    """Revenue and distinct orders per month for several levels at once, by one pass with GROUPING SETS.
+
+    ``levels`` maps a level to the column of its keys, or to None for the level of all orders. A series is named
+    ``level:key``, or ``level`` alone where there is no key; a null key is the empty one.
+    """
+    start = month_start(F.col("order_purchase_timestamp"))
+    low, high = (F.to_date(F.lit(f"{m}-01")).cast("timestamp_ntz") for m in (first, last))
+    keys = [column for column in levels.values() if column]
+    rows = master.select(start.alias("month"), *keys, "total_order_value", "order_id").where(F.col("month").between(low, high))
+    sets = [["month", column] if column else ["month"] for column in levels.values()]
+    named = [
+        F.when(F.grouping(column) == 0, F.concat(F.lit(f"{level}:"), F.coalesce(F.col(column), F.lit(""))))
+        for level, column in levels.items()
+        if column
+    ]
+    whole = next((level for level, column in levels.items() if not column), None)
+    figures = [F.coalesce(*named, F.lit(whole)).alias("series"), F.sum("total_order_value").alias("sum"), F.count_distinct("order_id").alias("order_count")]
+    counted = rows.groupingSets(sets, "month", *keys).agg(*figures)
+    return counted.select("series", "month", as_double("sum").alias("revenue"), "order_count")
+
+
 def series(months: DataFrame, by: list[str]) -> DataFrame:
     """One row per key: values in month order, the number of months and the last month."""
     pairs = F.array_sort(F.collect_list(F.struct("month", "revenue")))
@@ -219,7 +247,9 @@ def quarter_growth(lines: DataFrame, ahead: DataFrame, by: list[str]) -> DataFra
     def add(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
-    both = lines.join(following, by)
+    # One row per series on both sides; without a key there is one series.
+    single = F.lit(1).alias("_only")
+    both = join_groups(lines.select("*", single), following.select("*", single), by, plain=("_only",))
     projected = add(F.transform("parts", lambda p: p["forecast"]))
     recent = add(F.slice("y", F.greatest(F.lit(1), F.size("y") - 2), F.lit(3)))
     growth = F.when(recent > 0, percent(projected - recent, recent)).otherwise(fixed.GROWTH_WITHOUT_BASE)

@@ -536,8 +536,31 @@ def _ahead(m: DataFrame) -> DataFrame:
     return forecast.forecast_all(_lines(m), STATE)
 
 
+LEVELS = {"nation": None, "state": "customer_state", "category": "category_english"}
+SERIES = ["series"]
+
+
+def _level_months(m: DataFrame) -> DataFrame:
+    return forecast.monthly_levels(m, LEVELS, FIRST_MONTH, LAST_MONTH)
+
+
+def _level_lines(m: DataFrame) -> DataFrame:
+    return forecast.series(_level_months(m), SERIES)
+
+
+def _level_ahead(m: DataFrame) -> DataFrame:
+    return forecast.forecast_all(_level_lines(m), SERIES)
+
+
 _on_master(
     {
+        "ts_levels_monthly": _level_months,
+        "ts_levels_fit": lambda m: forecast.fit_report(forecast.fit(_level_lines(m)), SERIES),
+        "ts_levels_backtest": lambda m: forecast.backtest(_level_lines(m), SERIES),
+        "ts_levels_forecast": _level_ahead,
+        "ts_levels_quarter_growth": lambda m: forecast.quarter_growth(_level_lines(m), _level_ahead(m), SERIES),
+        "ts_levels_scenarios": lambda m: forecast.scenarios(_level_ahead(m)),
+        "fmt_scenarios": lambda m: presentation.forecast(forecast.scenarios(_level_ahead(m)), [*SERIES, "scenario"]),
         "ts_monthly": _months,
         "ts_damped_fit": lambda m: forecast.fit_report(forecast.fit(_lines(m)), STATE),
         "ts_backtest": lambda m: forecast.backtest(_lines(m), STATE),
