@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.functions.numeric import as_double, percent, ratio
+from tradegrain.functions.numeric import as_double, order_free_sum, percent, ratio
 from tradegrain.operators.ordered import running_totals
 
 
@@ -62,7 +62,8 @@ def ranking_metrics(scored: DataFrame, label: str, score: str, by: tuple[str, ..
     """ROC-AUC (ties count half) and average precision (step sum) per group.
 
     Equal scores collapse to one row, then one pass of running counts from the highest score down
-    gives both figures. Pair counts are exact decimals, since positives times negatives can pass 64 bits.
+    gives both figures. Pair counts are exact decimals, since positives times negatives can pass 64 bits, and precisions
+    are summed without regard to order, so both figures are the same over any partitions.
     """
     keys = list(by) or ["_all"]
     base = scored if by else scored.withColumn("_all", F.lit(0))
@@ -78,7 +79,7 @@ def ranking_metrics(scored: DataFrame, label: str, score: str, by: tuple[str, ..
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
         F.sum(doubled_pairs).cast("double").alias("pairs"),
-        F.sum(as_double("pos") * precision).alias("weighted"),
+        order_free_sum(as_double("pos") * precision).alias("weighted"),
     )
     won = F.try_divide(F.col("pairs"), as_double("positives") * as_double("negatives") * 2.0)
     result = sums.select(

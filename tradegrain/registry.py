@@ -499,7 +499,7 @@ _on_master(
             "roc_auc", "sample_size"
         ),
         "ml_avg_precision": lambda m: evaluation.ranking_metrics(_rule_scored(m), "label", "score").select(
-            F.round("pr_auc", 9).alias("pr_auc")
+            F.round("pr_auc", 9).alias("pr_auc")  # the SQL sums doubles in any order
         ),
         "ml_csat_model": lambda m: _train_csat(m).metrics,
         "ml_permutation_importance": lambda m: _train_csat(m).importances,
