@@ -326,6 +326,15 @@ FULL_NAMES = {
 add(**{FULL_NAMES[k]: v for k, v in named_queries("master", "delivered").items()})
 add(**{f"lab_filtered_{k}": v for k, v in named_queries("filtered", "filtered_delivered").items()})
 
+add(
+    lab_sql_text="""
+        SELECT customer_state, count(*) AS active_months, sum(orders)::BIGINT AS total_orders,
+               max(orders) AS best_month_orders, sum(revenue)::DOUBLE AS total_revenue
+        FROM (SELECT customer_state, count(DISTINCT order_id) AS orders, sum(total_order_value) AS revenue
+              FROM delivered GROUP BY customer_state, order_year_month)
+        GROUP BY customer_state"""
+)
+
 # --- customers ---------------------------------------------------------------------------------
 
 add(

@@ -204,5 +204,13 @@ def run(key: str, frame: DataFrame) -> DataFrame:
 
 
 def run_sql(statement: str, frame: DataFrame) -> DataFrame:
-    """Run free SQL text in which ``{df}`` stands for the frame."""
-    return frame.sparkSession.sql(statement, df=frame)
+    """Run free SQL text in which ``df`` is the table of the frame's rows.
+
+    The name is bound to this call only, no view of the session is made or hidden for others. The text may have CTEs of
+    its own, an order, comments, a closing semicolon and braces. ``{df}`` in place of ``df`` works too.
+    """
+    text = statement.strip().rstrip(";")
+    if "{df}" in text:
+        return frame.sparkSession.sql(text, df=frame)
+    plain = text.replace("{", "{{").replace("}", "}}")
+    return frame.sparkSession.sql(f"WITH df AS (SELECT * FROM {{frame}}) SELECT * FROM (\n{plain}\n)", frame=frame)

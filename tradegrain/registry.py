@@ -265,6 +265,17 @@ for _key, _query in lab.CATALOG.items():
         }
     )
 
+# Free SQL text on the frame as table df.
+STATE_TEXT = """
+    WITH monthly AS (
+        SELECT customer_state, order_year_month, count(DISTINCT order_id) AS orders, sum(total_order_value) AS revenue
+        FROM df WHERE order_status = 'delivered' GROUP BY customer_state, order_year_month)
+    SELECT customer_state, count(*) AS active_months, sum(orders) AS total_orders, max(orders) AS best_month_orders,
+           CAST(sum(revenue) AS DOUBLE) AS total_revenue
+    FROM monthly GROUP BY customer_state ORDER BY total_revenue DESC, customer_state;
+"""
+_on_master({"lab_sql_text": lambda m: lab.run_sql(STATE_TEXT, m)})
+
 # --- customers, orders, reviews ----------------------------------------------------------------
 
 _on_table(
