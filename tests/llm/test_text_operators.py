@@ -94,7 +94,7 @@ def test_lines_equal_brute_force(spark, small):
     part = {k: t for k, t in small.items() if k < 120}
     frame = spark.createDataFrame(list(part.items()), "doc_id long, text string")
     gone = brute_removed(part)
-    for row in lines.line_report(frame).collect():
+    for row in lines.line_report(frame, min_words=5).collect():
         assert set(row["removed_lines"]) == gone[row["doc_id"]]
         kept = [x for i, x in enumerate(part[row["doc_id"]].split("\n")) if i not in gone[row["doc_id"]]]
         assert row["text"] == "\n".join(kept)
@@ -129,7 +129,7 @@ def test_lines_of_one_document_in_their_order(spark):
 
     rows = [(1, chains()), (1, chains()), (None, chains()), (None, chains()), (2, chains())]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = lines.removed_lines(frame).collect()
+    found = lines.removed_lines(frame, min_words=5).collect()
     assert {(r["doc"], r["text_key"], r["line"]) for r in found} == brute_places(frame, 5)
 
 

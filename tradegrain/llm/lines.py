@@ -7,8 +7,10 @@ filter and a bound from 128-bit word signatures, none of which can lose a match;
 Every line with an earlier match goes.
 
 Rarity is read from counts in a fixed number of slots, so its table is bounded; any order of words gives the same
-matches. A set is first compared with its nearest earlier candidates. Only sets that find no match there and have
-more candidates are compared with all of them, so a large group of near copies is not expanded into its pairs.
+matches. Sets are numbered in the order of their first places, so that order and identity cost one column. A set is
+first compared with its nearest earlier candidates. Only sets that find no match there and have more candidates are
+compared with all of them, so a large group of near copies is not expanded into its pairs. Sets and words are known
+by 64-bit hashes; equal hashes count as equal.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 from tradegrain.llm.common import as_long, columns_of, hashed_words, mix, slices, split_count, store
 
 SIMILARITY = 0.8
-MIN_WORDS = 5  # different words a line needs to take part, unless the caller says otherwise
+MIN_WORDS = 1  # different words a line needs to take part, unless the caller says otherwise
 SLOT_BITS, CHUNK_BITS = 24, 16
 NEAREST = 2  # candidates per word compared at first
 BLOCK, GROUP, RUN = 8192, 60_000, 1 << 20
+PAIRS_HELD = 1 << 18  # candidate pairs a task holds before it passes them on
+SPAN_BITS = 20
 HOT_SCALE = int(16 * math.log2(BLOCK)) - 1
 _LOW = np.uint64((1 << SLOT_BITS) - 1)
 
@@ -144,9 +148,9 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float, least: int
                 line, words, first, size = _sets(line, words, len(number), scale)
                 key = _keys(words, first, size)
                 bit = (mix(words) >> np.uint64(57)).astype(np.int64)
-                signature = np.zeros((len(size), 128), dtype=bool)
-                signature[line, bit] = True
-                packed = np.packbits(signature, axis=1).view(np.int64)
+                # Parities, so that long lines do not fill the signature: sets differ by a word per differing bit.
+                signature = np.bincount(line * 128 + bit, minlength=128 * len(size)) & 1
+                packed = np.packbits(signature.reshape(-1, 128).astype(bool), axis=1).view(np.int64)
                 place = np.arange(len(words)) - first[line]
                 length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
                 length[size < similarity * (size + 1) - 1e-9] = 0
@@ -175,24 +179,29 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float, least: int
     return docs.mapInArrow(run, _LINES)
 
 
-_MEETINGS = ["spot", "key", "shape", "low", "high", "mark"]  # shape: n and at; mark: line, block, whole and wanted
+_MEETINGS = ["spot", "number", "shape", "low", "high"]  # shape: n, at and three marks: right block, whole, wanted
 
 
 def _pairs(similarity: float, nearest: int | None):
-    """Candidate pairs of the sets that meet in a spot; ``a = b`` marks sets with candidates left out.
+    """Candidate pairs (a, b) of the sets that meet in a spot, a before b; ``a = b`` marks sets with candidates left out.
 
-    Rows come in order of spot and first place, the order in which lines go: a set then looks at all its earlier
-    candidates from its own side. Only the rows of an unfinished spot are held back.
+    Rows come in order of spot and number, the order in which lines go: a set looks at all its earlier candidates
+    from its own side. Only the rows of an unfinished spot are held back.
     """
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        spot, key, shape, low, high, mark = (c.to_numpy() for c in rows.columns)
-        n, at = shape >> 32, shape & 0xFFFFFFFF
-        block, whole, wanted = (mark & 0xFFFFFFFF) >> 2, (mark & 2) > 0, (mark & 1) > 0
+    def batch(firsts: list[np.ndarray], seconds: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.stack([np.concatenate(firsts), np.concatenate(seconds)], axis=1)
+        pairs = np.unique(pairs, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        spot, number, shape, low, high = (c.to_numpy() for c in rows.columns)
+        n, at = shape >> 33, (shape >> 3) & ((1 << 30) - 1)
+        right, whole, wanted = (shape & 4) > 0, (shape & 2) > 0, (shape & 1) > 0
         signature = np.stack([low, high], axis=1).view(np.uint64)
         held, more = np.zeros(len(spot), dtype=np.int64), np.zeros(len(spot), dtype=bool)
-        firsts, seconds = [], []
-        later, step = np.arange(len(spot)), 0
+        firsts, seconds, count = [], [], 0
+        later, step = np.flatnonzero(wanted), 0
         while True:
             step += 1
             later = later[later >= step]
@@ -200,7 +209,7 @@ def _pairs(similarity: float, nearest: int | None):
             if not len(later):
                 break
             a, b = later - step, later
-            fits = (whole[b] | (block[a] != block[b])) & (key[a] != key[b]) & (wanted[a] | wanted[b])
+            fits = (whole[b] | (right[a] != right[b])) & (number[a] != number[b])
             fits &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
             a, b = a[fits], b[fits]
             needed = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
@@ -214,13 +223,14 @@ def _pairs(similarity: float, nearest: int | None):
                 more[b[full]] = True
                 a, b = a[~full], b[~full]
                 held[b] += 1
-            firsts.append(key[a])
-            seconds.append(key[b])
-        pairs = np.stack([np.concatenate(firsts or [key[:0]]), np.concatenate(seconds or [key[:0]])], axis=1)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        left_out = np.unique(key[more])
-        both = [pa.array(np.concatenate([pairs[:, i], left_out])) for i in range(2)]
-        return pa.RecordBatch.from_arrays(both, names=["a", "b"])
+            firsts.append(number[a])
+            seconds.append(number[b])
+            count += len(a)
+            if count >= PAIRS_HELD:
+                yield batch(firsts, seconds)
+                firsts, seconds, count = [], [], 0
+        left_out = number[more]
+        yield batch([*firsts, left_out], [*seconds, left_out])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -233,10 +243,10 @@ def _pairs(similarity: float, nearest: int | None):
             spot = rows.column(0).to_numpy()
             whole = int(np.searchsorted(spot, spot[-1]))
             if whole:
-                yield compare(rows.slice(0, whole))
+                yield from compare(rows.slice(0, whole))
                 held, count = rows.slice(whole).to_batches(), len(spot) - whole
         if count:
-            yield compare(pa.Table.from_batches(held))
+            yield from compare(pa.Table.from_batches(held))
 
     return run
 
@@ -263,7 +273,7 @@ def _marked(packed: np.ndarray) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8)).astype(bool)
 
 
-_SET = ["doc", "text_key", "line", "key", "n", "low", "high"]
+_SET = ["number", "n", "low", "high"]
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
@@ -272,17 +282,33 @@ def _prefix_rows(sets: DataFrame) -> DataFrame:
     return sets.select(*_SET, one).select(*_SET, F.col("one.prefix").alias("word"), F.col("one.at").alias("at"))
 
 
-def _prefix_rows_of(sets: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows of ``_prefix_rows`` whose word is among ``words``, and few others; the rest is never spread out."""
-    sent = sets.sparkSession.sparkContext.broadcast(_bitmap(words))
+def _spans(opened: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per slot of prefix words of open sets: the last number, and the least and greatest size that may match one."""
+    slot = F.col("word").bitwiseAND(F.lit((1 << SPAN_BITS) - 1)).alias("slot")
+    words = opened.select("number", "n", F.explode("prefix").alias("word")).groupBy(slot)
+    found = words.agg(F.max("number").alias("last"), F.min("n").alias("least"), F.max("n").alias("most")).toArrow()
+    slots, last, least, most = (c.to_numpy() for c in found.columns)  # at most 2 ** SPAN_BITS rows
+    spans = np.full(1 << SPAN_BITS, -1), np.zeros(1 << SPAN_BITS, np.int32), np.zeros(1 << SPAN_BITS, np.int32)
+    spans[0][slots] = last
+    spans[1][slots] = np.ceil(similarity * least - 1e-9)
+    spans[2][slots] = np.minimum(np.floor(most / similarity + 1e-9), (1 << 31) - 1)
+    return spans
+
+
+def _prefix_rows_of(sets: DataFrame, opened: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``_prefix_rows`` that an open set or an earlier set of fitting size has with a word of an open
+    set, and few others; the rest is never spread out."""
+    sent = sets.sparkSession.sparkContext.broadcast(_spans(opened, similarity))  # 16 * 2 ** SPAN_BITS bytes
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = _marked(sent.value)
+        last, least, most = sent.value
         for part in parts:
             lists, places = part.column(len(_SET)), part.column(len(_SET) + 1)
             owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             words, at = (c.flatten().to_numpy(zero_copy_only=False) for c in (lists, places))
-            hit = marked[words & ((1 << SLOT_BITS) - 1)]
+            slot = words & ((1 << SPAN_BITS) - 1)
+            number, n = (part.column(i).to_numpy()[owner] for i in range(2))
+            hit = (number <= last[slot]) & (n >= least[slot]) & (n <= most[slot])
             kept = part.select(_SET).take(pa.array(owner[hit]))
             columns = [*kept.columns, pa.array(words[hit]), pa.array(at[hit])]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "word", "at"])
@@ -292,30 +318,30 @@ def _prefix_rows_of(sets: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
-    """(a, b) of sets that may match, of the rows of ``_prefix_rows`` and ``wanted``; a = b marks a set with
-    candidates left out.
+    """(a, b) of sets that may match, of the rows of ``_prefix_rows`` and ``wanted``, which says whose earlier
+    candidates are looked for; a = b marks a set with candidates left out.
 
     Sets meet in spots: a word, or two blocks of a word that stands in many sets.
     """
-    few = rows.filter("at >= 0").withColumns(
-        {"spot": F.col("word"), "block": F.lit(0).cast("long"), "whole": F.lit(True)}
-    )
+    few = rows.filter("at >= 0").withColumns({"spot": F.col("word"), "right": F.lit(False), "whole": F.lit(True)})
     # Only words the counts allow to be hot are counted exactly and cut into blocks, every two of which meet.
     many = rows.filter("at < 0").withColumn("at", -1 - F.col("at"))
     crowded = many.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
     many = many.join(crowded, "word").withColumn("blocks", split_count(F.col("rows"), BLOCK)).drop("rows")
-    many = many.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn(
+    many = many.withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     left, right = F.least("block", "other"), F.greatest("block", "other")
-    many = many.withColumns({"spot": F.xxhash64("word", left, right), "whole": left == right})
-    shape = F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("shape")
-    flags = F.when(F.col("whole"), 2).otherwise(0) + F.when(F.col("wanted"), 1).otherwise(0)
-    mark = F.shiftleft("line", 32).bitwiseOR(F.col("block") * 4 + flags).alias("mark")
-    few, many = (part.select("doc", "text_key", "spot", "key", shape, "low", "high", mark) for part in (few, many))
+    many = many.withColumns(
+        {"spot": F.xxhash64("word", left, right), "right": F.col("block") == right, "whole": left == right}
+    )
+    flags = F.when(F.col("right"), 4).otherwise(0) + F.when(F.col("whole"), 2).otherwise(0)
+    flags = flags + F.when(F.col("wanted"), 1).otherwise(0)
+    # A text has less than 2 ** 30 words.
+    shape = F.shiftleft("n", 33).bitwiseOR(F.shiftleft("at", 3)).bitwiseOR(flags.cast("long")).alias("shape")
+    few, many = (part.select("spot", "number", shape, "low", "high") for part in (few, many))
     dealt = few.unionByName(many).repartition("spot")
-    # The order of ``_later``; the line leads in ``mark``, and sets of one line are one set.
-    ordered = dealt.sortWithinPartitions("spot", "doc", "text_key", "mark").select(*_MEETINGS)
+    ordered = dealt.sortWithinPartitions("spot", "number").select(*_MEETINGS)
     return ordered.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
@@ -324,7 +350,7 @@ def _address(doc: np.ndarray, text_key: np.ndarray, line: np.ndarray) -> np.ndar
 
 
 def _words_of(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """(key, words) of the sets with these first places, read again from the texts.
+    """(number, words) of the sets with these first places, read again from the texts.
 
     A bitmap of fixed size over places tells each scan task which lines to send, so no text is shuffled.
     """
@@ -358,8 +384,8 @@ def _words_of(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
             key = as_long(_keys(words, first, size))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets, pa.binary())], names=["key", "words"])
 
-    found = docs.mapInArrow(run, "key long, words binary").join(places.select("key"), "key", "left_semi")
-    return found.groupBy("key").agg(F.min("words").alias("words"))
+    found = docs.mapInArrow(run, "key long, words binary").join(places.select("key", "number"), "key")
+    return found.groupBy("number").agg(F.min("words").alias("words"))
 
 
 def _matches(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -375,22 +401,12 @@ def _matches(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
                 good.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("left_words")), "a").join(
-        words.select(F.col("key").alias("b"), F.col("words").alias("right_words")), "b"
+    both = pairs.join(words.select(F.col("number").alias("a"), F.col("words").alias("left_words")), "a").join(
+        words.select(F.col("number").alias("b"), F.col("words").alias("right_words")), "b"
     )
     return both.select("a", "b", "left_words", "right_words").mapInArrow(run, "a long, b long")
 
 
-def _later(matches: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key) of the set in each match whose first place is later."""
-    place = F.struct(F.coalesce(F.col("doc"), F.lit(-(1 << 63))), F.col("text_key"), F.col("line"))
-    places = sets.select("key", place.alias("place"))
-    both = matches.join(places.select(F.col("key").alias("a"), F.col("place").alias("pa")), "a").join(
-        places.select(F.col("key").alias("b"), F.col("place").alias("pb")), "b"
-    )
-    return both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct()
-
-
 def removed_lines(
     docs: DataFrame,
     *,
@@ -410,27 +426,30 @@ def removed_lines(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")
     )
     rows = store(line_sets(chosen, rarity_table(chosen), similarity, min_words), "line-sets")
-    first = F.min(F.struct("doc", "text_key", "line")).alias("first")
+    first = rows.groupBy("key").agg(F.min(F.struct("doc", "text_key", "line")).alias("first")).select("key", "first.*")
+    # Range partitions in order of place, nulls first: ids that grow with partition and row number the sets.
+    dealt = store(first, "firsts").repartitionByRange("doc", "text_key", "line")
+    dealt = dealt.sortWithinPartitions("doc", "text_key", "line")
+    places = store(dealt.withColumn("number", F.monotonically_increasing_id()), "places")
     shape = [F.first(c).alias(c) for c in ("n", "low", "high", "prefix", "at")]
-    sets = rows.groupBy("key").agg(first, *shape).select("key", "first.*", "n", "low", "high", "prefix", "at")
+    sets = rows.groupBy("key").agg(*shape).join(places.select("key", "number"), "key").drop("key")
     sets = store(sets, "sets")
-    places = sets.select("key", "doc", "text_key", "line")
     every = _prefix_rows(sets).withColumn("wanted", F.lit(True))
     near = store(_candidates(every, similarity, NEAREST), "candidates")
     gone = _confirmed(chosen, near.filter("a <> b"), places, similarity, min_words)
-    open_ = near.filter("a = b").select(F.col("a").alias("key")).join(gone, "key", "left_anti")
+    open_ = near.filter("a = b").select(F.col("a").alias("number")).join(gone, "number", "left_anti")
     open_ = store(open_.distinct(), "open-sets")
     if open_.limit(1).count():
-        words = sets.join(open_, "key", "left_semi").select(F.explode("prefix").alias("word"))
-        rows_of = _prefix_rows_of(sets, words).join(open_.withColumn("wanted", F.lit(True)), "key", "left")
+        rows_of = _prefix_rows_of(sets, sets.join(open_, "number", "left_semi"), similarity)
+        rows_of = rows_of.join(open_.withColumn("wanted", F.lit(True)), "number", "left")
         rows_of = store(rows_of.withColumn("wanted", F.coalesce("wanted", F.lit(False))), "open-rows")
         rest = _candidates(rows_of, similarity, None).join(near, ["a", "b"], "left_anti")
         rest = store(rest, "candidates")
         gone = gone.union(_confirmed(chosen, rest, places, similarity, min_words)).distinct()
     firsts = F.struct("doc", "text_key", "line")
-    known = places.select("key", firsts.alias("first"))
+    known = places.select("key", "number", firsts.alias("first"))
     later = rows.select("doc", "text_key", "line", "key").join(known, "key")
-    later = later.join(gone.withColumn("gone", F.lit(True)), "key", "left")
+    later = later.join(gone.withColumn("gone", F.lit(True)), "number", "left")
     again = ~(
         F.col("doc").eqNullSafe(F.col("first.doc"))
         & F.col("text_key").eqNullSafe(F.col("first.text_key"))
@@ -440,9 +459,11 @@ def removed_lines(
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, places: DataFrame, similarity: float, least: int) -> DataFrame:
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = store(places.join(keys, "key", "left_semi"), "wanted")
-    return store(_later(_matches(pairs, _words_of(docs, wanted, least), similarity), wanted), "later-sets")
+    """(number) of the later set of each pair that matches by its words."""
+    numbers = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+    wanted = store(places.join(numbers, "number", "left_semi"), "wanted")
+    matches = _matches(pairs, _words_of(docs, wanted, least), similarity)
+    return store(matches.select(F.col("b").alias("number")).distinct(), "later-sets")
 
 
 def _with_removed(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
