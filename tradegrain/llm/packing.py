@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tradegrain.llm.common import Column64, Words, batches, slices
 
+WORDS_HELD = 600_000  # distinct words a task remembers, some 200 bytes each
+STOPS = (b".", b",")
 WORD_END = "</w>"  # what ends the last token of a word in the vocabulary
 SEQUENCE_BITS = 32  # a sequence id is the task number above these bits and a running number below
 PIECES = (
@@ -205,9 +207,10 @@ def document_encoder(vocabulary: str, end_id: int = 2):
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        words, parts = Words(), Words(1 << 60)  # parts go when words go
-        ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)  # of parts
-        cores, tails = Column64(np.int64), Column64(np.int64)  # of words, as positions among parts
+        words = Words(WORDS_HELD)
+        ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
+        stop_ids = {stop: tokenizer.encode(stop.decode(), add_special_tokens=False).ids for stop in STOPS}
+        stops_cut = STOPS if all(len(one) == 1 for one in stop_ids.values()) else ()
 
         plain = Tokenizer(tokenizer.model)
         plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -227,45 +230,48 @@ def document_encoder(vocabulary: str, end_id: int = 2):
             return np.fromiter(chain.from_iterable(single), dtype=np.uint32, count=int(lengths.sum())), lengths
 
         def tokenize(fresh: list[bytes]) -> None:
-            """Learn the ids of new parts: plain words go to the model in one string, the rest one by one."""
-            kinds = np.fromiter(map(_is_simple, fresh), dtype=bool, count=len(fresh))
+            """Learn the ids of new words: plain ones go to the model in one string, the rest one by one."""
+            ends = [_stop(w) if w.endswith(stops_cut) else b"" for w in fresh]
+            cores = [w[:-1] if end else w for w, end in zip(fresh, ends, strict=True)]
+            kinds = np.fromiter(map(_is_simple, cores), dtype=bool, count=len(fresh))
+            cut = np.fromiter(map(len, ends), dtype=np.int64, count=len(fresh))
             begin, size = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
             for simple in (True, False):
-                chosen = list(compress(fresh, kinds == simple))
+                chosen = list(compress(cores, kinds == simple))
                 if chosen:
                     found, lengths = split_ids(chosen, simple)
-                    begin[kinds == simple] = ids.size + np.cumsum(lengths) - lengths
-                    size[kinds == simple] = lengths
-                    ids.extend(found)
+                    # Room for the id of a stop that was cut off.
+                    tail = cut[kinds == simple]
+                    width = lengths + tail
+                    after = np.cumsum(width)
+                    moved = np.empty(int(width.sum()), dtype=np.uint32)
+                    moved[np.arange(len(found)) + np.repeat(np.cumsum(tail) - tail, lengths)] = found
+                    moved[after[tail > 0] - 1] = [stop_ids[end][0] for end in compress(ends, kinds == simple) if end]
+                    begin[kinds == simple] = ids.size + after - width
+                    size[kinds == simple] = width
+                    ids.extend(moved)
             begins.extend(begin)
             sizes.extend(size)
 
         def encode(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-            nonlocal parts, ids, begins, sizes, cores, tails
+            nonlocal ids, begins, sizes
             out = []
             for at in range(0, len(rows), 256):
                 raw = [(row[0] or "").encode() for row in rows[at : at + 256]]
                 texts = [(t if b"<|" in t else t.lower()).split() for t in raw]
                 places, fresh, afresh = words.index(texts)
                 if afresh:
-                    parts = Words(1 << 60)
                     ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
-                    cores, tails = Column64(np.int64), Column64(np.int64)
-                cut = [_stop(w) for w in fresh]
-                (core, tail), unknown, _ = parts.index([[c for c, _ in cut], [t for _, t in cut]])
-                tokenize(unknown)
-                cores.extend(core)
-                tails.extend(tail)
+                tokenize(fresh)
                 out += [joined(p) for p in places]
             return out
 
         def joined(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            index = np.stack([cores.values[places], tails.values[places]], axis=1).ravel()
-            size = sizes.values[index]
+            size = sizes.values[places]
             ends = np.cumsum(size)
             total = int(size.sum())
             found = np.empty(total + 1, dtype=np.uint32)
-            found[:-1] = ids.values[np.repeat(begins.values[index] - (ends - size), size) + np.arange(total)]
+            found[:-1] = ids.values[np.repeat(begins.values[places] - (ends - size), size) + np.arange(total)]
             found[-1] = end_id
             return found, np.ones(total + 1, dtype=bool)
 
@@ -277,11 +283,9 @@ def document_encoder(vocabulary: str, end_id: int = 2):
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _stop(word: bytes) -> tuple[bytes, bytes]:
-    """The word and a full stop or comma that ends it after a letter, else nothing."""
-    if word[-1] in b".," and len(word) > 1 and word[-2] in _LETTERS and b"<|" not in word:
-        return word[:-1], word[-1:]
-    return word, b""
+def _stop(word: bytes) -> bytes:
+    """The full stop or comma that ends a word after a letter, else nothing."""
+    return word[-1:] if len(word) > 1 and word[-2] in _LETTERS and b"<|" not in word else b""
 
 
 # The visible stand-ins of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
@@ -292,5 +296,7 @@ _BYTE_LETTERS = "".join(chr(b if b in set(_PRINTABLE) or b == 32 else 256 + _OTH
 
 def _is_simple(part: bytes) -> bool:
     """Whether a part is lower-case letters in composed form, nothing else."""
+    if part.isascii():
+        return part.isalpha() and part.islower()
     text = part.decode()
-    return text.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text)) and text == text.lower()
+    return text.isalpha() and unicodedata.is_normalized("NFC", text) and text == text.lower()
