@@ -14,6 +14,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, partial
 from itertools import chain, compress
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tradegrain.llm.common import Column64, Words, batches, slices
 
-WORDS_HELD = 600_000  # distinct words a task remembers, some 200 bytes each
+WORDS_HELD = 600_000  # distinct words a worker remembers, some 200 bytes each
 STOPS = (b".", b",")
 WORD_END = "</w>"  # what ends the last token of a word in the vocabulary
 SEQUENCE_BITS = 32  # a sequence id is the task number above these bits and a running number below
@@ -196,96 +197,109 @@ def document_encoder(vocabulary: str, end_id: int = 2):
     """An ``encode`` for plain texts: ids of ``vocabulary`` (a tokenizers file that never joins words over white
     space) and then ``end_id``, every token bearing loss. A null text is empty.
 
-    Texts are cut at ASCII white space and each distinct word is tokenized once per task, as long as it is held.
+    Texts are cut at ASCII white space and each distinct word is tokenized once per worker, as long as it is held.
     The vocabulary's normalizer lower-cases, so letter case is settled before words are compared, and one full
-    stop or comma after a letter is a token of its own, so it is split off. Words that could hold a special
+    stop or comma after a letter of ASCII or Latin-1 is a token of its own, so it is split off. Words that could hold a special
     token's name are left as they are. Words of lower-case letters only would pass the normalizer unchanged and the
     word splitter as one piece, so they go straight to the vocabulary's model.
     """
 
-    def start():
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        words = Words(WORDS_HELD)
-        ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
-        stop_ids = {stop: tokenizer.encode(stop.decode(), add_special_tokens=False).ids for stop in STOPS}
-        stops_cut = STOPS if all(len(one) == 1 for one in stop_ids.values()) else ()
-
-        plain = Tokenizer(tokenizer.model)
-        plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        is_end = np.array([(tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(tokenizer.get_vocab_size())])
-
-        def split_ids(chosen: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
-            """Ids of the parts one after another, and how many each has."""
-            if simple:
-                letters = b" ".join(chosen).decode("latin-1").translate(_BYTE_LETTERS)
-                found = np.array(plain.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype=np.uint32)
-                stops = np.flatnonzero(is_end[found]) + 1
-                if len(stops) == len(chosen):
-                    return found, np.diff(stops, prepend=0)
-            encoded = tokenizer.encode_batch_fast([p.decode() for p in chosen], add_special_tokens=False)
-            single = [one.ids for one in encoded]
-            lengths = np.fromiter(map(len, single), dtype=np.int64, count=len(single))
-            return np.fromiter(chain.from_iterable(single), dtype=np.uint32, count=int(lengths.sum())), lengths
-
-        def tokenize(fresh: list[bytes]) -> None:
-            """Learn the ids of new words: plain ones go to the model in one string, the rest one by one."""
-            ends = [_stop(w) if w.endswith(stops_cut) else b"" for w in fresh]
-            cores = [w[:-1] if end else w for w, end in zip(fresh, ends, strict=True)]
-            kinds = np.fromiter(map(_is_simple, cores), dtype=bool, count=len(fresh))
-            cut = np.fromiter(map(len, ends), dtype=np.int64, count=len(fresh))
-            begin, size = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
-            for simple in (True, False):
-                chosen = list(compress(cores, kinds == simple))
-                if chosen:
-                    found, lengths = split_ids(chosen, simple)
-                    # Room for the id of a stop that was cut off.
-                    tail = cut[kinds == simple]
-                    width = lengths + tail
-                    after = np.cumsum(width)
-                    moved = np.empty(int(width.sum()), dtype=np.uint32)
-                    moved[np.arange(len(found)) + np.repeat(np.cumsum(tail) - tail, lengths)] = found
-                    moved[after[tail > 0] - 1] = [stop_ids[end][0] for end in compress(ends, kinds == simple) if end]
-                    begin[kinds == simple] = ids.size + after - width
-                    size[kinds == simple] = width
-                    ids.extend(moved)
-            begins.extend(begin)
-            sizes.extend(size)
-
-        def encode(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-            nonlocal ids, begins, sizes
-            out = []
-            for at in range(0, len(rows), 256):
-                raw = [(row[0] or "").encode() for row in rows[at : at + 256]]
-                texts = [(t if b"<|" in t else t.lower()).split() for t in raw]
-                places, fresh, afresh = words.index(texts)
-                if afresh:
-                    ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
-                tokenize(fresh)
-                out += [joined(p) for p in places]
-            return out
-
-        def joined(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            size = sizes.values[places]
-            ends = np.cumsum(size)
-            total = int(size.sum())
-            found = np.empty(total + 1, dtype=np.uint32)
-            found[:-1] = ids.values[np.repeat(begins.values[places] - (ends - size), size) + np.arange(total)]
-            found[-1] = end_id
-            return found, np.ones(total + 1, dtype=bool)
-
-        return encode
-
-    return start
+    return partial(_word_encoder, vocabulary, end_id)
+
+
+@lru_cache(maxsize=1)
+def _word_encoder(vocabulary: str, end_id: int):
+    """The encoder of ``document_encoder``; a Python worker keeps it, and the words it knows, for its next task."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    words = Words(WORDS_HELD)
+    ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
+    stop_ids = {stop: tokenizer.encode(stop.decode(), add_special_tokens=False).ids for stop in STOPS}
+    stops_cut = STOPS if all(len(one) == 1 for one in stop_ids.values()) else ()
+
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    is_end = np.array([(tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(tokenizer.get_vocab_size())])
+
+    def split_ids(chosen: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts one after another, and how many each has."""
+        if simple:
+            letters = b" ".join(chosen).decode("latin-1").translate(_BYTE_LETTERS)
+            found = np.array(plain.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.flatnonzero(is_end[found]) + 1
+            if len(stops) == len(chosen):
+                return found, np.diff(stops, prepend=0)
+        encoded = tokenizer.encode_batch_fast([p.decode() for p in chosen], add_special_tokens=False)
+        single = [one.ids for one in encoded]
+        lengths = np.fromiter(map(len, single), dtype=np.int64, count=len(single))
+        return np.fromiter(chain.from_iterable(single), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+    def tokenize(fresh: list[bytes]) -> None:
+        """Learn the ids of new words: plain ones go to the model in one string, the rest one by one."""
+        ends = [_stop(w) if w.endswith(stops_cut) else b"" for w in fresh]
+        cores = [w[:-1] if end else w for w, end in zip(fresh, ends, strict=True)]
+        cores = [c if c.isascii() else _lowered(c) for c in cores]
+        kinds = np.fromiter(map(_is_simple, cores), dtype=bool, count=len(fresh))
+        cut = np.fromiter(map(len, ends), dtype=np.int64, count=len(fresh))
+        begin, size = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
+        for simple in (True, False):
+            chosen = list(compress(cores, kinds == simple))
+            if chosen:
+                found, lengths = split_ids(chosen, simple)
+                # Room for the id of a stop that was cut off.
+                tail = cut[kinds == simple]
+                width = lengths + tail
+                after = np.cumsum(width)
+                moved = np.empty(int(width.sum()), dtype=np.uint32)
+                moved[np.arange(len(found)) + np.repeat(np.cumsum(tail) - tail, lengths)] = found
+                moved[after[tail > 0] - 1] = [stop_ids[end][0] for end in compress(ends, kinds == simple) if end]
+                begin[kinds == simple] = ids.size + after - width
+                size[kinds == simple] = width
+                ids.extend(moved)
+        begins.extend(begin)
+        sizes.extend(size)
+
+    def encode(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        nonlocal ids, begins, sizes
+        out = []
+        for at in range(0, len(rows), 256):
+            raw = [(row[0] or "").encode() for row in rows[at : at + 256]]
+            texts = [(t if b"<|" in t else t.lower()).split() for t in raw]
+            places, fresh, afresh = words.index(texts)
+            if afresh:
+                ids, begins, sizes = Column64(np.uint32), Column64(np.int64), Column64(np.int64)
+            tokenize(fresh)
+            out += [joined(p) for p in places]
+        return out
+
+    def joined(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = sizes.values[places]
+        ends = np.cumsum(size)
+        total = int(size.sum())
+        found = np.empty(total + 1, dtype=np.uint32)
+        found[:-1] = ids.values[np.repeat(begins.values[places] - (ends - size), size) + np.arange(total)]
+        found[-1] = end_id
+        return found, np.ones(total + 1, dtype=bool)
+
+    return encode
 
 
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 def _stop(word: bytes) -> bytes:
-    """The full stop or comma that ends a word after a letter, else nothing."""
-    return word[-1:] if len(word) > 1 and word[-2] in _LETTERS and b"<|" not in word else b""
+    """The full stop or comma that ends a word after a letter of ASCII or Latin-1, else nothing."""
+    if len(word) < 2 or b"<|" in word:
+        return b""
+    accented = word[-3:-2] == b"\xc3" and word[-2] not in (0x97, 0xB7)  # but for the signs of times and division
+    return word[-1:] if word[-2] in _LETTERS or accented else b""
+
+
+def _lowered(part: bytes) -> bytes:
+    """A part of Latin-1 letters only in lower case, each letter by itself as the normalizer has it; others as they are."""
+    text = part.decode()
+    return text.lower().encode() if text.isalpha() and max(text) < "\u0100" else part
 
 
 # The visible stand-ins of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
