@@ -45,12 +45,17 @@ _INLINE = set(
 _CONTENT_TAGS = {"article", "main"}
 _CONTENT_ROLES = {"main", "article"}
 _CHROME_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-_CHROME_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner sponsored sponsor promo cookie cookies consent gdpr notice "
-    "notices alert sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply "
-    "replies respond discussion share sharing social related newsletter subscribe popup modal overlay widget login "
-    "masthead toolbar pagination skip-link".split()
+# Parts of a class or id name, cut at "-", "_" and changes to upper case.
+_CHROME_PARTS = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner sponsored sponsor promo promos "
+    "promotion cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer comment comments commentlist disqus reply replies respond discussion share sharing social related recommended "
+    "recommendations newsletter subscribe signup popup modal overlay widget login masthead toolbar pagination pager teaser "
+    "sharebar addthis".split()
 )
+_CHROME_NAMES = set("side-bar skip-link skip-links searchform search-form".split())
+_STATE_PARTS = set("has no with without is not hide show".split())  # such a name tells a state, not what the element is
+_TITLE_PARTS = set("article entry post content title section story".split())  # headers of these hold the title
 _OWN_CLOSERS = {
     "p": {"p"},
     "li": {"li"},
@@ -67,26 +72,45 @@ _ENDS_P = set(
     "table ul figure details".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|([^<]+)|<", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# A quote counts only after "=", as browsers read tags. Nothing here is tried twice, so no pattern is slow on odd markup.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|=(?!\s*+[\"'])|[^>=])*+)>")
+_OPENS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in _RAW}
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
 
+def _is_chrome(value: str, tag: str, inside: bool) -> bool:
+    """Whether one of the names in a class or id is that of a menu, header, advert, comment and the like.
 
-def _says(attributes: str, tag: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is chrome, and whether it holds the main content."""
+    Articles carry their subjects in longer names, so only names of one part count there.
+    """
+    for word in value.split():
+        name = _HUMP.sub("-", word).lower()
+        parts = [part for part in re.split(r"[-_]+", name) if part]
+        if not parts or parts[0] in _STATE_PARTS or (tag == "article" and len(parts) > 1):
+            continue
+        if name in _CHROME_NAMES or not _CHROME_PARTS.isdisjoint(parts):
+            return True
+        if "header" in parts and not inside and _TITLE_PARTS.isdisjoint(parts):
+            return True
+    return False
+
+
+def _says(attributes: str, tag: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is chrome, whether it is so by class or id alone, and whether it holds the main content."""
     chrome = tag in _CHROME or (tag == "header" and not inside)
     content = tag in _CONTENT_TAGS
+    named = False
     if not attributes.strip(" /"):
-        return chrome, content
+        return chrome, named, content
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
-            words = set(value.split())
-            chrome |= bool(words & _CHROME_WORDS) or bool(words & {"header", "site-header"} and not inside)
-            parts = {p for w in words for p in re.split(r"[-_]+", w)}
-            chrome |= bool(parts & {"ad", "ads", "advert", "cookie", "sidebar", "comments", "navbar", "breadcrumb"})
-        elif name == "role":
+            named |= tag not in ("html", "body", "main") and _is_chrome(value, tag, inside)
+            continue
+        value = value.lower()
+        if name == "role":
             chrome |= value in _CHROME_ROLES
             content |= value in _CONTENT_ROLES
         elif name == "itemprop":
@@ -95,13 +119,49 @@ def _says(attributes: str, tag: str, inside: bool) -> tuple[bool, bool]:
             chrome = True
         elif name == "style" and re.search(r"display\s*:\s*none", value):
             chrome = True
-    return chrome, content
+    return chrome or named, named and not chrome, content
+
+
+class _Open:
+    """The open elements: (tag, within chrome, within content), and where each tag and each scope stands."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, chrome: bool, content: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, chrome, content))
+
+    def last(self, tag: str) -> int:
+        """Where the tag is open nearest, -1 if nowhere."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def cut(self, to: int) -> None:
+        for tag, _, _ in self.stack[to:]:
+            self.places[tag].pop()
+        while self.scopes and self.scopes[-1] >= to:
+            self.scopes.pop()
+        del self.stack[to:]
+
+    def state(self, at: int) -> tuple[bool, bool]:
+        return self.stack[at][1:] if at >= 0 else (False, False)
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(state, text) of each block in page order; text has single spaces, blocks without text are left out."""
+    """(state, text) of each block in page order; text has single spaces, blocks without text are left out.
+
+    On a page with a main element that has text, articles beside it are no main content. A ``<`` that no ``>``
+    follows is text; a tag whose quoted value never ends runs to the end of the page. Time grows with the length
+    of the page, whatever its markup.
+    """
     found: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, within chrome, within content
+    within_main: list[bool] = []
+    opened = _Open()
     held: list[str] = []
     chrome = content = False
 
@@ -111,67 +171,82 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             held.clear()
             if text:
                 found.append((DROP if chrome else KEEP if content else OPEN, text))
+                within_main.append(mains > 0)
 
     def pop(to: int) -> None:
-        nonlocal chrome, content
-        if any(tag not in _INLINE for tag, _, _ in stack[to:]) or (stack[to - 1][1:] if to else (False, False)) != (
-            chrome,
-            content,
-        ):
+        nonlocal chrome, content, mains
+        gone = opened.stack[to:]
+        if any(tag not in _INLINE for tag, _, _ in gone) or opened.state(to - 1) != (chrome, content):
             close()
-        del stack[to:]
-        chrome, content = stack[-1][1:] if stack else (False, False)
+        opened.cut(to)
+        mains = len(opened.places.get("main", ()))
+        chrome, content = opened.state(to - 1)
 
     text = page or ""
-    at = 0
+    at = mains = 0
+    last = text.rfind(">")
     while at < len(text):
-        token = _TOKEN.match(text, at)
+        if text[at] != "<":
+            end = text.find("<", at)
+            end = len(text) if end < 0 else end
+            held.append(text[at:end])
+            at = end
+            continue
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            at = len(text) if end < 0 else end + 3
+            continue
+        if at > last or not _OPENS.match(text, at):
+            held.append("<")
+            at += 1
+            continue
+        if text[at + 1] in "!?":
+            at = text.find(">", at) + 1
+            continue
+        token = _TAG.match(text, at)
+        if token is None:
+            break
         at = token.end()
-        end, name, attributes, words = token.groups()
-        if words is not None:
-            held.append(words)
-        elif name is None:
-            if token.group() == "<":
-                held.append("<")
-        elif end:
-            tag = name.lower()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-            else:
-                if tag not in _INLINE:
-                    close()
-        else:
-            tag = name.lower()
-            if tag in _RAW:
-                if attributes.endswith("/") and tag in ("svg", "math"):
-                    continue
-                after = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-                at = after.end() if after else len(text)
-                held.append(" ")
-                continue
-            if tag in _VOID:
-                if tag == "hr":
-                    close()
-                elif tag != "wbr":
-                    held.append(" ")
+        end, name, attributes = token.groups()
+        tag = name.lower()
+        if end:
+            place = opened.last(tag)
+            if place >= 0:
+                pop(place)
+            elif tag not in _INLINE:
+                close()
+            continue
+        if tag in _RAW:
+            if attributes.endswith("/") and tag in ("svg", "math"):
                 continue
-            if tag in _ENDS_P or tag in _OWN_CLOSERS:
-                ends = _OWN_CLOSERS.get(tag, {"p"}) | ({"p"} if tag in _ENDS_P else set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        pop(i)
-                        break
-                    if stack[i][0] in _SCOPES:
-                        break
-            is_chrome, is_content = _says(attributes, tag, content)
-            state = (chrome or is_chrome, content or is_content)
-            if tag not in _INLINE or state != (chrome, content):
+            over = _RAW_END[tag].search(text, at)
+            at = over.end() if over else len(text)
+            held.append(" ")
+            continue
+        if tag in _VOID:
+            if tag == "hr":
                 close()
-            stack.append((tag, *state))
-            chrome, content = state
+            elif tag != "wbr":
+                held.append(" ")
+            continue
+        if tag in _ENDS_P or tag in _OWN_CLOSERS:
+            ends = _OWN_CLOSERS.get(tag, {"p"}) | ({"p"} if tag in _ENDS_P else set())
+            place = max(opened.last(t) for t in ends)
+            # The nearest of these ends, unless a scope lies above it.
+            if place >= 0 and not (opened.scopes and opened.scopes[-1] > place):
+                pop(place)
+        is_chrome, by_name, is_content = _says(attributes, tag, content)
+        if by_name and tag in _INLINE and max(opened.last("pre"), opened.last("code")) >= 0:
+            is_chrome = False  # colours of program text, where "comment" is a kind of token
+        state = (chrome or is_chrome, content or is_content)
+        if tag not in _INLINE or state != (chrome, content):
+            close()
+        opened.push(tag, *state)
+        mains = len(opened.places.get("main", ()))
+        chrome, content = state
     close()
+    if any(state == KEEP and inside for (state, _), inside in zip(found, within_main, strict=True)):
+        found = [(OPEN if s == KEEP and not inside else s, t) for (s, t), inside in zip(found, within_main, strict=True)]
     return found
 
 
