@@ -25,6 +25,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``df`` has the name in any case."""
+    taken = {name.lower() for name in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def all_equal(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Null-safe equality on ``names``, still an equi-join for Spark."""
     found = F.lit(True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import WordIds, as_long, columns_of, shingle_hashes, slices, store
+from tradegrain.llm.common import WordIds, as_long, columns_of, free_name, shingle_hashes, slices, store
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -171,8 +171,8 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose id contains no item; rows with a null id stay."""
-    bad = contaminated(docs, items, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[settings.get("id_col", "doc_id")] == bad["_bad"], "left_anti")
+    bad = contaminated(docs, items, **settings).select(F.col("doc_id").alias(free_name(docs, "_bad"))).distinct()
+    return docs.join(bad, F.col(settings.get("id_col", "doc_id")) == F.col(bad.columns[0]), "left_anti")
 
 
 def drop_contaminated_texts(
@@ -184,7 +184,8 @@ def drop_contaminated_texts(
     containment: float = CONTAINMENT,
 ) -> DataFrame:
     """The rows of ``docs`` whose own text contains no item. Ids, null or repeated, of rows and items play no part."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
     asked = items.select(F.xxhash64(F.col(item_text_col)).alias("item_id"), F.col(item_text_col).alias("text"))
-    bad = contaminated(keyed, asked, id_col="_key", text_col=text_col, containment=containment)
-    return keyed.join(bad.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+    bad = contaminated(keyed, asked, id_col=key, text_col=text_col, containment=containment)
+    return keyed.join(bad.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)

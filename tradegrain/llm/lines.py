@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import as_long, columns_of, hashed_words, mix, slices, split_count, store
+from tradegrain.llm.common import as_long, columns_of, free_name, hashed_words, mix, slices, split_count, store
 
 SIMILARITY = 0.8
 MIN_WORDS = 1  # different words a line needs to take part, unless the caller says otherwise
@@ -466,15 +466,16 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, places: DataFrame, similarity:
     return store(matches.select(F.col("b").alias("number")).distinct(), "later-sets")
 
 
-def _with_removed(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
-    """``docs`` and ``_gone``, the numbers of the lines to remove from each, null if none."""
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, gone_col: str, **settings) -> DataFrame:
+    """``docs`` and ``gone_col``, the numbers of the lines to remove from each, null if none."""
     gone = removed_lines(docs, id_col=id_col, text_col=text_col, **settings)
     # As many numbers as a text has lines.
-    per_doc = gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list("line")).alias("_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    per_doc = per_doc.toDF("_doc", "_text_key", "_gone")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & F.col("_key").eqNullSafe(F.col("_text_key"))
-    return keyed.join(per_doc, same, "left").drop("_key", "_doc", "_text_key")
+    per_doc = gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    key, doc, text_key = (free_name(docs, name) for name in ("_key", "_doc", "_text_key"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    per_doc = per_doc.toDF(doc, text_key, gone_col)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & F.col(key).eqNullSafe(F.col(text_key))
+    return keyed.join(per_doc, same, "left").drop(key, doc, text_key)
 
 
 def _without(lines: Column, gone: Column) -> Column:
@@ -493,15 +494,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A document that loses every line keeps an empty text; a null text stays null.
     """
     lines = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_without(lines, F.col("_gone")))
-    return _with_removed(docs, id_col, text_col, **settings).withColumn(text_col, text).drop("_gone")
+    gone = free_name(docs, "_gone")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_without(lines, F.col(gone)))
+    return _with_removed(docs, id_col, text_col, gone, **settings).withColumn(text_col, text).drop(gone)
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without its removed lines, n_lines, n_removed, removed_lines
     (their numbers from 0); settings as for ``removed_lines``. A null text stays null and has no lines."""
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _with_removed(chosen, "doc_id", "text", **settings)
+    found = _with_removed(chosen, "doc_id", "text", "_gone", **settings)
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("_gone", F.array().cast("array<long>"))
     return found.select(

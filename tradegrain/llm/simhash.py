@@ -199,3 +199,25 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(
+    docs: DataFrame, *, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of every near-duplicate group, all columns: of least id (null last), then of least text hash.
+
+    A document is an id and a text; rows that repeat both are one document, with the least of their other columns,
+    which must have an order. Null and empty texts are one group with all others of fingerprint zero.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    whole = docs.select(F.struct(*others, id_col, text_col).alias("whole"))
+    own, text = F.col("whole")[id_col], F.col("whole")[text_col]
+    # Rows go by a key of their own, so groups that share an id, or have none, stay apart.
+    keyed = whole.select(F.xxhash64(own.isNull(), own, text).alias("row"), own.alias("own"), text.alias("text"), "whole")
+    found = near_duplicates(keyed, shingle=shingle, max_bits=max_bits, id_col="row")
+    groups = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct()
+    order = F.struct(F.col("own").isNull().alias("lone"), "own", F.xxhash64("text").alias("text_key"), "row")
+    places = keyed.select("row", order.alias("place")).distinct().join(groups, "row")
+    stay = places.groupBy("group").agg(F.min("place").alias("first")).select(F.col("first.row").alias("row"))
+    kept = keyed.join(stay, "row", "left_semi").groupBy("row").agg(F.min("whole").alias("whole"))
+    return kept.select("whole.*").select(*docs.columns)
