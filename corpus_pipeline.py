@@ -26,20 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group: the one of least id (null last), then of least text hash.
-
-    A document is an id and a text; rows that repeat both are one document, with the least of their other columns.
-    """
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    # Rows go by a key of their own, so groups that share an id, or have none, stay apart.
-    found = simhash.near_duplicates(keyed, shingle=4, max_bits=4, id_col="_row")
-    groups = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("_row").alias("_row"))
-    places = keyed.select("_row", order.alias("_place")).distinct().join(groups, "_row")
-    stay = places.groupBy("_group").agg(F.min("_place").alias("_first")).select(F.col("_first._row").alias("_row"))
-    kept = keyed.join(stay, "_row", "left_semi")
-    least = F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_least")
-    return kept.groupBy("_row").agg(least).select("_least.*").select(*COLUMNS)
+    """One document of every group: the one of least id (null last), then of least text hash."""
+    return simhash.keep_one(docs.select(*COLUMNS), shingle=4, max_bits=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
