@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,26 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so few texts are held as Python objects at a time."""
+_KEPT: dict = {}
+
+
+def kept_by_worker(key: tuple, make: Callable):
+    """What ``make`` makes, kept by a Python worker under ``key`` for its next task; it keeps one thing at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 256, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so few texts are held as Python objects at a time.
+
+    What the worker keeps for tasks of another kind goes first, unless the caller is of that kind (``keeps``).
+    """
+    if _KEPT and not keeps:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 from itertools import chain, compress
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradegrain.llm.common import Column64, Words, batches, slices
+from tradegrain.llm.common import Column64, Words, batches, kept_by_worker, slices
 
 WORDS_HELD = 600_000  # distinct words a worker remembers, some 200 bytes each
 STOPS = (b".", b",")
@@ -164,7 +164,7 @@ def pack(
         def packed() -> Iterator[tuple]:
             pool: list[Item] = []
             tokens = 0
-            for part in slices(parts):
+            for part in slices(parts, keeps=True):
                 keys = part.column(0).to_pylist()
                 rows = list(zip(*(part.column(i + 1).to_pylist() for i in range(len(columns))), strict=True))
                 for key, (ids, loss) in zip(keys, encoder(rows), strict=True):
@@ -204,12 +204,12 @@ def document_encoder(vocabulary: str, end_id: int = 2):
     word splitter as one piece, so they go straight to the vocabulary's model.
     """
 
-    return partial(_word_encoder, vocabulary, end_id)
+    key = ("words", vocabulary, end_id)
+    return partial(kept_by_worker, key, partial(_word_encoder, vocabulary, end_id))
 
 
-@lru_cache(maxsize=1)
 def _word_encoder(vocabulary: str, end_id: int):
-    """The encoder of ``document_encoder``; a Python worker keeps it, and the words it knows, for its next task."""
+    """The encoder of ``document_encoder``; a Python worker keeps it, and the words it knows, for its next task of the kind."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(vocabulary)
