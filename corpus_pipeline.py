@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packing),
 ]
 # SQL has neither the fitted model nor the packing heuristic. tests/llm compares near-dedup and decontamination with
-# brute force as stages; of quality rules, line dedup and packing only the operators are tested.
+# brute force as stages, quality rules with the operator; every stage runs on empty and odd tables there.
 ORACLE_SQL = None
 
 
