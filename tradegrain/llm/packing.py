@@ -64,6 +64,9 @@ class Item:
     loss: np.ndarray
     doc_tokens: int
 
+    def __post_init__(self):
+        self.shape = len(self.ids), int(np.count_nonzero(self.loss))
+
     def cut(self, length: int) -> tuple[Item, Item]:
         head = Item(self.doc_id, self.start, self.ids[:length], self.loss[:length], self.doc_tokens)
         tail = Item(self.doc_id, self.start + length, self.ids[length:], self.loss[length:], self.doc_tokens)
@@ -80,7 +83,7 @@ def fill(items: list[Item], limits: Limits) -> Iterator[list[Item]]:
     """Bins of items that use up ``items``; items of equal sizes are interchangeable and counted, not compared."""
     waiting: dict[tuple[int, int], list[Item]] = {}
     for item in items:
-        waiting.setdefault((len(item.ids), int(item.loss.sum())), []).append(item)
+        waiting.setdefault(item.shape, []).append(item)
     full = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=float)
     shapes = np.array(sorted(waiting), dtype=np.int64).reshape(-1, 2)
     counts = np.array([len(waiting[tuple(s)]) for s in shapes.tolist()], dtype=np.int64)
@@ -91,13 +94,12 @@ def fill(items: list[Item], limits: Limits) -> Iterator[list[Item]]:
 
     def put(item: Item) -> None:
         nonlocal shapes, counts
-        shape = (len(item.ids), int(item.loss.sum()))
-        found = np.flatnonzero((shapes[:, 0] == shape[0]) & (shapes[:, 1] == shape[1]))
-        waiting.setdefault(shape, []).append(item)
+        found = np.flatnonzero((shapes[:, 0] == item.shape[0]) & (shapes[:, 1] == item.shape[1]))
+        waiting.setdefault(item.shape, []).append(item)
         if len(found):
             counts[found[0]] += 1
         else:
-            shapes, counts = np.vstack([shapes, shape]), np.append(counts, 1)
+            shapes, counts = np.vstack([shapes, item.shape]), np.append(counts, 1)
 
     while counts.sum():
         left = full.copy()
@@ -120,7 +122,7 @@ def fill(items: list[Item], limits: Limits) -> Iterator[list[Item]]:
                 item, rest = whole.cut(length)
                 put(rest)
             held.append(item)
-            left -= (len(item.ids), 1, int(item.loss.sum()))
+            left -= (item.shape[0], 1, item.shape[1])
         if not held:
             raise ValueError("a single token exceeds the limits")
         yield held
@@ -154,9 +156,8 @@ def pack(
             for held in fill(pool, limits):
                 offset = 0
                 for item in held:
-                    size = len(item.ids)
-                    ids = item.ids.astype("<u4").tobytes()
-                    loss = int(item.loss.sum())
+                    size, loss = item.shape
+                    ids = np.asarray(item.ids, dtype="<u4").tobytes()
                     yield item.doc_id, item.start, size, ids, loss, item.doc_tokens, first + made, offset
                     offset += size
                 made += 1
@@ -237,10 +238,11 @@ def _word_encoder(vocabulary: str, end_id: int):
 
     def tokenize(fresh: list[bytes]) -> None:
         """Learn the ids of new words: plain ones go to the model in one string, the rest one by one."""
-        ends = [_stop(w) if w.endswith(stops_cut) else b"" for w in fresh]
-        cores = [w[:-1] if end else w for w, end in zip(fresh, ends, strict=True)]
-        cores = [c if c.isascii() else _lowered(c) for c in cores]
-        kinds = np.fromiter(map(_is_simple, cores), dtype=bool, count=len(fresh))
+        ends, cores, kinds = [], [], np.empty(len(fresh), dtype=bool)
+        for i, word in enumerate(fresh):
+            end, core, kinds[i] = (b"", word, True) if word.isalpha() and word.islower() else _parted(word, stops_cut)
+            ends.append(end)
+            cores.append(core)
         cut = np.fromiter(map(len, ends), dtype=np.int64, count=len(fresh))
         begin, size = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
         for simple in (True, False):
@@ -296,10 +298,19 @@ def _stop(word: bytes) -> bytes:
     return word[-1:] if word[-2] in _LETTERS or accented else b""
 
 
-def _lowered(part: bytes) -> bytes:
-    """A part of Latin-1 letters only in lower case, each letter by itself as the normalizer has it; others as they are."""
-    text = part.decode()
-    return text.lower().encode() if text.isalpha() and max(text) < "\u0100" else part
+def _parted(word: bytes, stops: tuple[bytes, ...]) -> tuple[bytes, bytes, bool]:
+    """The stop that ends a word, the rest, and whether that is simple.
+
+    A rest of Latin-1 letters only is put in lower case, each letter by itself as the normalizer has it; composed
+    letters of lower case are simple.
+    """
+    end = _stop(word) if word.endswith(stops) else b""
+    core = word[:-1] if end else word
+    if not core.isascii():
+        text = core.decode()
+        if text.isalpha() and max(text) < "\u0100":
+            return end, text.lower().encode(), True
+    return end, core, _is_simple(core)
 
 
 # The visible stand-ins of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
