@@ -16,11 +16,12 @@ by 64-bit hashes; equal hashes count as equal.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ SLOT_BITS, CHUNK_BITS = 24, 16
 NEAREST = 2  # candidates per word compared at first
 BLOCK, GROUP, RUN = 8192, 60_000, 1 << 20
 PAIRS_HELD = 1 << 18  # candidate pairs a task holds before it passes them on
+SLOTS_HELD = 1 << 19  # counted slots a task holds before it adds them up
 SPAN_BITS = 20
 HOT_SCALE = int(16 * math.log2(BLOCK)) - 1
 _LOW = np.uint64((1 << SLOT_BITS) - 1)
@@ -98,21 +100,42 @@ def _keys(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(words + np.uint64(7)), first) + size.astype(np.uint64))
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots in order and the sums of their counts."""
+    slots, counts = (np.concatenate(column) for column in zip(*parts, strict=True))
+    order = np.argsort(slots)
+    slots, counts = slots[order], counts[order].astype(np.int32)
+    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    return slots[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _signatures(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves for each set: parities, so that long lines do not fill them; sets differ by a word per differing bit."""
+    bit = mix(words) >> np.uint64(57)
+    mask, left = np.uint64(1) << (bit & np.uint64(63)), bit < np.uint64(64)
+    low, high = (np.bitwise_xor.reduceat(np.where(half, mask, np.uint64(0)), first) for half in (left, ~left))
+    return as_long(low), as_long(high)
+
+
 def rarity_table(docs: DataFrame) -> np.ndarray:
     """How frequent each slot of words is, as 16 * log2 of its count: zero if a single word fell there."""
     width = 1 << CHUNK_BITS
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)  # a split holds fewer words than that counts to
+        held, count = [(np.empty(0, np.int32), np.empty(0, np.int32))], 0  # a split holds fewer words than that counts to
         for part in slices(parts):
             for _, data, _ in _joined(columns_of(part, "text")[0]):
-                slots, times = np.unique((hashed_words(data)[0] & _LOW).astype(np.int32), return_counts=True)
-                counts[slots] += times.astype(np.int32)
-        for chunk, one in enumerate(counts.reshape(-1, width)):
-            slots = np.flatnonzero(one)
-            if len(slots):
-                row = {"chunk": [chunk], "slots": [slots.astype("<u2").tobytes()], "counts": [one[slots].astype("<i4").tobytes()]}
-                yield pa.RecordBatch.from_pydict(row)
+                held.append(np.unique((hashed_words(data)[0] & _LOW).astype(np.int32), return_counts=True))
+                count += len(held[-1][0])
+                if count > SLOTS_HELD + len(held[0][0]):
+                    held, count = [_added(held)], 0
+        slots, counts = _added(held)
+        edges = np.searchsorted(slots, np.arange(0, (1 << SLOT_BITS) + 1, width))
+        for chunk in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[chunk], edges[chunk + 1])
+            low = (slots[own] & (width - 1)).astype("<u2")
+            row = {"chunk": [chunk], "slots": [low.tobytes()], "counts": [counts[own].astype("<i4").tobytes()]}
+            yield pa.RecordBatch.from_pydict(row)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, dtype=np.int64)
@@ -129,28 +152,26 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     return table
 
 
-_LINES = "doc long, text_key long, line long, key long, n long, low long, high long, prefix array<long>, at array<long>"
+_LINES = "doc long, text_key long, line long, row long, key long, n long, low long, high long, prefix array<long>, at array<long>"
 
 
 def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float, least: int = MIN_WORDS) -> DataFrame:
     """One row a line of ``least`` different words or more, with the prefix words that other lines may have.
 
     A set of n words has at most n of n + 1 in common with another set. If that is too little, it has no prefix and
-    only matches lines of its own key.
+    only matches lines of its own key. ``row`` is a number of the row's own.
     """
     sent = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** SLOT_BITS bytes
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = sent.value
+        rows = TaskContext.get().partitionId() << 40
         for part in slices(parts):
             docs_, text_keys, texts = columns_of(part, "doc", "text_key", "text")
             for line, words, owner, number in _lines(texts, least):
                 line, words, first, size = _sets(line, words, len(number), scale)
                 key = _keys(words, first, size)
-                bit = (mix(words) >> np.uint64(57)).astype(np.int64)
-                # Parities, so that long lines do not fill the signature: sets differ by a word per differing bit.
-                signature = np.bincount(line * 128 + bit, minlength=128 * len(size)) & 1
-                packed = np.packbits(signature.reshape(-1, 128).astype(bool), axis=1).view(np.int64)
+                low, high = _signatures(words, first)
                 place = np.arange(len(words)) - first[line]
                 length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
                 length[size < similarity * (size + 1) - 1e-9] = 0
@@ -165,15 +186,17 @@ def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float, least: int
                         pa.array(docs_, pa.int64()).take(pa.array(owner)),
                         pa.array(text_keys, pa.int64()).take(pa.array(owner)),
                         pa.array(number),
+                        pa.array(np.arange(rows, rows + len(size))),
                         pa.array(as_long(key)),
                         pa.array(size),
-                        pa.array(packed[:, 0]),
-                        pa.array(packed[:, 1]),
+                        pa.array(low),
+                        pa.array(high),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(words[used]))),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(marked)),
                     ],
                     names=[f.split()[0] for f in _LINES.split(", ")],
                 )
+                rows += len(size)
                 yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, _LINES)
@@ -185,8 +208,8 @@ _MEETINGS = ["spot", "number", "shape", "low", "high"]  # shape: n, at and three
 def _pairs(similarity: float, nearest: int | None):
     """Candidate pairs (a, b) of the sets that meet in a spot, a before b; ``a = b`` marks sets with candidates left out.
 
-    Rows come in order of spot and number, the order in which lines go: a set looks at all its earlier candidates
-    from its own side. Only the rows of an unfinished spot are held back.
+    Rows come in order of spot, and within a spot are put in order of number, the order in which lines go: a set looks
+    at all its earlier candidates from its own side. Only the rows of an unfinished spot are held back.
     """
 
     def batch(firsts: list[np.ndarray], seconds: list[np.ndarray]) -> pa.RecordBatch:
@@ -195,7 +218,9 @@ def _pairs(similarity: float, nearest: int | None):
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        spot, number, shape, low, high = (c.to_numpy() for c in rows.columns)
+        spot, number, *rest = (c.to_numpy() for c in rows.columns)
+        order = np.lexsort((number, spot))
+        spot, number, shape, low, high = (c[order] for c in (spot, number, *rest))
         n, at = shape >> 33, (shape >> 3) & ((1 << 30) - 1)
         right, whole, wanted = (shape & 4) > 0, (shape & 2) > 0, (shape & 1) > 0
         signature = np.stack([low, high], axis=1).view(np.uint64)
@@ -251,13 +276,13 @@ def _pairs(similarity: float, nearest: int | None):
     return run
 
 
-def _bitmap(table: DataFrame) -> np.ndarray:
-    """One bit for the low bits of every value of a one-column table, packed; its size is fixed."""
+def _bitmap(table: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """One bit for the low bits of each of ``values`` of the table's batches, packed; its size is fixed."""
 
     def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SLOT_BITS, dtype=bool)
         for part in parts:
-            seen[part.column(0).to_numpy(zero_copy_only=False) & ((1 << SLOT_BITS) - 1)] = True
+            seen[(values(part) & _LOW).astype(np.int64)] = True
         packed = np.packbits(seen).view(np.int64)
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
@@ -270,7 +295,7 @@ def _bitmap(table: DataFrame) -> np.ndarray:
 
 
 def _marked(packed: np.ndarray) -> np.ndarray:
-    return np.unpackbits(packed.view(np.uint8)).astype(bool)
+    return np.unpackbits(packed.view(np.uint8)).view(bool)
 
 
 _SET = ["number", "n", "low", "high"]
@@ -341,7 +366,7 @@ def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> Data
     shape = F.shiftleft("n", 33).bitwiseOR(F.shiftleft("at", 3)).bitwiseOR(flags.cast("long")).alias("shape")
     few, many = (part.select("spot", "number", shape, "low", "high") for part in (few, many))
     dealt = few.unionByName(many).repartition("spot")
-    ordered = dealt.sortWithinPartitions("spot", "number").select(*_MEETINGS)
+    ordered = dealt.sortWithinPartitions("spot").select(*_MEETINGS)  # one long column, which Spark sorts by radix
     return ordered.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
@@ -355,14 +380,11 @@ def _words_of(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     A bitmap of fixed size over places tells each scan task which lines to send, so no text is shuffled.
     """
 
-    def locate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            doc, text, line = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(_address(doc, text, line)))], names=["address"])
+    def locate(part: pa.RecordBatch) -> np.ndarray:
+        return _address(*(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
 
     plain = [F.coalesce("doc", F.lit(0)), F.coalesce("text_key", F.lit(0)), F.col("line")]
-    wanted = places.select(*plain).mapInArrow(locate, "address long")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(places.select(*plain), locate))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _marked(sent.value)
@@ -426,13 +448,14 @@ def removed_lines(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")
     )
     rows = store(line_sets(chosen, rarity_table(chosen), similarity, min_words), "line-sets")
-    first = rows.groupBy("key").agg(F.min(F.struct("doc", "text_key", "line")).alias("first")).select("key", "first.*")
+    first = F.min(F.struct("doc", "text_key", "line", "row")).alias("first")
+    first = rows.groupBy("key").agg(first, F.count(F.lit(1)).alias("rows")).select("key", "rows", "first.*")
     # Range partitions in order of place, nulls first: ids that grow with partition and row number the sets.
     dealt = store(first, "firsts").repartitionByRange("doc", "text_key", "line")
     dealt = dealt.sortWithinPartitions("doc", "text_key", "line")
     places = store(dealt.withColumn("number", F.monotonically_increasing_id()), "places")
-    shape = [F.first(c).alias(c) for c in ("n", "low", "high", "prefix", "at")]
-    sets = rows.groupBy("key").agg(*shape).join(places.select("key", "number"), "key").drop("key")
+    # By the number of a row, not the key, so that a line with many copies is dealt out.
+    sets = rows.select("row", "n", "low", "high", "prefix", "at").join(places.select("row", "number"), "row").drop("row")
     sets = store(sets, "sets")
     every = _prefix_rows(sets).withColumn("wanted", F.lit(True))
     near = store(_candidates(every, similarity, NEAREST), "candidates")
@@ -447,9 +470,8 @@ def removed_lines(
         rest = store(rest, "candidates")
         gone = gone.union(_confirmed(chosen, rest, places, similarity, min_words)).distinct()
     firsts = F.struct("doc", "text_key", "line")
-    known = places.select("key", "number", firsts.alias("first"))
-    later = rows.select("doc", "text_key", "line", "key").join(known, "key")
-    later = later.join(gone.withColumn("gone", F.lit(True)), "number", "left")
+    known = places.join(gone.withColumn("gone", F.lit(True)), "number", "left").filter("rows > 1 OR gone")
+    later = rows.select("doc", "text_key", "line", "key").join(known.select("key", "gone", firsts.alias("first")), "key")
     again = ~(
         F.col("doc").eqNullSafe(F.col("first.doc"))
         & F.col("text_key").eqNullSafe(F.col("first.text_key"))
