@@ -5,8 +5,11 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_text_operators import brute_places
 from tradegrain.llm import lines
 
 
@@ -65,3 +68,35 @@ def test_repeated_rows_make_one_set(spark, monkeypatch):
     found = {(r["doc"], r["line"]) for r in lines.removed_lines(docs).collect()}
     assert found == {(None, 1), *((d, n) for d in (1, 2) for n in range(3))}
     assert tuple(seen[0]) == (2, 2)
+
+
+def test_rows_of_lines_are_stored_twice(spark, monkeypatch):
+    """Two more tables of all sets were written to number them in order, which took disk and a sort."""
+    stored, store = [], lines.store
+
+    def watched(table, label):
+        stored.append(store(table, label))
+        return stored[-1]
+
+    monkeypatch.setattr(lines, "store", watched)
+    rows = [(i, f"one two three four five six seven eight nine w{i}\nother v{i} and u{i} and t{i}") for i in range(20)]
+    assert lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 19
+    assert [table.count() for table in stored].count(40) == 2
+
+
+@pytest.mark.parametrize("ids", [[3, None, 1, 2], [-(1 << 62), None, 5, 1 << 62], [4, 4, None, None], [0, (1 << 32) - 2, 1, 2]])
+def test_places_by_id_and_by_sorting_give_the_same_lines(spark, ids):
+    texts = [f"a b c d e\nf g h\n\na b c d e {i}\nown{i} line{i}\nh g f" for i in range(4)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)) * 2, "doc_id long, text string")
+    for frame in (docs, docs.dropDuplicates(["doc_id", "text"])):
+        found = frame.transform(lines.removed_lines).collect()
+        assert len(found) == len(set(found))
+        assert {(r["doc"], r["text_key"], r["line"]) for r in found} == brute_places(frame, 1)
+
+
+def test_lines_are_cut_in_place():
+    texts = pa.array(["skip", "a\n\nb", None, "", "\n", "é\nz\n", "last"])
+    for part in (texts, texts[1:], texts[2:5]):
+        data, owner, number, begin, end = lines._cut_lines(part)
+        found = [(o, n, str(data[a:b], "utf-8")) for o, n, a, b in zip(*(c.tolist() for c in (owner, number, begin, end)), strict=True)]
+        assert found == [(i, n, line) for i, t in enumerate(part.to_pylist()) for n, line in enumerate((t or "").split("\n"))]

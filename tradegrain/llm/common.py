@@ -154,7 +154,6 @@ class WordIds:
 
 _WINDOW = 1 << 16
 _STEP = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided out
-_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _powers(step: int, count: int) -> np.ndarray:
@@ -164,6 +163,7 @@ def _powers(step: int, count: int) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257))
+_SEARCHED = 256  # bytes before the end of a window where the last gap is sought at first
 _UP, _DOWN = _powers(_STEP, _WINDOW), _powers(pow(_STEP, -1, 1 << 64), _WINDOW)
 
 
@@ -174,14 +174,18 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     needs more memory.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACES[raw]
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
     hashes, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    terms, totals = np.empty(_WINDOW, dtype=np.uint64), np.zeros(_WINDOW + 1, dtype=np.uint64)
     while at < len(raw):
         end = min(at + _WINDOW, len(raw))
         if end < len(raw):
-            gaps = np.flatnonzero(space[at:end])
+            begin = max(at, end - _SEARCHED)
+            gaps = np.flatnonzero(space[begin:end])
+            if not len(gaps):
+                begin, gaps = at, np.flatnonzero(space[at:end])
             if len(gaps):
-                end = at + int(gaps[-1]) + 1
+                end = begin + int(gaps[-1]) + 1
             else:
                 more = int(np.argmax(space[end:]))
                 end = end + more + 1 if space[end + more] else len(raw)
@@ -189,15 +193,19 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         up, down = _UP, _DOWN
         if size > _WINDOW:
             up, down = _powers(_STEP, size), _powers(pow(_STEP, -1, 1 << 64), size)
-        outside = np.concatenate([[True], space[at:end], [True]])
+            terms, totals = np.empty(size, dtype=np.uint64), np.zeros(size + 1, dtype=np.uint64)
+        outside = np.ones(size + 2, dtype=bool)
+        outside[1:-1] = space[at:end]
         edges = np.flatnonzero(outside[1:] != outside[:-1])
         first, last = edges[::2], edges[1::2]
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[raw[at:end]] * up[:size], out=sums[1:])
-        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        own, sums = terms[:size], totals[: size + 1]
+        np.take(_BYTES, raw[at:end], out=own, mode="clip")
+        own *= up[:size]
+        np.cumsum(own, out=sums[1:])
+        hashes.append((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
         places.append(first + at)
         at = end
-    return np.concatenate(hashes), np.concatenate(places)
+    return mix(np.concatenate(hashes)), np.concatenate(places)
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:

@@ -7,10 +7,11 @@ filter and a bound from 128-bit word signatures, none of which can lose a match;
 Every line with an earlier match goes.
 
 Rarity is read from counts in a fixed number of slots, so its table is bounded; any order of words gives the same
-matches. Sets are numbered in the order of their first places, so that order and identity cost one column. A set is
-first compared with its nearest earlier candidates. Only sets that find no match there and have more candidates are
-compared with all of them, so a large group of near copies is not expanded into its pairs. Sets and words are known
-by 64-bit hashes; equal hashes count as equal.
+matches. A place is one number, made of the place of its document and the line's number there, so that order and
+identity cost one column, and the number leads back to the line. A set is first compared with its nearest earlier
+candidates. Only sets that find no match there and have more candidates are compared with all of them, so a large
+group of near copies is not expanded into its pairs. Sets and words are known by 64-bit hashes; equal hashes count
+as equal.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradegrain.llm.common import as_long, columns_of, free_name, hashed_words, mix, slices, split_count, store
+from tradegrain.operators.ordered import number_rows
 
 SIMILARITY = 0.8
 MIN_WORDS = 1  # different words a line needs to take part, unless the caller says otherwise
@@ -35,6 +36,8 @@ BLOCK, GROUP, RUN = 8192, 60_000, 1 << 20
 PAIRS_HELD = 1 << 18  # candidate pairs a task holds before it passes them on
 SLOTS_HELD = 1 << 19  # counted slots a task holds before it adds them up
 SPAN_BITS = 20
+LINE_BITS = 31  # a text has fewer lines than that counts to
+PLACES = 1 << 63 - LINE_BITS  # documents that can be numbered
 HOT_SCALE = int(16 * math.log2(BLOCK)) - 1
 _LOW = np.uint64((1 << SLOT_BITS) - 1)
 
@@ -55,10 +58,11 @@ def _line_words(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """Words of the lines that have ``least`` or more: (which of them each word is in, words, their numbers)."""
     words, places = hashed_words(data)
     breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
-    line = np.searchsorted(breaks, places)
-    long = np.bincount(line, minlength=len(breaks) + 1) >= least
-    used = long[line]
-    return (np.cumsum(long) - 1)[line[used]], words[used], np.flatnonzero(long)
+    count = np.diff(np.searchsorted(places, breaks), prepend=0, append=len(places))
+    long = count >= least
+    if not long[count > 0].all():
+        words = words[np.repeat(long, count)]
+    return np.repeat(np.cumsum(long) - 1, np.where(long, count, 0)), words, np.flatnonzero(long)
 
 
 def _lines(texts: list[str | None], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -152,54 +156,81 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     return table
 
 
-_LINES = "doc long, text_key long, line long, row long, key long, n long, low long, high long, prefix array<long>, at array<long>"
+def _place_by_id(docs: DataFrame, id_col: str) -> Column | None:
+    """The place of a document by its id alone, if no two rows share an id and the ids lie close enough; else nothing."""
+    doc = F.col(id_col).cast("long")
+    counts = [F.count(F.lit(1)), F.count(doc), F.countDistinct(doc), F.min(doc), F.max(doc)]
+    rows, ids, distinct, least, most = docs.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+    if rows - ids > 1 or distinct < ids or ids and most - least >= PLACES - 1:
+        return None
+    return F.coalesce(F.shiftleft(doc - F.lit(least or 0).cast("long") + 1, LINE_BITS), F.lit(0).cast("long"))
+
+
+def _with_place(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the place of each row's document as ``name``, and (place, text) of each document.
+
+    Ids shared by rows, or too far apart, are put in order by sorting, which takes the texts through a shuffle.
+    """
+    doc, text = F.col(id_col).cast("long"), F.col(text_col)
+    pair = [F.col(name).alias("place"), text.alias("text")]
+    place = _place_by_id(docs, id_col)
+    if place is not None:
+        full = docs.withColumn(name, place)
+        return full, full.select(*pair)
+    own, key = free_name(docs, "_doc"), free_name(docs, "_text_key")
+    documents = docs.select(doc.alias(own), F.xxhash64(text).alias(key)).distinct()
+    ranks = number_rows(documents, [F.col(own), F.col(key)], name)
+    ranks = store(ranks.withColumn(name, F.shiftleft(F.col(name).cast("long"), LINE_BITS)), "places")
+    same = doc.eqNullSafe(ranks[own]) & F.xxhash64(text).eqNullSafe(ranks[key])
+    full = docs.join(ranks, same, "left").drop(own, key)
+    return full, store(full.select(*pair).dropDuplicates(["place"]), "placed")
+
+
+_LINES = "number long, key long, n long, low long, high long, skipped int, cold int, prefix array<long>"
 
 
 def line_sets(docs: DataFrame, rarity: np.ndarray, similarity: float, least: int = MIN_WORDS) -> DataFrame:
     """One row a line of ``least`` different words or more, with the prefix words that other lines may have.
 
     A set of n words has at most n of n + 1 in common with another set. If that is too little, it has no prefix and
-    only matches lines of its own key. ``row`` is a number of the row's own.
+    only matches lines of its own key. The words that no other line has come first and are ``skipped``; after the
+    ``cold`` first words of the prefix come those that may stand in more than BLOCK lines.
     """
     sent = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** SLOT_BITS bytes
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = sent.value
-        rows = TaskContext.get().partitionId() << 40
         for part in slices(parts):
-            docs_, text_keys, texts = columns_of(part, "doc", "text_key", "text")
+            places, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
             for line, words, owner, number in _lines(texts, least):
                 line, words, first, size = _sets(line, words, len(number), scale)
-                key = _keys(words, first, size)
                 low, high = _signatures(words, first)
-                place = np.arange(len(words)) - first[line]
                 length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
                 length[size < similarity * (size + 1) - 1e-9] = 0
-                slot = (words & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-                used = (place < length[line]) & (scale[slot] > 0)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(line[used], minlength=len(size)))]).astype(np.int32)
-                keep = size >= least
-                # Words that may stand in more than BLOCK lines are marked by a negative place.
-                marked = np.where(scale[slot] >= HOT_SCALE, -1 - place, place)[used]
+                rare = scale[(words & _LOW).astype(np.int64)]
+                inside = np.arange(len(words)) - first[line] < length[line]
+                used = inside & (rare > 0)
+                skipped, cold, kept = (
+                    np.bincount(line[which], minlength=len(size))
+                    for which in (inside & ~used, used & (rare < HOT_SCALE), used)
+                )
+                offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
                 batch = pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs_, pa.int64()).take(pa.array(owner)),
-                        pa.array(text_keys, pa.int64()).take(pa.array(owner)),
-                        pa.array(number),
-                        pa.array(np.arange(rows, rows + len(size))),
-                        pa.array(as_long(key)),
+                        pa.array(places[owner] + number),
+                        pa.array(as_long(_keys(words, first, size))),
                         pa.array(size),
                         pa.array(low),
                         pa.array(high),
+                        pa.array(skipped.astype(np.int32)),
+                        pa.array(cold.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(words[used]))),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(marked)),
                     ],
                     names=[f.split()[0] for f in _LINES.split(", ")],
                 )
-                rows += len(size)
-                yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(size >= least))
 
-    return docs.mapInArrow(run, _LINES)
+    return docs.select("place", "text").mapInArrow(run, _LINES)
 
 
 _MEETINGS = ["spot", "number", "shape", "low", "high"]  # shape: n, at and three marks: right block, whole, wanted
@@ -219,7 +250,9 @@ def _pairs(similarity: float, nearest: int | None):
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         spot, number, *rest = (c.to_numpy() for c in rows.columns)
-        order = np.lexsort((number, spot))
+        rank = np.empty(len(spot), dtype=np.int64)
+        rank[np.argsort(number)] = np.arange(len(spot))
+        order = np.argsort(np.cumsum(np.diff(spot, prepend=spot[0]) != 0) * len(spot) + rank)
         spot, number, shape, low, high = (c[order] for c in (spot, number, *rest))
         n, at = shape >> 33, (shape >> 3) & ((1 << 30) - 1)
         right, whole, wanted = (shape & 4) > 0, (shape & 2) > 0, (shape & 1) > 0
@@ -302,9 +335,9 @@ _SET = ["number", "n", "low", "high"]
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
-    """One row per set and prefix word."""
-    one = F.explode(F.arrays_zip("prefix", "at")).alias("one")
-    return sets.select(*_SET, one).select(*_SET, F.col("one.prefix").alias("word"), F.col("one.at").alias("at"))
+    """One row per set and prefix word: where the word stands in the set, and whether it may be hot."""
+    rows = sets.select(*_SET, "skipped", "cold", F.posexplode("prefix").alias("pos", "word"))
+    return rows.select(*_SET, "word", (F.col("skipped") + F.col("pos")).alias("at"), (F.col("pos") >= F.col("cold")).alias("hot"))
 
 
 def _spans(opened: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,29 +361,32 @@ def _prefix_rows_of(sets: DataFrame, opened: DataFrame, similarity: float) -> Da
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, least, most = sent.value
         for part in parts:
-            lists, places = part.column(len(_SET)), part.column(len(_SET) + 1)
-            owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            words, at = (c.flatten().to_numpy(zero_copy_only=False) for c in (lists, places))
+            lists = part.column(len(_SET) + 2)
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(part.num_rows), length)
+            words = lists.flatten().to_numpy(zero_copy_only=False)
+            pos = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
             slot = words & ((1 << SPAN_BITS) - 1)
             number, n = (part.column(i).to_numpy()[owner] for i in range(2))
             hit = (number <= last[slot]) & (n >= least[slot]) & (n <= most[slot])
-            kept = part.select(_SET).take(pa.array(owner[hit]))
-            columns = [*kept.columns, pa.array(words[hit]), pa.array(at[hit])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "word", "at"])
+            owner, pos = owner[hit], pos[hit]
+            skipped, cold = (part.column(len(_SET) + i).to_numpy()[owner] for i in range(2))
+            kept = part.select(_SET).take(pa.array(owner))
+            columns = [*kept.columns, pa.array(words[hit]), pa.array(skipped + pos), pa.array(pos >= cold)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "word", "at", "hot"])
 
-    schema = ", ".join(f"{c} long" for c in [*_SET, "word", "at"])
-    return sets.select(*_SET, "prefix", "at").mapInArrow(run, schema)
+    schema = ", ".join(f"{c} long" for c in [*_SET, "word", "at"]) + ", hot boolean"
+    return sets.select(*_SET, "skipped", "cold", "prefix").mapInArrow(run, schema)
 
 
-def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
-    """(a, b) of sets that may match, of the rows of ``_prefix_rows`` and ``wanted``, which says whose earlier
-    candidates are looked for; a = b marks a set with candidates left out.
+def _candidates(few: DataFrame, many: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
+    """(a, b) of sets that may match, of the rows of ``_prefix_rows`` (``many``: those that may be hot) and ``wanted``,
+    which says whose earlier candidates are looked for; a = b marks a set with candidates left out.
 
     Sets meet in spots: a word, or two blocks of a word that stands in many sets.
     """
-    few = rows.filter("at >= 0").withColumns({"spot": F.col("word"), "right": F.lit(False), "whole": F.lit(True)})
+    few = few.withColumns({"spot": F.col("word"), "right": F.lit(False), "whole": F.lit(True)})
     # Only words the counts allow to be hot are counted exactly and cut into blocks, every two of which meet.
-    many = rows.filter("at < 0").withColumn("at", -1 - F.col("at"))
     crowded = many.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
     many = many.join(crowded, "word").withColumn("blocks", split_count(F.col("rows"), BLOCK)).drop("rows")
     many = many.withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks"))).withColumn(
@@ -363,51 +399,57 @@ def _candidates(rows: DataFrame, similarity: float, nearest: int | None) -> Data
     flags = F.when(F.col("right"), 4).otherwise(0) + F.when(F.col("whole"), 2).otherwise(0)
     flags = flags + F.when(F.col("wanted"), 1).otherwise(0)
     # A text has less than 2 ** 30 words.
-    shape = F.shiftleft("n", 33).bitwiseOR(F.shiftleft("at", 3)).bitwiseOR(flags.cast("long")).alias("shape")
+    shape = F.shiftleft("n", 33).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 3)).bitwiseOR(flags.cast("long")).alias("shape")
     few, many = (part.select("spot", "number", shape, "low", "high") for part in (few, many))
     dealt = few.unionByName(many).repartition("spot")
     ordered = dealt.sortWithinPartitions("spot").select(*_MEETINGS)  # one long column, which Spark sorts by radix
     return ordered.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct()
 
 
-def _address(doc: np.ndarray, text_key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.astype(np.uint64) + np.uint64(3) * text_key.astype(np.uint64)) + line.astype(np.uint64))
+def _cut_lines(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as bytes, and of each of their lines: its text, its number there, where it begins and ends."""
+    held = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[held.offset : held.offset + len(held) + 1]
+    data = memoryview(data or b"")[: edges[-1]]
+    breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8)[edges[0] :] == 10) + edges[0]
+    count = np.diff(np.searchsorted(breaks, edges)) + 1
+    owner = np.repeat(np.arange(len(held)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    last = np.append(number[1:], 0) == 0
+    begin, end = edges[owner], edges[owner + 1]
+    begin[number > 0], end[~last] = breaks + 1, breaks
+    return data, owner, number, begin, end
 
 
-def _words_of(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """(number, words) of the sets with these first places, read again from the texts.
+def _words_of(docs: DataFrame, numbers: DataFrame, least: int) -> DataFrame:
+    """(number, words) of the sets with these first places, and of some others, read again from the texts.
 
     A bitmap of fixed size over places tells each scan task which lines to send, so no text is shuffled.
     """
 
     def locate(part: pa.RecordBatch) -> np.ndarray:
-        return _address(*(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+        return mix(part.column(0).to_numpy())
 
-    plain = [F.coalesce("doc", F.lit(0)), F.coalesce("text_key", F.lit(0)), F.col("line")]
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(places.select(*plain), locate))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(numbers, locate))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = _marked(sent.value)
         for part in slices(parts):
-            doc, text_key, texts = columns_of(part, "doc", "text_key", "text")
-            lines = [(t or "").lower().encode().split(b"\n") for t in texts]
-            count = np.array([len(one) for one in lines])
-            owner = np.repeat(np.arange(len(lines)), count)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            doc, text_key = (np.array([v or 0 for v in c], dtype=np.int64)[owner] for c in (doc, text_key))
-            address = _address(doc, text_key, number)
-            chosen = np.flatnonzero(marked[(address & _LOW).astype(np.int64)])
-            found = b"\n".join([lines[owner[i]][number[i]] for i in chosen.tolist()])
+            data, owner, number, begin, end = _cut_lines(part.column(1))
+            place = part.column(0).to_numpy()[owner] + number
+            chosen = np.flatnonzero(marked[(mix(place) & _LOW).astype(np.int64)])
+            spans = zip(begin[chosen].tolist(), end[chosen].tolist(), strict=True)
+            found = b"\n".join([str(data[a:b], "utf-8").lower().encode() for a, b in spans])
             line, words, number = _line_words(found, least)
             if not len(number):
                 continue
             _, words, first, size = _sets(line, words, len(number), None)
             sets = [words[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-            key = as_long(_keys(words, first, size))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets, pa.binary())], names=["key", "words"])
+            columns = [pa.array(place[chosen][number]), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "words"])
 
-    found = docs.mapInArrow(run, "key long, words binary").join(places.select("key", "number"), "key")
-    return found.groupBy("number").agg(F.min("words").alias("words"))
+    return docs.select("place", "text").mapInArrow(run, "number long, words binary")
 
 
 def _matches(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -423,6 +465,7 @@ def _matches(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
                 good.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    words = words.repartition("number")  # read once for both sides
     both = pairs.join(words.select(F.col("number").alias("a"), F.col("words").alias("left_words")), "a").join(
         words.select(F.col("number").alias("b"), F.col("words").alias("right_words")), "b"
     )
@@ -444,60 +487,55 @@ def removed_lines(
     of a document are one document. Words are lower-cased; lines of fewer than ``min_words`` different words never
     match, with 1 every line that has a word takes part. Null and empty texts have no such lines.
     """
-    chosen = docs.select(
-        F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")
-    )
-    rows = store(line_sets(chosen, rarity_table(chosen), similarity, min_words), "line-sets")
-    first = F.min(F.struct("doc", "text_key", "line", "row")).alias("first")
-    first = rows.groupBy("key").agg(first, F.count(F.lit(1)).alias("rows")).select("key", "rows", "first.*")
-    # Range partitions in order of place, nulls first: ids that grow with partition and row number the sets.
-    dealt = store(first, "firsts").repartitionByRange("doc", "text_key", "line")
-    dealt = dealt.sortWithinPartitions("doc", "text_key", "line")
-    places = store(dealt.withColumn("number", F.monotonically_increasing_id()), "places")
+    name = free_name(docs, "_place")
+    full, placed = _with_place(docs, id_col, text_col, name)
+    key = F.xxhash64(F.col(text_col)).alias("text_key")
+    names = full.select(F.col(name).alias("place"), F.col(id_col).cast("long").alias("doc"), key).dropDuplicates(["place"])
+    return _removed(placed, similarity, min_words).join(names, "place").select("doc", "text_key", "line")
+
+
+def _removed(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """(place, line) of every line that goes, of documents (place, text) with places of their own."""
+    rows = store(line_sets(docs, rarity_table(docs), similarity, min_words), "line-sets")
+    firsts = rows.groupBy("key").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("first"))
     # By the number of a row, not the key, so that a line with many copies is dealt out.
-    sets = rows.select("row", "n", "low", "high", "prefix", "at").join(places.select("row", "number"), "row").drop("row")
-    sets = store(sets, "sets")
-    every = _prefix_rows(sets).withColumn("wanted", F.lit(True))
-    near = store(_candidates(every, similarity, NEAREST), "candidates")
-    gone = _confirmed(chosen, near.filter("a <> b"), places, similarity, min_words)
+    told = rows.drop("key").join(firsts.hint("shuffle_hash"), "number", "left")
+    told = told.select("number", "first", *[F.when(F.col("first"), F.col(c)).alias(c) for c in told.columns[1:-1]])
+    told = store(told, "sets")
+    sets, copies = told.filter("first").drop("first"), told.filter("first IS NULL").select("number")
+    wanted = F.lit(True).alias("wanted")
+    few = _prefix_rows(sets).filter("NOT hot").select("*", wanted)
+    many = _prefix_rows(sets.filter(F.col("cold") < F.size("prefix"))).filter("hot").select("*", wanted)
+    near = store(_candidates(few, many, similarity, NEAREST), "candidates")
+    gone = _confirmed(docs, near.filter("a <> b"), similarity, min_words)
     open_ = near.filter("a = b").select(F.col("a").alias("number")).join(gone, "number", "left_anti")
     open_ = store(open_.distinct(), "open-sets")
     if open_.limit(1).count():
         rows_of = _prefix_rows_of(sets, sets.join(open_, "number", "left_semi"), similarity)
         rows_of = rows_of.join(open_.withColumn("wanted", F.lit(True)), "number", "left")
         rows_of = store(rows_of.withColumn("wanted", F.coalesce("wanted", F.lit(False))), "open-rows")
-        rest = _candidates(rows_of, similarity, None).join(near, ["a", "b"], "left_anti")
-        rest = store(rest, "candidates")
-        gone = gone.union(_confirmed(chosen, rest, places, similarity, min_words)).distinct()
-    firsts = F.struct("doc", "text_key", "line")
-    known = places.join(gone.withColumn("gone", F.lit(True)), "number", "left").filter("rows > 1 OR gone")
-    later = rows.select("doc", "text_key", "line", "key").join(known.select("key", "gone", firsts.alias("first")), "key")
-    again = ~(
-        F.col("doc").eqNullSafe(F.col("first.doc"))
-        & F.col("text_key").eqNullSafe(F.col("first.text_key"))
-        & (F.col("line") == F.col("first.line"))
-    )
-    return later.filter(F.col("gone") | again).select("doc", "text_key", "line").distinct()
+        rest = _candidates(rows_of.filter("NOT hot"), rows_of.filter("hot"), similarity, None)
+        rest = store(rest.join(near, ["a", "b"], "left_anti"), "candidates")
+        gone = gone.union(_confirmed(docs, rest, similarity, min_words)).distinct()
+    line = (1 << LINE_BITS) - 1
+    number = F.col("number")
+    return gone.union(copies).select(number.bitwiseAND(F.lit(~line)).alias("place"), number.bitwiseAND(F.lit(line)).alias("line"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, places: DataFrame, similarity: float, least: int) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, least: int) -> DataFrame:
     """(number) of the later set of each pair that matches by its words."""
-    numbers = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-    wanted = store(places.join(numbers, "number", "left_semi"), "wanted")
-    matches = _matches(pairs, _words_of(docs, wanted, least), similarity)
+    numbers = pairs.select(F.explode(F.array("a", "b")).alias("number"))
+    matches = _matches(pairs, _words_of(docs, numbers, least), similarity)
     return store(matches.select(F.col("b").alias("number")).distinct(), "later-sets")
 
 
 def _with_removed(docs: DataFrame, id_col: str, text_col: str, gone_col: str, **settings) -> DataFrame:
     """``docs`` and ``gone_col``, the numbers of the lines to remove from each, null if none."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, **settings)
+    name = free_name(docs, "_place")
+    full, placed = _with_place(docs, id_col, text_col, name)
     # As many numbers as a text has lines.
-    per_doc = gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-    key, doc, text_key = (free_name(docs, name) for name in ("_key", "_doc", "_text_key"))
-    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
-    per_doc = per_doc.toDF(doc, text_key, gone_col)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & F.col(key).eqNullSafe(F.col(text_key))
-    return keyed.join(per_doc, same, "left").drop(key, doc, text_key)
+    per_doc = _removed(placed, **settings).groupBy("place").agg(F.array_sort(F.collect_list("line")))
+    return full.join(per_doc.toDF(name, gone_col).hint("shuffle_hash"), name, "left").drop(name)
 
 
 def _without(lines: Column, gone: Column) -> Column:
