@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from tradegrain.llm import packing
+from tradegrain.llm import common, packing
 
 
 def test_every_kind_of_word_is_tokenized_as_in_the_whole_text():
@@ -23,3 +23,18 @@ def test_an_item_counts_its_tokens_once():
     item = packing.Item(1, 0, np.arange(5, dtype=np.uint32), np.array([1, 0, 1, 1, 0], dtype=bool), 5)
     head, tail = item.cut(2)
     assert item.shape == (5, 3) and head.shape == (2, 1) and tail.shape == (3, 2)
+
+
+def test_memory_of_kept_things_goes_back_to_the_system(monkeypatch):
+    """Arrays below a later one stayed with the process after they were freed."""
+
+    def held() -> int:
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    monkeypatch.setattr(common, "_KEPT", {})
+    common._KEPT["many"] = [np.ones(500) for _ in range(50_000)]
+    later = [np.ones(500) for _ in range(100)]
+    before = held()
+    assert not list(common.slices(iter([])))
+    assert not common._KEPT and len(later) == 100 and held() < before - 100_000_000

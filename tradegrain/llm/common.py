@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -73,6 +74,15 @@ def kept_by_worker(key: tuple, make: Callable):
     return _KEPT[key]
 
 
+def _give_back() -> None:
+    """Free memory that this process still holds goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+    if trim:
+        trim(0)
+
+
 def slices(parts: Iterator[pa.RecordBatch], rows: int = 256, keeps: bool = False) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so few texts are held as Python objects at a time.
 
@@ -80,8 +90,7 @@ def slices(parts: Iterator[pa.RecordBatch], rows: int = 256, keeps: bool = False
     """
     if _KEPT and not keeps:
         _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        _give_back()
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
