@@ -116,6 +116,26 @@ def test_empty_memo_changes_nothing(spark, monkeypatch):
     assert sorted(map(tuple, align.align(docs, *SIDES)[0].collect())) == whole
 
 
+def test_texts_of_a_batch_are_cut_together_and_end_as_they_would_alone():
+    import numpy as np
+
+    sides = [side() for side in SIDES]
+    texts = [*filter(None, ODD), "red", "\nred", "日本", "red"]
+    memo = align._Memo(*sides)
+    a_ids, b_ids = ([np.array(one, dtype=np.int32) for one in side.encode(texts)] for side in sides)
+    assert [memo.spelled(0, one) for one in a_ids] == [(" " + t).encode() for t in texts]
+    pairs = [(a, b) for a, b in zip(a_ids, b_ids, strict=True) if memo.spelled(0, a) == memo.spelled(1, b)]
+    assert len(pairs) > 10 and memo.windows([], []) == []
+    together = memo.windows(*map(list, zip(*pairs, strict=True)))
+    memo.settle()
+    for (a, b), at in zip(pairs, together, strict=True):
+        alone = align._Memo(*sides)
+        (places,) = alone.windows([a], [b])
+        alone.settle()
+        assert [alone.texts[i] for i in places] == [memo.texts[i] for i in at]
+        assert all(np.array_equal(x, y) for x, y in zip(alone.links(places), memo.links(at), strict=True))
+
+
 def test_pairs_count_documents(spark):
     docs = spark.createDataFrame([(1, "red red red"), (2, "red"), (None, "red"), (None, "red")], "doc_id long, text string")
     report, pairs = align.align(docs, *SIDES)

@@ -15,6 +15,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ MEMO_WINDOWS = 200_000
 WIDE_GROUP = 4096
 MEMO_TOKENS = 256  # a longer window is aligned anew each time, so that the memo stays small
 PAIR_BITS = 32  # a pair's key is the first id above these bits and the second id below
+SECOND = 1 << 30  # added to ids of the second side where both stand in one row of numbers
+SPELLED = 1 << 16  # tokens whose bytes are laid out at once
 _LINK = pa.struct([("key", pa.int64()), ("times", pa.int64())])
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _SCHEMA = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " + (
@@ -82,36 +85,61 @@ def piece_side(path: str) -> Side:
     return Side(lambda texts: model.encode(texts, num_threads=1), entries)
 
 
+class _Known(dict):
+    """Places of windows by their ids, those of the first side before those of the second.
+
+    A new window gets the next place; it is remembered unless it is long.
+    """
+
+    fresh: list[bytes]
+    base: int
+
+    def __missing__(self, ids: bytes) -> int:
+        place = self.base + len(self.fresh)
+        self.fresh.append(ids)
+        if len(ids) <= 4 * MEMO_TOKENS:
+            self[ids] = place
+        return place
+
+
 class _Memo:
     """Alignments of windows by their id tuples, kept flat; emptied between batches of texts once it is full.
 
-    New windows of a batch are aligned together.
+    The texts of a batch are cut together, and its new windows are aligned together.
     """
 
     def __init__(self, a: Side, b: Side):
+        self.bytes = [np.frombuffer(b"".join(side.entries), dtype=np.uint8) for side in (a, b)]
         self.sizes = [np.array([len(e) for e in side.entries], dtype=np.int64) for side in (a, b)]
+        self.begins = [np.cumsum(size) - size for size in self.sizes]
         self.spaced = [np.array([e[:1] == b" " for e in side.entries]) for side in (a, b)]
         # Each id as text with what follows it inside and at the end of its side of a group.
         self.inner, self.last = (
             [np.array([f"{i}{mark}" for i in range(len(side.entries))], dtype=object) for side, mark in zip((a, b), marks, strict=True)]
             for marks in (",,", "|;")
         )
+        # The lengths of those texts: the digits of the id and the mark.
+        self.shown = [np.array([len(str(i)) + 1 for i in range(len(side.entries))], dtype=np.int64) for side in (a, b)]
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known = _Known()
         self.texts: list[str] = []
         self.columns = {name: Column64(np.int64) for name in ("groups", "totals", "ends", "keys", "times")}
         self.columns["ends"].extend([0])
-        self.fresh: list[tuple[bytes, bytes]] = []
+        self.known.base, self.known.fresh = 0, []
 
     def settle(self) -> None:
         """Align the windows that were new since the last call; all of them one after the other spell the same bytes."""
-        if not self.fresh:
+        fresh = self.known.fresh
+        if not fresh:
             return
-        sides = [np.frombuffer(b"".join(part), dtype=np.int32) for part in zip(*self.fresh, strict=True)]
-        stops = [np.cumsum([len(part) // 4 for part in parts]) for parts in zip(*self.fresh, strict=True)]
-        a, b = sides
+        mixed = np.frombuffer(b"".join(fresh), dtype=np.int32)
+        theirs = mixed >= SECOND
+        sides = a, b = mixed[~theirs], mixed[theirs] - SECOND
+        whole = np.cumsum(np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) // 4)
+        stop = np.cumsum(theirs)[whole - 1]
+        stops = [whole - stop, stop]
         ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.sizes, sides, strict=True))
         near = np.searchsorted(ends_b, ends_a)
         shared = ends_b[near] == ends_a
@@ -142,7 +170,7 @@ class _Memo:
         self.columns["ends"].extend(self.columns["keys"].size + np.cumsum(kept)[last])
         self.columns["keys"].extend(keys)
         self.columns["times"].extend(times)
-        self.fresh = []
+        self.known.base, self.known.fresh = len(self.texts), []
 
     def _spell(self, a, b, stop_a, stop_b, n_a, n_b, stops) -> None:
         """Add the text of every new window: the ids of each group, its first side before its second."""
@@ -152,35 +180,43 @@ class _Memo:
         said[np.arange(len(b)) + stop_a[group_b]] = self.inner[1][b]
         said[stop_a - 1 + stop_b - n_b] = self.last[0][a[stop_a - 1]]
         said[stop_b - 1 + stop_a] = self.last[1][b[stop_b - 1]]
-        parts, ends = said.tolist(), (stops[0] + stops[1]).tolist()
-        at = 0
-        for end in ends:
-            self.texts.append("".join(parts[at:end])[:-1])
-            at = end
-
-    def windows(self, a_ids: list[int], b_ids: list[int]) -> np.ndarray:
-        """Places of the windows of one text, in order; both sides spell the same bytes."""
-        a, b = np.array(a_ids, dtype=np.int32), np.array(b_ids, dtype=np.int32)
+        length = np.empty(len(said), dtype=np.int64)
+        length[np.arange(len(a)) + (stop_b - n_b)[group_a]] = self.shown[0][a]
+        length[np.arange(len(b)) + stop_a[group_b]] = self.shown[1][b]
+        text, ends = "".join(said.tolist()), np.cumsum(length)[stops[0] + stops[1] - 1].tolist()
+        self.texts += [text[p : q - 1] for p, q in zip([0, *ends], ends)]
+
+    def spelled(self, side: int, ids: np.ndarray) -> bytes:
+        """The bytes that ids of one side stand for."""
+        found = []
+        for at in range(0, len(ids), SPELLED):
+            part = ids[at : at + SPELLED]
+            size = self.sizes[side][part]
+            ends = np.cumsum(size)
+            found.append(self.bytes[side][np.repeat(self.begins[side][part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(found)
+
+    def windows(self, a_ids: list[np.ndarray], b_ids: list[np.ndarray]) -> list[np.ndarray]:
+        """Places of the windows of each text, in order; both sides of a text spell the same bytes."""
+        if not a_ids:
+            return []
+        a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+        last = np.cumsum([len(ids) for ids in a_ids])
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         near = np.searchsorted(ends_b, ends_a)
         shared = ends_b[near] == ends_a
         after_a, after_b = np.flatnonzero(shared) + 1, near[shared] + 1
-        anchors = self.spaced[0][a[after_a[:-1]]] & self.spaced[1][b[after_b[:-1]]]
-        anchors = np.append(anchors, True)
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        found, p, r, known, fresh = [], 0, 0, self.known, self.fresh
-        base = len(self.texts)
-        for q, s in zip((4 * after_a[anchors]).tolist(), (4 * after_b[anchors]).tolist(), strict=True):
-            ids = (raw_a[p:q], raw_b[r:s])
-            place = known.get(ids)
-            if place is None:
-                place = base + len(fresh)
-                fresh.append(ids)
-                if q - p + s - r <= 4 * MEMO_TOKENS:
-                    known[ids] = place
-            found.append(place)
-            p, r = q, s
-        return np.array(found, dtype=np.int64)
+        anchors = np.append(self.spaced[0][a[after_a[:-1]]] & self.spaced[1][b[after_b[:-1]]], True)
+        anchors[np.searchsorted(after_a, last)] = True  # texts end where both sides end
+        stop_a, stop_b = after_a[anchors], after_b[anchors]
+        n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        mixed = np.empty(len(a) + len(b), dtype=np.int32)
+        mixed[np.arange(len(a)) + np.repeat(stop_b - n_b, n_a)] = a
+        mixed[np.arange(len(b)) + np.repeat(stop_a, n_b)] = b + SECOND
+        raw, ends = mixed.tobytes(), (4 * (stop_a + stop_b)).tolist()
+        ids = [raw[p:q] for p, q in zip([0, *ends], ends)]
+        found = np.fromiter(map(self.known.__getitem__, ids), dtype=np.int64, count=len(ids))
+        return np.split(found, np.searchsorted(stop_a, last[:-1]) + 1)
 
     def links(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs linked in these windows, in order of their keys, and how often."""
@@ -209,14 +245,15 @@ def _aligned(docs: DataFrame, first: Callable[[], Side], second: Callable[[], Si
         for part in slices(parts, 64):
             rows, doc_ids, texts = columns_of(part, "row", "doc_id", "text")
             wanted = [t or "" for t in texts]
-            a_ids, b_ids = a_side.encode(wanted), b_side.encode(wanted)
-            places: list[np.ndarray | None] = []
-            for text, a, b in zip(wanted, a_ids, b_ids, strict=True):
+            a_ids, b_ids = (
+                [np.fromiter(ids, dtype=np.int32, count=len(ids)) for ids in side.encode(wanted)] for side in (a_side, b_side)
+            )
+            same = []
+            for text, *sides in zip(wanted, a_ids, b_ids, strict=True):
                 spelled = (" " + text).encode()
-                same = text and all(
-                    b"".join(map(side.entries.__getitem__, ids)) == spelled for side, ids in ((a_side, a), (b_side, b))
-                )
-                places.append(memo.windows(a, b) if same else None)
+                same.append(bool(text) and all(memo.spelled(i, ids) == spelled for i, ids in enumerate(sides)))
+            found = iter(memo.windows(list(compress(a_ids, same)), list(compress(b_ids, same))))
+            places = [next(found) if s else None for s in same]
             memo.settle()
             counts, marks, keys, times, ends = [], [], [], [], [0]
             for at, a, b in zip(places, a_ids, b_ids, strict=True):
