@@ -19,6 +19,38 @@ def test_every_kind_of_word_is_tokenized_as_in_the_whole_text():
     assert none.tolist() == [2]
 
 
+def test_merges_alone_give_the_ids_of_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, merges = Tokenizer.from_file(file), packing._merge_encoder(file)
+    entries = [e.removesuffix("</w>") for e in tokenizer.get_vocab()]
+    words = sorted({e for e in entries if e.isascii() and e.isalpha() and e.islower()})
+    words += [a + b for a, b in zip(words, reversed(words), strict=True)] + ["straße", "éàîœ", "жук", "漢字", "a" * 900]
+    found = merges.encode_ordinary("".join(w + " " for w in words))
+    assert found == [i for one in tokenizer.encode_batch(words, add_special_tokens=False) for i in one.ids]
+
+
+def test_other_vocabularies_do_without_merges(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, ".": 3, ",": 4}, [("a", "b")]))
+    plain.pre_tokenizer = pre_tokenizers.Whitespace()
+    plain.save(str(tmp_path / "one.json"))
+    assert packing._merge_encoder(str(tmp_path / "one.json")) is None
+    encode = packing.document_encoder(str(tmp_path / "one.json"), end_id=9)()
+    assert encode([("ab ba. ab,",)])[0][0].tolist() == [2, 1, 0, 3, 2, 4, 9]
+
+
+def test_plain_words_are_found_together():
+    words = "lower word. Upper x1 été, École ÷. a÷ . ,a é. . don't. жук ª a.. <|a. end.".split()
+    letters, plain, stop = packing._plain_words([w.encode() for w in words], packing.STOPS)
+    assert letters.decode() == "lower word été école é end "
+    assert [w for w, p in zip(words, plain, strict=True) if p] == ["lower", "word.", "été,", "École", "é.", "end."]
+    assert bytes(stop[plain].tolist()) == b"\0.,\0.."
+    assert not stop[~plain].any()
+
+
 def test_an_item_counts_its_tokens_once():
     item = packing.Item(1, 0, np.arange(5, dtype=np.uint32), np.array([1, 0, 1, 1, 0], dtype=bool), 5)
     head, tail = item.cut(2)

@@ -11,6 +11,7 @@ no group whose size the data decide, and a task that runs again on the same spli
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tradegrain.llm.common import Column64, Words, batches, kept_by_worker, slices
 
+LONG_WORD = 1000  # bytes; a longer word goes to the whole tokenizer
 WORDS_HELD = 600_000  # distinct words a worker remembers, some 200 bytes each
 STOPS = (b".", b",")
 WORD_END = "</w>"  # what ends the last token of a word in the vocabulary
@@ -202,7 +204,7 @@ def document_encoder(vocabulary: str, end_id: int = 2):
     The vocabulary's normalizer lower-cases, so letter case is settled before words are compared, and one full
     stop or comma after a letter of ASCII or Latin-1 is a token of its own, so it is split off. Words that could hold a special
     token's name are left as they are. Words of lower-case letters only would pass the normalizer unchanged and the
-    word splitter as one piece, so they go straight to the vocabulary's model.
+    word splitter as one piece, so they go straight to the vocabulary's merges, many at a time.
     """
 
     key = ("words", vocabulary, end_id)
@@ -211,7 +213,7 @@ def document_encoder(vocabulary: str, end_id: int = 2):
 
 def _word_encoder(vocabulary: str, end_id: int):
     """The encoder of ``document_encoder``; a Python worker keeps it, and the words it knows, for its next task of the kind."""
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     words = Words(WORDS_HELD)
@@ -219,46 +221,54 @@ def _word_encoder(vocabulary: str, end_id: int):
     stop_ids = {stop: tokenizer.encode(stop.decode(), add_special_tokens=False).ids for stop in STOPS}
     stops_cut = STOPS if all(len(one) == 1 for one in stop_ids.values()) else ()
 
-    plain = Tokenizer(tokenizer.model)
-    plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    merges = _merge_encoder(vocabulary)
     is_end = np.array([(tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(tokenizer.get_vocab_size())])
 
-    def split_ids(chosen: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the parts one after another, and how many each has."""
-        if simple:
-            letters = b" ".join(chosen).decode("latin-1").translate(_BYTE_LETTERS)
-            found = np.array(plain.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            stops = np.flatnonzero(is_end[found]) + 1
-            if len(stops) == len(chosen):
-                return found, np.diff(stops, prepend=0)
+    def split_ids(chosen: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has, by the whole tokenizer."""
         encoded = tokenizer.encode_batch_fast([p.decode() for p in chosen], add_special_tokens=False)
         single = [one.ids for one in encoded]
         lengths = np.fromiter(map(len, single), dtype=np.int64, count=len(single))
         return np.fromiter(chain.from_iterable(single), dtype=np.uint32, count=int(lengths.sum())), lengths
 
+    def merged_ids(letters: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words, each followed by a space, by the merges alone."""
+        if merges is None:
+            return split_ids(letters.split())
+        found = merges.encode_ordinary(letters.decode())
+        found = np.fromiter(found, dtype=np.uint32, count=len(found))
+        return found, np.diff(np.flatnonzero(is_end[found]) + 1, prepend=0)
+
     def tokenize(fresh: list[bytes]) -> None:
-        """Learn the ids of new words: plain ones go to the model in one string, the rest one by one."""
-        ends, cores, kinds = [], [], np.empty(len(fresh), dtype=bool)
-        for i, word in enumerate(fresh):
-            end, core, kinds[i] = (b"", word, True) if word.isalpha() and word.islower() else _parted(word, stops_cut)
-            ends.append(end)
-            cores.append(core)
-        cut = np.fromiter(map(len, ends), dtype=np.int64, count=len(fresh))
+        """Learn the ids of new words: plain ones go to the merges in one string, the rest one by one."""
+        if not fresh:
+            return
+        letters, plain, stop = _plain_words(fresh, stops_cut)
+        rest = [_parted(word, stops_cut) for word in compress(fresh, ~plain)]
+        simple = np.array([kind and len(core) <= LONG_WORD for _, core, kind in rest], dtype=bool)
+        at = np.flatnonzero(~plain)
+        stop[at] = [end[0] if end else 0 for end, _, _ in rest]
+        cores = [core for _, core, _ in rest]
         begin, size = np.zeros(len(fresh), dtype=np.int64), np.zeros(len(fresh), dtype=np.int64)
-        for simple in (True, False):
-            chosen = list(compress(cores, kinds == simple))
-            if chosen:
-                found, lengths = split_ids(chosen, simple)
-                # Room for the id of a stop that was cut off.
-                tail = cut[kinds == simple]
-                width = lengths + tail
-                after = np.cumsum(width)
-                moved = np.empty(int(width.sum()), dtype=np.uint32)
-                moved[np.arange(len(found)) + np.repeat(np.cumsum(tail) - tail, lengths)] = found
-                moved[after[tail > 0] - 1] = [stop_ids[end][0] for end in compress(ends, kinds == simple) if end]
-                begin[kinds == simple] = ids.size + after - width
-                size[kinds == simple] = width
-                ids.extend(moved)
+        for chosen, ids_of, parts in (
+            (np.flatnonzero(plain), merged_ids, letters),
+            (at[simple], merged_ids, b"".join(core + b" " for core in compress(cores, simple))),
+            (at[~simple], split_ids, list(compress(cores, ~simple))),
+        ):
+            if not len(chosen):
+                continue
+            found, lengths = ids_of(parts)
+            # Room for the id of a stop that was cut off.
+            ends = stop[chosen]
+            tail = (ends > 0).astype(np.int64)
+            width = lengths + tail
+            after = np.cumsum(width)
+            moved = np.empty(int(width.sum()), dtype=np.uint32)
+            moved[np.arange(len(found)) + np.repeat(np.cumsum(tail) - tail, lengths)] = found
+            moved[after[tail > 0] - 1] = [stop_ids[bytes([end])][0] for end in ends[tail > 0].tolist()]
+            begin[chosen] = ids.size + after - width
+            size[chosen] = width
+            ids.extend(moved)
         begins.extend(begin)
         sizes.extend(size)
 
@@ -313,10 +323,58 @@ def _parted(word: bytes, stops: tuple[bytes, ...]) -> tuple[bytes, bytes, bool]:
     return end, core, _is_simple(core)
 
 
+def _plain_words(words: list[bytes], stops: tuple[bytes, ...]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Which words are plain: lower-case letters of ASCII and letters of Latin-1 above U+00BF, perhaps with a stop at the end.
+
+    Gives the plain words in lower case without their stops, each followed by a space; a mark per word; and the stop
+    of each plain word, else 0. They are settled as ``_parted`` does it, all together.
+    """
+    raw = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    after = np.cumsum(size)
+    lead = raw == 0xC3
+    accented = np.append(False, lead[:-1]) & (raw != 0x97) & (raw != 0xB7)  # but for the signs of times and division
+    letter = (raw - np.uint8(97) < 26) | accented
+    odd = np.add.reduceat(~(letter | lead), after - size, dtype=np.int64) - 1
+    last = raw[after - 2]
+    stopped = np.isin(last, [stop[0] for stop in stops]) & letter[after - 3] & (size > 2)
+    plain = (odd == stopped) & (size <= LONG_WORD)
+    stopped &= plain
+    kept = np.repeat(plain, size)
+    kept[after[stopped] - 2] = False
+    lowered = raw + np.where(accented & (raw < 0x9F), np.uint8(32), np.uint8(0))
+    return lowered[kept].tobytes(), plain, np.where(stopped, last, 0)
+
+
 # The visible stand-ins of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in set(_PRINTABLE)]
-_BYTE_LETTERS = "".join(chr(b if b in set(_PRINTABLE) or b == 32 else 256 + _OTHERS.index(b)) for b in range(256))
+_LETTER_BYTES = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(_OTHERS)}
+
+
+def _merge_encoder(vocabulary: str):
+    """The merges of a byte-level vocabulary as an encoder of words that each end with a space; none if it is of another kind.
+
+    Entries must be numbered in the order of their merges, after single bytes and single bytes that end a word; then an
+    entry's number is its rank. The space stands for the end of a word, so no longer entry may hold one itself.
+    """
+    import tiktoken
+
+    with open(vocabulary, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END:
+        return None
+    entries = {e: (e.removesuffix(WORD_END), at) for e, at in model["vocab"].items()}
+    longer = [e for e, (core, _) in sorted(entries.items(), key=lambda one: one[1][1]) if len(core) > 1]
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if joined != longer or [entries[e][1] for e in longer] != list(range(512, len(entries))):
+        return None
+    if any("\u0120" in entries[e][0] for e in longer) or not set("".join(core for core, _ in entries.values())) <= _LETTER_BYTES.keys():
+        return None
+    ranks = {bytes(map(_LETTER_BYTES.__getitem__, core)) + b" " * (core != e): at for e, (core, at) in entries.items()}
+    if len(ranks) != len(entries):
+        return None
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
 
 def _is_simple(part: bytes) -> bool:
